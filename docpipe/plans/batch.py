@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docpipe.operators.matching import DOCUMENT_KEY, batch_outcomes, normalize_expected
 from docpipe.operators.metrics import share
 from docpipe.plans.gold import build_gold
+from docpipe.session import written
 
 
 def completeness(matched: DataFrame) -> DataFrame:
@@ -47,12 +48,15 @@ def batch_documents(matched: DataFrame, summary: DataFrame, silver: DataFrame) -
 def consolidate_batches(
     expected: DataFrame, outcomes: DataFrame, silver: DataFrame, order: list[str] | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """(gold rows with ``batch_id``, one summary row per batch). Incomplete batches give no gold rows."""
-    matched = match_expected(expected, outcomes)
+    """(gold rows with ``batch_id``, one summary row per batch). Incomplete batches give no gold rows.
+
+    The matched list and the chosen documents are written between the steps,
+    because completeness and duplicate marking each read them several times.
+    """
+    matched = written(match_expected(expected, outcomes), "matched")
     summary = completeness(matched)
-    documents = batch_documents(matched, summary, silver)
-    gold = build_gold(documents, order=order, keep=["batch_id"])
-    return gold, summary
+    documents = written(batch_documents(matched, summary, silver), "batch-documents")
+    return build_gold(documents, order=order, keep=["batch_id"]), summary
 
 
 def manifests(

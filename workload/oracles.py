@@ -165,7 +165,7 @@ _MONEY = "CAST(CAST(total_amount AS DECIMAL(38,2)) AS VARCHAR)"
 
 
 def quoted(c: str) -> str:
-    return f"coalesce(concat('\"', replace({c}, '\"', '\\\"'), '\"'), 'null')"
+    return f"coalesce('\"' || replace({c}, '\"', '\\\"') || '\"', 'null')"
 
 
 _cte("eligible", ("silver",), f"""
@@ -240,14 +240,11 @@ _cte("merged", ("needed",), """
     concat_ws(',', nullif(flags, ''), CASE WHEN invoked AND shape = 3 THEN 'bedrock_request_failed' END) AS flags
   FROM (SELECT *, invoked AND shape <> 3 AS used FROM needed)""")
 _cte("enriched_normal", ("merged",), f"""
-  SELECT *, CASE WHEN failed THEN 'unknown' ELSE kind END AS document_type,
-    CASE WHEN NOT failed THEN vendor END AS vendor_name, CASE WHEN NOT failed THEN on_date END AS document_date,
-    CASE WHEN NOT failed THEN total END AS total_amount,
-    CASE WHEN NOT failed THEN {currency("coalesce(raw_text, '')", 'cur', 'total')} END AS currency
+  SELECT *, kind AS document_type, {currency("coalesce(raw_text, '')", 'cur', 'total_amount')} AS currency
   FROM (SELECT seq, created_at, raw_text, invoked, document_type AS kind, currency AS cur,
       contains(flags, 'bedrock_request_failed') AS failed,
       CASE WHEN flags = '' THEN []::VARCHAR[] ELSE string_split(flags, ',') END AS pre_flags,
-      {clean('vendor_name')} AS vendor, {iso_date('document_date')} AS on_date, {amount('total_amount')} AS total
+      {clean('vendor_name')} AS vendor_name, {iso_date('document_date')} AS document_date, {amount('total_amount')} AS total_amount
     FROM merged)""")
 _cte("enriched", ("enriched_normal",), rules("enriched_normal", "pre_flags"))
 _cte("evidence_normal", ("candidates",), f"""

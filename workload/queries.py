@@ -263,7 +263,7 @@ def outcome_routing(spark, d):
 
 @query
 def failed_documents(spark, d):
-    return inputs.silver(spark, d).filter("processing_status = 'failed'").select(
+    return inputs.silver_table(spark, d).filter("processing_status = 'failed'").select(
         "seq", "document_type", "vendor_name", "total_amount", "quality_score", "rejection_reason",
         joined("quality_flags").alias("flags"),
     )
@@ -526,6 +526,7 @@ def batch_missing(spark, d):
 
 @query
 def batch_manifest(spark, d):
+    """Complete batches consolidated stage by stage, then summed up."""
     silver = inputs.silver_table(spark, d)
     outcomes = silver.select("run_id", "document_id", "outcome")
     rows, summary = batch.consolidate_batches(inputs.expected(spark, d), outcomes, silver, order=["seq"])
