@@ -17,6 +17,7 @@ from docpipe.functions.responses import (
     strip_fence,
 )
 from docpipe.operators.quality import needs_enrichment
+from docpipe.operators.once import evaluate_once
 from docpipe.operators.skew import join_unique
 
 DOCUMENT_KEY = ["run_id", "document_id"]
@@ -73,9 +74,7 @@ def batch_outcomes(expected: DataFrame, outcomes: DataFrame) -> DataFrame:
 def candidates_from_evidence(evidence: DataFrame, response: str = "textract_response") -> DataFrame:
     """Candidate columns next to the evidence columns; each response is parsed once."""
     parsed = evidence.withColumn("_parsed", parse_evidence(F.col(response)))
-    return parsed.select(
-        *evidence.columns, *[c.alias(n) for n, c in evidence_candidate(F.col("_parsed")).items()]
-    )
+    return evaluate_once(parsed, evidence.columns, evidence_candidate(F.col("_parsed")))
 
 
 CANDIDATE_COLUMNS = [

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from docpipe.functions.flags import append_flags, flag, has_any, no_flags
 from docpipe.functions.text import strip
+from docpipe.operators.once import evaluate_once
 
 TECHNICAL_FAILURE = "technical_processing_failure"
 
@@ -90,7 +91,9 @@ def apply_quality_rules(
     for name in rules.at_least_one[1:]:
         one_present = one_present | _present(name)
 
-    judged = documents.withColumns(
+    judged = evaluate_once(
+        documents,
+        documents.columns,
         {
             "_technical": F.coalesce(F.col("processing_status") == "failed", F.lit(False))
             | has_any(F.col("quality_flags"), rules.technical_flags),
@@ -107,7 +110,7 @@ def apply_quality_rules(
             ),
             "_bad_type": ~kind.isin(*rules.document_types),
             "_unknown_type": kind == "unknown",
-        }
+        },
     )
     missing_required = F.lit(False)
     for name in rules.required_fields:

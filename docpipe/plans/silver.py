@@ -13,6 +13,7 @@ from docpipe.functions.keys import storage_key
 from docpipe.functions.text import clean_string, document_type
 from docpipe.functions.values import amount, currency, date
 from docpipe.operators.matching import candidates_from_evidence
+from docpipe.operators.once import evaluate_once
 from docpipe.operators.quality import (
     BLOCKING_FLAGS,
     DEFAULT_RULES,
@@ -80,16 +81,22 @@ def silver_from_text(
     """
     keep = keep or []
     ids = ["run_id", "document_id", "source_s3_key", "source_file_name", "raw_text_path", "created_at"]
-    staged = extracted.select(
-        *dict.fromkeys([*keep, *ids]),
-        has_any(F.col("flags"), (*BLOCKING_FLAGS, *rules.technical_flags)).alias("_failed"),
-        F.col("flags").alias("_flags_in"),
-        document_type(F.col("raw_text")).alias("_type"),
-        clean_string(F.col("vendor_name")).alias("_vendor"),
-        date(F.col("document_date"), as_of).alias("_date"),
-        amount(F.col("total_amount")).alias("_amount"),
-        F.col("raw_text").alias("_text"),
-        F.col("currency").alias("_currency"),
+    vendor = F.col("vendor_name")
+    if "vendor_or_requester" in extracted.columns:
+        vendor = F.coalesce(F.nullif(vendor, F.lit("")), F.col("vendor_or_requester"))
+    staged = evaluate_once(
+        extracted,
+        list(dict.fromkeys([*keep, *ids])),
+        {
+            "_failed": has_any(F.col("flags"), (*BLOCKING_FLAGS, *rules.technical_flags)),
+            "_flags_in": F.col("flags"),
+            "_type": document_type(F.col("raw_text")),
+            "_vendor": clean_string(vendor),
+            "_date": date(F.col("document_date"), as_of),
+            "_amount": amount(F.col("total_amount")),
+            "_text": F.col("raw_text"),
+            "_currency": F.col("currency"),
+        },
     )
     given = {
         **{name: F.col(name) for name in ids},
@@ -129,17 +136,19 @@ def silver_from_candidates(
         F.lit(normalization_engine) if normalization_engine
         else F.when(invoked, F.lit("bedrock")).otherwise(F.lit("textract_only"))
     )
-    staged = candidates.select(
-        *dict.fromkeys([*keep, *ids, *scores]),
-        failed.alias("_failed"), invoked.alias("_invoked"), completed.alias("_completed"),
-        engine.alias("_engine"),
-        F.coalesce("quality_flags", no_flags()).alias("_flags_in"),
-        F.coalesce(F.nullif(F.col("document_type"), F.lit("")), F.lit("unknown")).alias("_type"),
-        clean_string(F.col("vendor_name")).alias("_vendor"),
-        date(F.col("document_date"), as_of).alias("_date"),
-        amount(F.col("total_amount")).alias("_amount"),
-        F.col("raw_text").alias("_text"),
-        F.col("currency").alias("_currency"),
+    staged = evaluate_once(
+        candidates,
+        list(dict.fromkeys([*keep, *ids, *scores])),
+        {
+            "_failed": failed, "_invoked": invoked, "_completed": completed, "_engine": engine,
+            "_flags_in": F.coalesce("quality_flags", no_flags()),
+            "_type": F.coalesce(F.nullif(F.col("document_type"), F.lit("")), F.lit("unknown")),
+            "_vendor": clean_string(F.col("vendor_name")),
+            "_date": date(F.col("document_date"), as_of),
+            "_amount": amount(F.col("total_amount")),
+            "_text": F.col("raw_text"),
+            "_currency": F.col("currency"),
+        },
     )
     given = {
         **{name: F.col(name) for name in (*ids, *scores)},

@@ -395,17 +395,17 @@ ORACLES: dict[str, str] = {
                      ELSE min_by(err, k) FILTER (err IS NOT NULL) END AS e FROM f GROUP BY request_id)
         SELECT request_id, file_count, e IS NULL AS accepted, split_part(e, ': ', 1) AS error, split_part(e, ': ', 2) AS message FROM r""",
     "arrival_unwrap": with_ctes("bronze", then=r"""
-        , o AS (SELECT o_orderkey AS k, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS at, strftime(o_orderdate, '%Y%m%dT%H%M%SZ') AS stamp,
+        , o AS (SELECT o_orderkey AS k, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS arrived, strftime(o_orderdate, '%Y%m%dT%H%M%SZ') AS stamp,
                   source_s3_key AS key, run_id AS run, concat('raw/no run/', o_orderkey, ' año+100%.pdf') AS spaced
                 FROM orders JOIN bronze ON seq = o_orderkey),
         r AS (
           SELECT k, 0 AS i, 'lake' AS bucket, key AS skey, CASE WHEN k % 10 = 0 THEN 'direct' ELSE run END AS run_id,
-                 CASE WHEN k % 10 IN (0, 4) THEN '' ELSE 'm-' || k END AS mid, at FROM o WHERE k % 10 NOT IN (1, 5)
-          UNION ALL SELECT k, 0, 'lake', '', 'late-' || stamp, '', at FROM o WHERE k % 10 = 1
-          UNION ALL SELECT k, 0, 'lake', spaced, 'late-' || stamp, 'm-' || k, at FROM o WHERE k % 10 = 5
-          UNION ALL SELECT k, 1, 'lake', spaced, 'late-' || stamp, 'm-' || k, at FROM o WHERE k % 10 = 2)
+                 CASE WHEN k % 10 IN (0, 4) THEN '' ELSE 'm-' || k END AS mid, arrived FROM o WHERE k % 10 NOT IN (1, 5)
+          UNION ALL SELECT k, 0, 'lake', '', 'late-' || stamp, '', arrived FROM o WHERE k % 10 = 1
+          UNION ALL SELECT k, 0, 'lake', spaced, 'late-' || stamp, 'm-' || k, arrived FROM o WHERE k % 10 = 5
+          UNION ALL SELECT k, 1, 'lake', spaced, 'late-' || stamp, 'm-' || k, arrived FROM o WHERE k % 10 = 2)
         SELECT k AS event_id, i AS record_index, bucket AS bucket_name, skey AS source_s3_key,
-          regexp_extract(skey, '[^/]*$') AS source_file_name, run_id, mid AS message_id, at AS created_at,
+          regexp_extract(skey, '[^/]*$') AS source_file_name, run_id, mid AS message_id, arrived AS created_at,
           substr(regexp_replace(concat(run_id, '-', regexp_replace(regexp_extract(skey, '[^/]*$'), '\.[^.]+$', ''), '-', i), '[^\p{L}\p{N}_-]', '-', 'g'), 1, 80) AS execution_id
         FROM r"""),
     "arrival_quarantine": """
