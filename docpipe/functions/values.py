@@ -14,8 +14,12 @@ _MONTH_NAME = (
     "(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?"
     "|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
 )
-_DAY_FIRST_NAME = rf"(?i)(?<![0-9])([0-9]{{1,2}})(?:st|nd|rd|th)?[\s-]+(?:of\s+)?({_MONTH_NAME})\.?,?[\s-]+([0-9]{{4}})(?![0-9])"
-_MONTH_FIRST_NAME = rf"(?i)(?<![a-z])({_MONTH_NAME})\.?[\s-]+([0-9]{{1,2}})(?:st|nd|rd|th)?,?[\s-]+([0-9]{{4}})(?![0-9])"
+_DAY = "[0-9]{1,2}(?:st|nd|rd|th)?"
+_YEAR = "[0-9]{4}(?![0-9])"
+_NAMED_MONTH = (
+    rf"(?i)(?<![a-z0-9])(?:{_MONTH_NAME}\.?[\s-]+{_DAY},?[\s-]+{_YEAR}"
+    rf"|{_DAY}[\s-]+(?:of\s+)?{_MONTH_NAME}\.?,?[\s-]+{_YEAR})"
+)
 
 
 def amount(c: Column) -> Column:
@@ -33,67 +37,48 @@ def amount(c: Column) -> Column:
     return blank_to_null(number).try_cast("double")
 
 
-def _iso(year: Column, month: Column, day: Column) -> Column:
-    return F.concat_ws("-", year, month, day).try_cast("date")
-
-
 def _year_first(c: Column) -> Column:
     found = F.regexp_extract(c, r"(?<![0-9])[0-9]{4}[-/.][0-9]{1,2}[-/.][0-9]{1,2}(?![0-9])", 0)
     return F.translate(found, "/.", "--").try_cast("date")
 
 
 def _month_first(c: Column, as_of: dt.date) -> Column:
-    """``M/D/Y``; when the first part cannot be a month it is the day."""
+    """``M/D/Y``; when the first part cannot be a month it is the day.
+
+    A two-digit year is the one within fifty years of ``as_of``. Which of the two
+    centuries that is depends on the digits only, so it is settled by a pattern.
+    """
     found = F.translate(
         F.regexp_extract(
             c, r"(?<![0-9])[0-9]{1,2}[-/.][0-9]{1,2}[-/.](?:[0-9]{4}|[0-9]{2})(?![0-9])", 0
         ),
         "/.", "--",
     )
-    first = F.substring_index(found, "-", 1)
-    second = F.substring_index(F.substring_index(found, "-", 2), "-", -1)
-    last = F.substring_index(found, "-", -1)
-    century = as_of.year // 100 * 100
-    short = last.try_cast("int") + F.lit(century)
-    # A two-digit year is the one within fifty years of the reference year.
-    pivoted = (
-        F.when(short >= as_of.year + 50, short - 100)
-        .when(short < as_of.year - 50, short + 100)
-        .otherwise(short)
+    first_year = as_of.year - 50
+    century, tens, ones = first_year // 100, first_year % 100 // 10, first_year % 10
+    early = f"{tens}[{ones}-9]" + (f"|[{tens + 1}-9][0-9]" if tens < 9 else "")
+    whole = F.regexp_replace(
+        F.regexp_replace(found, f"-({early})$", f"-{century}$1"), "-([0-9]{2})$", f"-{century + 1}$1"
+    )
+    parts = "^([0-9]+)-([0-9]+)-([0-9]+)$"
+    return F.coalesce(
+        F.regexp_replace(whole, parts, "$3-$1-$2").try_cast("date"),
+        F.regexp_replace(whole, parts, "$3-$2-$1").try_cast("date"),
     )
-    year = F.when(F.length(last) == 4, last).otherwise(pivoted.cast("string"))
-    return F.when(found != "", F.coalesce(_iso(year, first, second), _iso(year, second, first)))
-
-
-def _month_number(name: Column) -> Column:
-    position = F.position(F.lower(F.substring(name, 1, 3)), F.lit(_MONTHS))
-    return F.floor((position + 2) / 3).cast("string")
 
 
 def _named_month(c: Column) -> Column:
-    day_first = F.regexp_extract(c, _DAY_FIRST_NAME, 0)
-    month_first = F.regexp_extract(c, _MONTH_FIRST_NAME, 0)
-
-    def parts(found: Column, pattern: str, y: int, m: int, d: int) -> Column:
-        return F.when(
-            found != "",
-            _iso(
-                F.regexp_extract(found, pattern, y),
-                _month_number(F.regexp_extract(found, pattern, m)),
-                F.regexp_extract(found, pattern, d),
-            ),
-        )
-
-    return F.coalesce(
-        parts(month_first, _MONTH_FIRST_NAME, 3, 1, 2), parts(day_first, _DAY_FIRST_NAME, 3, 2, 1)
-    )
+    """``Jan 5, 1997``, ``5 January 1997``, ``5th of January, 1997``."""
+    found = F.regexp_extract(c, _NAMED_MONTH, 0)
+    name = F.lower(F.substring(F.regexp_extract(found, "[A-Za-z]{3,}", 0), 1, 3))
+    month = F.floor((F.position(name, F.lit(_MONTHS)) + 2) / 3).cast("string")
+    day = F.regexp_extract(found, "[0-9]{1,2}(?![0-9])", 0)
+    return F.when(found != "", F.concat_ws("-", F.right(found, F.lit(4)), month, day).try_cast("date"))
 
 
 def _compact(c: Column) -> Column:
     found = F.regexp_extract(c, r"(?<![0-9])[0-9]{8}(?![0-9])", 0)
-    return F.when(
-        found != "", _iso(F.substring(found, 1, 4), F.substring(found, 5, 2), F.substring(found, 7, 2))
-    )
+    return F.regexp_replace(found, "^(....)(..)(..)$", "$1-$2-$3").try_cast("date")
 
 
 def date(c: Column, as_of: dt.date = dt.date(2000, 1, 1)) -> Column:

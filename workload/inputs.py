@@ -16,7 +16,7 @@ from docpipe.functions.keys import base_name, document_id
 from docpipe.plans.gold import build_gold, with_identity
 from docpipe.plans.silver import outcome, silver_from_text
 from docpipe.plans.sinks import write_gold
-from docpipe.session import scratch_path
+from docpipe.session import scratch_path, spread
 
 AS_OF = dt.date(2000, 12, 31)
 
@@ -25,6 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """The table for costly per-row work: dealt out when it is a single small file."""
+    return spread(table(spark, sf_dir, name), key)
+
+
 def _variant(c: Column, cases: dict[int, Column], default: Column) -> Column:
     out = None
     for value, result in cases.items():
@@ -59,7 +64,7 @@ def bronze(spark: SparkSession, sf_dir: str) -> DataFrame:
     Most orders describe themselves; the repeats take the fields of an earlier
     order. Splitting the two keeps the self-join to the few rows that need it.
     """
-    orders = table(spark, sf_dir, "orders")
+    orders = spread_table(spark, sf_dir, "orders", "o_orderkey")
     k = F.col("o_orderkey")
     content = ["o_custkey", "o_totalprice", "o_orderdate"]
     repeats = (k % 50).isin(7, 9)
@@ -257,7 +262,7 @@ def enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events")
+    return spread_table(spark, sf_dir, "events", "event_id")
 
 
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -362,7 +367,7 @@ def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
         },
         queued(body(s3(encoded(key)))),
     )
-    return table(spark, sf_dir, "orders").select(
+    return spread_table(spark, sf_dir, "orders", "o_orderkey").select(
         k.alias("event_id"), payload.alias("payload"), F.col("o_orderdate").cast("timestamp").alias("received_at")
     )
 

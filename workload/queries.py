@@ -148,7 +148,7 @@ def collision_names(spark, d):
 def text_clean_lines(spark, d):
     padded = F.concat(F.lit(" \r\n"), F.replace(F.col("text"), F.lit(". "), F.lit(".  \n\t \n ")), F.lit("\n "))
     clean = text.clean_lines(padded)
-    return table(spark, d, "documents").select(
+    return inputs.spread_table(spark, d, "documents", "doc_id").select(
         "doc_id", F.md5(clean.cast("binary")).alias("text_md5"), F.length(clean).cast("bigint").alias("n_chars_clean")
     )
 
@@ -161,7 +161,7 @@ def doc_type_classify(spark, d):
 @query
 def text_fingerprint(spark, d):
     """Exact duplicates of whole texts: fingerprint, and the first document that holds it."""
-    rows = table(spark, d, "documents").select(
+    rows = inputs.spread_table(spark, d, "documents", "doc_id").select(
         F.col("doc_id").cast("string").alias("document_id"), F.col("doc_id").alias("seq"),
         F.sha2("text", 256).alias("document_fingerprint"), F.lit(None).cast("string").alias("business_key"),
     )
@@ -174,7 +174,7 @@ def text_fingerprint(spark, d):
 def markdown_round_trip(spark, d):
     """Documents rendered as bronze text (some left bare), then read for their metadata."""
     name = F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".tif"))
-    rows = table(spark, d, "documents").select(
+    rows = inputs.spread_table(spark, d, "documents", "doc_id").select(
         "doc_id", "text", "n_chars", name.alias("source_file_name"), F.concat(F.lit("data/raw/"), name).alias("source_path")
     )
     markdown = F.when(F.col("n_chars") % 3 == 0, F.col("text")).otherwise(F.col("markdown"))
