@@ -28,25 +28,35 @@ def confidence_name(field: str) -> str:
     return "vendor_confidence" if field == "vendor_name" else f"{field}_confidence"
 
 
-def evidence_candidate(parsed: Column) -> dict[str, Column]:
-    """Candidate columns from one parsed evidence response; the last field of a type wins."""
+def evidence_detections(parsed: Column) -> dict[str, Column]:
+    """Per canonical field the last detection of its type, in the first document only."""
     documents = parsed["ExpenseDocuments"]
-    found = F.coalesce(F.size(documents), F.lit(0)) > 0
     fields = F.try_element_at(documents, F.lit(1))["SummaryFields"]
 
     def last_detection(kind: str) -> Column:
         of_kind = F.filter(fields, lambda f: f["Type"]["Text"] == kind)
         return F.try_element_at(of_kind, F.lit(-1))["ValueDetection"]
 
+    found = {f"_{field}": last_detection(kind) for field, kind in EVIDENCE_FIELDS.items()}
+    return {
+        "_found": F.coalesce(F.size(documents), F.lit(0)) > 0,
+        "_raw_text": parsed["raw_text"],
+        **found,
+    }
+
+
+def evidence_candidate() -> dict[str, Column]:
+    """Candidate columns over the columns of ``evidence_detections``."""
+    found = F.col("_found")
     columns: dict[str, Column] = {
         "document_type": F.when(found, F.lit("invoice")).otherwise(F.lit("unknown")),
         "document_type_confidence": F.when(found, F.lit(0.9)),
     }
-    for field, kind in EVIDENCE_FIELDS.items():
-        detection = last_detection(kind)
-        columns[field] = F.when(detection["Text"] != "", strip(detection["Text"]))
-        columns[confidence_name(field)] = detection["Confidence"]
-    columns["raw_text"] = F.when(found, F.coalesce(parsed["raw_text"], F.lit("")))
+    for field in EVIDENCE_FIELDS:
+        text = F.col(f"_{field}.Text")
+        columns[field] = F.when(text != "", strip(text))
+        columns[confidence_name(field)] = F.col(f"_{field}.Confidence")
+    columns["raw_text"] = F.when(found, F.coalesce(F.col("_raw_text"), F.lit("")))
     columns["quality_flags"] = F.when(~found, F.array(F.lit(NO_EVIDENCE_DOCUMENTS))).otherwise(no_flags())
     return columns
 

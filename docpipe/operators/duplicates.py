@@ -10,7 +10,7 @@ rows only.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docpipe.operators.skew import join_unique
@@ -29,7 +29,7 @@ def exclude_identities(history: DataFrame, current: DataFrame) -> DataFrame:
     return h.join(c, same, "left_anti")
 
 
-def first_holders(index: DataFrame, key: str, name: str) -> DataFrame:
+def first_holders(index: DataFrame, key: str, name: str, total: Column) -> DataFrame:
     """Per repeated key: its first holder, with the row count that decides hotness."""
     groups = (
         index.filter(F.col(key).isNotNull())
@@ -39,7 +39,6 @@ def first_holders(index: DataFrame, key: str, name: str) -> DataFrame:
             F.count(F.lit(1)).alias("_n"),
         )
     )
-    total = groups.agg(F.sum("_n")).scalar()
     return groups.filter("_n > 1").select(
         key,
         F.col("_first._rank").alias(f"_{name}_rank"),
@@ -49,19 +48,22 @@ def first_holders(index: DataFrame, key: str, name: str) -> DataFrame:
     )
 
 
-def mark_duplicates(records: DataFrame, order: list[str], current: str | None = None) -> DataFrame:
+def mark_duplicates(
+    records: DataFrame, order: list[str], current: str | None = None, population: DataFrame | None = None
+) -> DataFrame:
     """Mark ``records`` (those with ``current`` true, if given) against all of them.
 
     Rows need ``document_id``, ``document_fingerprint`` and ``business_key``;
     ``order`` names columns that together order all rows. History sorts before
-    current. The result keeps current rows only.
+    current. The result keeps current rows only. ``population`` may name a frame
+    of as many rows that is cheaper to count.
     """
     flag = F.col(current) if current else F.lit(True)
     rank = F.struct(flag.alias("late"), *[F.col(c) for c in order])
     ranked = records.withColumn("_rank", rank)
     index = ranked.select("_rank", "document_id", "document_fingerprint", "business_key")
     wanted = ranked.filter(current) if current else ranked
-    return _attach(wanted, index, order).drop(*([current] if current else []))
+    return _attach(wanted, index, order, population).drop(*([current] if current else []))
 
 
 def mark_against_history(current: DataFrame, history: DataFrame, order: list[str]) -> DataFrame:
@@ -78,9 +80,12 @@ def mark_against_history(current: DataFrame, history: DataFrame, order: list[str
     return _attach(now, index, order)
 
 
-def _attach(wanted: DataFrame, index: DataFrame, order: list[str]) -> DataFrame:
-    exact = first_holders(index, "document_fingerprint", "exact")
-    business = first_holders(index, "business_key", "business")
+def _attach(
+    wanted: DataFrame, index: DataFrame, order: list[str], population: DataFrame | None = None
+) -> DataFrame:
+    total = (population or index).agg(F.count(F.lit(1))).scalar()
+    exact = first_holders(index, "document_fingerprint", "exact", total)
+    business = first_holders(index, "business_key", "business", total)
     both = join_unique(wanted, exact, "document_fingerprint", order, counted=True)
     both = join_unique(both, business, "business_key", order, counted=True)
     is_exact = F.coalesce(F.col("_exact_rank") < F.col("_rank"), F.lit(False))

@@ -10,6 +10,7 @@ from docpipe.functions.keys import base_name, document_id
 from docpipe.functions.responses import (
     confidence_name,
     evidence_candidate,
+    evidence_detections,
     json_number_text,
     parse_enrichment,
     parse_evidence,
@@ -74,7 +75,8 @@ def batch_outcomes(expected: DataFrame, outcomes: DataFrame) -> DataFrame:
 def candidates_from_evidence(evidence: DataFrame, response: str = "textract_response") -> DataFrame:
     """Candidate columns next to the evidence columns; each response is parsed once."""
     parsed = evidence.withColumn("_parsed", parse_evidence(F.col(response)))
-    return evaluate_once(parsed, evidence.columns, evidence_candidate(F.col("_parsed")))
+    detected = evaluate_once(parsed, evidence.columns, evidence_detections(F.col("_parsed")))
+    return detected.select(*evidence.columns, *[c.alias(n) for n, c in evidence_candidate().items()])
 
 
 CANDIDATE_COLUMNS = [

@@ -34,14 +34,14 @@ def join_unique(
 
     ``row_id`` names left columns that tell rows apart (used only for spreading).
     With ``counted`` the right side already has ``_n``, the left rows per key, and
-    ``_total``, the scalar total; both are dropped from the result.
+    ``_total``, the scalar number of left rows; both are dropped from the result.
     """
     if counted:
         hot_test = F.col("_n") * HOT_SHARE > F.col("_total")
         weighted = right
     else:
         counts = key_counts(left, key)
-        total = counts.agg(F.sum("_n")).scalar()
+        total = left.agg(F.count(F.lit(1))).scalar()
         hot_keys = counts.filter(F.col("_n") * HOT_SHARE > total).select(key)
         weighted = right.join(F.broadcast(hot_keys.withColumn("_hot", F.lit(True))), key, "left")
         hot_test = F.coalesce(F.col("_hot"), F.lit(False))

@@ -12,6 +12,7 @@ from docpipe.functions.flags import append_flags, flag
 from docpipe.functions.identity import business_key, fingerprint, payload_fingerprint
 from docpipe.functions.values import date
 from docpipe.operators.duplicates import mark_against_history, mark_duplicates
+from docpipe.operators.once import evaluate_once
 from docpipe.operators.quality import gold_eligible
 
 # Documents have no arrival number of their own; storage keys order them.
@@ -29,12 +30,12 @@ def with_identity(documents: DataFrame, raw_text: str | None = None) -> DataFram
     existing = F.col("document_fingerprint")
     fallback = payload_fingerprint(vendor, on, total, money, F.col("source_file_name"))
     text = F.col(raw_text) if raw_text else None
-    return documents.withColumns(
-        {
-            "document_fingerprint": fingerprint(existing, text, fallback),
-            "business_key": business_key(vendor, on, total, money, number),
-        }
-    )
+    kept = [c for c in documents.columns if c not in ("document_fingerprint", "business_key")]
+    named = {
+        "document_fingerprint": fingerprint(existing, text, fallback),
+        "business_key": business_key(vendor, on, total, money, number),
+    }
+    return evaluate_once(documents, kept, named).select(*dict.fromkeys([*documents.columns, *named]))
 
 
 def renormalize_dates(documents: DataFrame, as_of: dt.date) -> DataFrame:
@@ -77,9 +78,10 @@ def build_gold(
     Pass a written table, not the silver stage's own plan (``session.written``).
     """
     order = order or STORAGE_ORDER
-    current = with_identity(silver.filter(gold_eligible()), raw_text)
+    eligible = silver.filter(gold_eligible())
+    current = with_identity(eligible, raw_text)
     if history is None:
-        marked = mark_duplicates(current, order)
+        marked = mark_duplicates(current, order, population=eligible)
     else:
         past = with_identity(history.filter(gold_eligible()), raw_text)
         marked = mark_against_history(current, past, order)
@@ -95,9 +97,9 @@ def consolidate_run(
     identities, then current" is the table itself with a flag: one scan, no
     anti-join and no union.
     """
-    eligible = with_identity(silver.filter(gold_eligible()))
-    flagged = eligible.withColumn("_current", F.coalesce(F.col("run_id") == run_id, F.lit(False)))
-    return gold_columns(mark_duplicates(flagged, order or STORAGE_ORDER, "_current"), keep)
+    eligible = silver.filter(gold_eligible())
+    flagged = with_identity(eligible).withColumn("_current", F.coalesce(F.col("run_id") == run_id, F.lit(False)))
+    return gold_columns(mark_duplicates(flagged, order or STORAGE_ORDER, "_current", eligible), keep)
 
 
 def key_index(gold: DataFrame, order: list[str] | None = None) -> DataFrame:

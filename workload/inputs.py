@@ -160,6 +160,12 @@ def _stage(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     return spark.read.parquet(_TABLES[key])
 
 
+def silver_path(spark: SparkSession, sf_dir: str) -> str:
+    """Where the silver table of this session and scale lies."""
+    silver_table(spark, sf_dir)
+    return _TABLES[(spark.sparkContext.applicationId, sf_dir, "silver")]
+
+
 def silver_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The silver table with its fingerprints and business keys."""
 

@@ -930,10 +930,8 @@ def stream_ingest(spark, d):
 def stream_gold(spark, d):
     """Silver streamed into gold; each micro-batch is marked against the ones before it."""
     root = scratch_path(spark, "stream-gold")
-    silver = inputs.silver_table(spark, d)
-    source = f"{root}/silver"
-    silver.coalesce(1).write.parquet(source)
-    stream = spark.readStream.schema(silver.schema).parquet(source)
+    layout = inputs.silver_table(spark, d).schema
+    stream = spark.readStream.schema(layout).parquet(inputs.silver_path(spark, d))
     run_to_end(stream, gold_stream.gold_batches(f"{root}/gold", f"{root}/index", ["seq"]), f"{root}/checkpoint")
     return spark.read.parquet(f"{root}/gold").select(
         "seq", "is_duplicate", "duplicate_of_document_id", "duplicate_strategy"
