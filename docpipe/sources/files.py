@@ -30,7 +30,7 @@ def list_raw_files(spark: SparkSession, folder: str, limit: int | None = None) -
 def load_bronze_text(spark: SparkSession, folder: str, limit: int | None = None) -> DataFrame:
     """One row per markdown document: source_file, raw_text_path, text."""
     texts = (
-        spark.read.option("wholetext", True).option("pathGlobFilter", "*.md").text(folder)
+        spark.read.option("pathGlobFilter", "*.md").text(folder, wholetext=True)
         .select(
             F.col("_metadata.file_name").alias("source_file"),
             F.col("_metadata.file_path").alias("raw_text_path"),
@@ -64,8 +64,8 @@ def read_silver_json(
     """
     source = folder if _has_files(spark, folder) else folder.rstrip("/").rsplit("/", 1)[0]
     texts = (
-        spark.read.option("wholetext", one_per_file).option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.json").text(source)
+        spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json")
+        .text(source, wholetext=one_per_file)
         .select("value", F.col("_metadata.file_path").alias("source_path"))
         .filter(strip(F.col("value")) != "")
     )
