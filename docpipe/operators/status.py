@@ -39,8 +39,7 @@ def forward_status(events: DataFrame, key: list[str], order: list[str]) -> DataF
 def status_page(latest: DataFrame, status: str | None = None, limit: int = DEFAULT_PAGE, token: str | None = None) -> DataFrame:
     """One page in ``invoice_id`` order; filters apply before paging.
 
-    Reads one row more than the page so that ``has_more`` is known. The next
-    token is the last ``invoice_id`` of the page.
+    The token of the next page is the last ``invoice_id`` of this one.
     """
     size = min(limit, MAX_PAGE)
     rows = latest if status is None else latest.filter(F.col("status") == status)

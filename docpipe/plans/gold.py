@@ -14,6 +14,7 @@ from docpipe.functions.values import date
 from docpipe.operators.duplicates import mark_against_history, mark_duplicates
 from docpipe.operators.once import evaluate_once
 from docpipe.operators.quality import gold_eligible
+from docpipe.operators.skew import join_unique
 
 # Documents have no arrival number of their own; storage keys order them.
 STORAGE_ORDER = ["run_id", "source_s3_key", "document_id"]
@@ -110,16 +111,20 @@ def key_index(gold: DataFrame, order: list[str] | None = None) -> DataFrame:
     )
 
 
-def relevant_history(index: DataFrame, current: DataFrame) -> DataFrame:
-    """Index rows that share a fingerprint or a business key with the current batch."""
-    fingerprints = current.select("document_fingerprint").distinct()
-    keys = current.select("business_key").filter(F.col("business_key").isNotNull()).distinct()
-    by_print = index.join(fingerprints, "document_fingerprint", "left_semi").select(*index.columns)
-    by_key = (
-        index.join(keys, "business_key", "left_semi").select(*index.columns)
-        .join(fingerprints, "document_fingerprint", "left_anti").select(*index.columns)
-    )
-    return by_print.unionByName(by_key)
+def relevant_history(index: DataFrame, current: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """Index rows that share a fingerprint or a business key with the current batch.
+
+    Only these can change a mark. A key that fills much of the index is looked
+    up by broadcast, all others by key, so no task gets a whole hot key.
+    """
+    kept = index
+    for key in ("document_fingerprint", "business_key"):
+        seen = (
+            current.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias(f"_in_{key}"))
+        )
+        kept = join_unique(kept, seen, key, order or STORAGE_ORDER)
+    shared = F.col("_in_document_fingerprint").isNotNull() | F.col("_in_business_key").isNotNull()
+    return kept.filter(shared).select(*index.columns)
 
 
 def invoice_summary(gold: DataFrame, typed: bool = False) -> DataFrame:

@@ -40,10 +40,16 @@ def write_evidence(extractions: DataFrame, path: str) -> None:
     _partitioned(evidence_records(extractions), "run_id").parquet(path)
 
 
-def write_silver(silver: DataFrame, path: str) -> None:
-    """One pass into valid, rejected and failed, below each run."""
+def write_silver(silver: DataFrame, path: str, gather: bool = True) -> None:
+    """One pass into valid, rejected and failed, below each run.
+
+    ``gather`` brings each (outcome, run) together first, so that many runs do
+    not become a file per task and run; leave it off for input already laid out
+    by run.
+    """
     routed = silver.withColumn("outcome", outcome())
-    _partitioned(routed, "outcome", "run_id").parquet(path)
+    rows = routed.hint("rebalance", "outcome", "run_id") if gather else routed
+    _partitioned(rows, "outcome", "run_id").parquet(path)
 
 
 def write_silver_json(silver: DataFrame, path: str) -> None:

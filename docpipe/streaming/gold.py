@@ -33,7 +33,7 @@ def gold_batches(
             marked = mark_duplicates(current, order)
         else:
             past = index.filter(F.col("epoch") < epoch).drop("epoch")
-            marked = mark_against_history(current, relevant_history(past, current), order)
+            marked = mark_against_history(current, relevant_history(past, current, order), order)
         replace_batch(gold_columns(marked, [c for c in order if c not in STORAGE_ORDER]), gold_path, epoch)
         replace_batch(key_index(current, order), index_path, epoch)
         current.unpersist()
