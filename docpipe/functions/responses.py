@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docpipe.functions.flags import coerce_flags, no_flags
 from docpipe.functions.text import strip
-from docpipe.schemas import ENRICHMENT_RESPONSE, EVIDENCE_RESPONSE, EXTRACTION_RESPONSE
+from docpipe.schemas import EVIDENCE_RESPONSE, EXTRACTION_RESPONSE
 
 # Evidence field type per canonical field.
 EVIDENCE_FIELDS = {
@@ -98,12 +98,12 @@ def json_number_text(body: Column, field: str, text: Column) -> Column:
 
 
 def parse_enrichment(body: Column) -> Column:
-    return F.from_json(body, ENRICHMENT_RESPONSE)
+    """Keys the response returned and their values as text; null when it is no JSON object."""
+    return F.from_json(body, "map<string,string>")
 
 
-def returned_keys(body: Column) -> Column:
-    """Keys present in the response, explicit nulls included."""
-    return F.json_object_keys(body)
+def parse_confidences(summary: Column) -> Column:
+    return F.from_json(summary, "map<string,double>")
 
 
 def strip_fence(response: Column) -> Column:

@@ -12,9 +12,9 @@ from docpipe.functions.responses import (
     evidence_candidate,
     evidence_detections,
     json_number_text,
+    parse_confidences,
     parse_enrichment,
     parse_evidence,
-    returned_keys,
     strip_fence,
 )
 from docpipe.operators.quality import needs_enrichment
@@ -127,33 +127,35 @@ def merge_enrichment(
     """
     invoked = needs_enrichment() & F.lit(enabled)
     staged = candidates.withColumns({"enrichment_invoked": invoked, "_before": missing_fields()}).join(
-        responses.select(*DOCUMENT_KEY, strip_fence(F.col("enrichment")).alias("_body")), DOCUMENT_KEY, "left"
-    )
-    keys = returned_keys(F.col("_body"))
-    ok = keys.isNotNull() & F.col("_body").rlike(r"\}\s*$")
-    staged = staged.withColumns(
-        {
-            "_use": F.col("enrichment_invoked") & F.coalesce(ok, F.lit(False)),
-            "_failed": F.col("enrichment_invoked") & ~F.coalesce(ok, F.lit(False)),
-            "_keys": keys,
-            "_scored": returned_keys(F.get_json_object("_body", "$.confidence_summary")),
-            "_got": parse_enrichment(F.col("_body")),
-        }
+        responses.select(*DOCUMENT_KEY, "enrichment"), DOCUMENT_KEY, "left"
     )
+    # Only invoked documents are parsed, each response once: a map keeps the
+    # returned keys, explicit nulls among them.
+    body = F.when(F.col("enrichment_invoked"), strip_fence(F.col("enrichment")))
+    kept = [*candidates.columns, "enrichment_invoked", "_before"]
+    parsed = evaluate_once(staged.withColumn("_body", body), kept, {
+        "_body": F.col("_body"),
+        "_got": F.when(F.col("_body").rlike(r"\}\s*$"), parse_enrichment(F.col("_body"))),
+    })
+    scored = evaluate_once(parsed, parsed.columns, {
+        "_scores": parse_confidences(F.try_element_at("_got", F.lit("confidence_summary"))),
+        "_use": F.col("_got").isNotNull(),
+        "_failed": F.col("enrichment_invoked") & F.col("_got").isNull(),
+    })
     merged = {}
     for field in CANDIDATE_FIELDS:
-        value = F.col(f"_got.{field}")
+        value = F.try_element_at("_got", F.lit(field))
         if field == "total_amount":
             value = json_number_text(F.col("_body"), field, value)
-        returned = F.col("_use") & F.array_contains("_keys", field)
+        returned = F.col("_use") & F.map_contains_key("_got", field)
         if prefer_existing:
             returned = returned & (F.coalesce(F.col(field).cast("string"), F.lit("")) == "")
         merged[field] = F.when(F.coalesce(returned, F.lit(False)), value).otherwise(F.col(field))
         score = confidence_name(field)
-        scored = F.coalesce(F.col("_use") & F.array_contains("_scored", field), F.lit(False))
-        merged[score] = F.when(scored, F.col(f"_got.confidence_summary.{field}")).otherwise(F.col(score))
+        given = F.coalesce(F.map_contains_key("_scores", field), F.lit(False))
+        merged[score] = F.when(given, F.try_element_at("_scores", F.lit(field))).otherwise(F.col(score))
     merged["quality_flags"] = append_flags(F.col("quality_flags"), flag(F.col("_failed"), ENRICHMENT_FAILED))
-    overlaid = staged.withColumns(merged)
+    overlaid = scored.withColumns(merged)
     completed = F.when(F.col("_use"), F.array_sort(F.array_except("_before", missing_fields()))).otherwise(no_flags())
     return overlaid.withColumn("enrichment_completed_fields", completed).select(
         *candidates.columns, "enrichment_invoked", "enrichment_completed_fields"

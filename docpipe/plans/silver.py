@@ -22,6 +22,13 @@ from docpipe.operators.quality import (
 )
 
 
+# Engine names recorded in the documents.
+TEXT_ENGINE, TEXT_NORMALIZER = "local_tesseract", "local_ollama"
+EVIDENCE_ENGINE, ENRICHED, PLAIN, BATCH_NORMALIZER = (
+    "textract_analyze_expense", "bedrock", "textract_only", "glue_normalize",
+)
+
+
 def template_defaults() -> dict[str, Column]:
     """Defaults of the canonical document; every other field starts as null."""
     return {
@@ -105,8 +112,8 @@ def silver_from_text(
         "document_date": F.col("_date"),
         "total_amount": F.col("_amount"),
         "currency": currency(F.col("_text"), F.col("_currency"), F.col("_amount")),
-        "extraction_engine": F.lit("local_tesseract"),
-        "normalization_engine": F.lit("local_ollama"),
+        "extraction_engine": F.lit(TEXT_ENGINE),
+        "normalization_engine": F.lit(TEXT_NORMALIZER),
         "llm_model_id": F.lit(model_id),
         # This path reports a missing date ahead of the rules.
         "quality_flags": append_flags(
@@ -134,7 +141,7 @@ def silver_from_candidates(
     completed = F.col("enrichment_completed_fields") if "enrichment_completed_fields" in have else no_flags()
     engine = (
         F.lit(normalization_engine) if normalization_engine
-        else F.when(invoked, F.lit("bedrock")).otherwise(F.lit("textract_only"))
+        else F.when(invoked, F.lit(ENRICHED)).otherwise(F.lit(PLAIN))
     )
     staged = evaluate_once(
         candidates,
@@ -157,7 +164,7 @@ def silver_from_candidates(
         "document_date": F.col("_date"),
         "total_amount": F.col("_amount"),
         "currency": currency(F.col("_text"), F.col("_currency"), F.col("_amount")),
-        "extraction_engine": F.lit("textract_analyze_expense"),
+        "extraction_engine": F.lit(EVIDENCE_ENGINE),
         "normalization_engine": F.col("_engine"),
         "llm_model_id": F.lit(model_id),
         "enrichment_invoked": F.col("_invoked"),
@@ -174,7 +181,7 @@ def normalize_evidence_batch(
     candidates = candidates_from_evidence(evidence).withColumns(
         {"run_id": F.lit(run_id), "created_at": F.lit(created_at)}
     )
-    return silver_from_candidates(candidates, as_of, rules, normalization_engine="glue_normalize")
+    return silver_from_candidates(candidates, as_of, rules, normalization_engine=BATCH_NORMALIZER)
 
 
 def outcome() -> Column:

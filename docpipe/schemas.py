@@ -67,12 +67,6 @@ EVIDENCE_RESPONSE = (
     "raw_text string"
 )
 
-ENRICHMENT_RESPONSE = (
-    "document_type string, vendor_name string, document_date string, total_amount string, currency string, "
-    "confidence_summary struct<document_type: double, vendor_name: double, document_date: double, "
-    "total_amount: double, currency: double>"
-)
-
 EXTRACTION_RESPONSE = (
     "total_amount string, document_date string, vendor_name string, vendor_or_requester string, "
     "currency string, ocr_confidence_flags string, _corrupt string"

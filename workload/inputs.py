@@ -411,7 +411,7 @@ STATEMENT_SHAPES = {
     11: "SELECT a_name FROM people JOIN accounts ON people.id = accounts.id",
     12: "SELECT secret_column, invoice_id FROM gold_invoice_summary",
     13: "SELECT invoice_id FROM gold_invoice_summary LIMIT 5000",
-    14: "SELECT g.document_id, s.supplier_name FROM invoice_pipeline_gold.gold_documents g LEFT JOIN gold_invoice_summary AS s ON g.document_id = s.invoice_id LIMIT 50",
+    14: "SELECT g.document_id, s.supplier_name FROM gold.gold_documents g LEFT JOIN gold_invoice_summary AS s ON g.document_id = s.invoice_id LIMIT 50",
     15: "SELECT count(distinct vendor_name) FROM gold_documents WHERE currency IN ('USD', 'select me') AND batch_id = \"b x\"",
     16: "SELECT vendor_name FROM gold_documents d WHERE year(date(d.document_date)) = 2000 AND is_duplicate = false",
 }
