@@ -459,7 +459,7 @@ def silver_json_scan(spark, d):
         F.when(F.col("seq") % 61 == 5, F.lit("{not json")).when(F.col("seq") % 61 == 6, F.lit("[1, 2]"))
         .when(F.col("seq") % 61 == 7, F.lit('{"document_id": "bare", "ocr_confidence_flags": ["low"]}')).otherwise(line).alias("value")
     )
-    lines.write.option("fileExtension", "json").text(path)
+    lines.write.text(path)
     texts = spark.read.text(path).select("value", F.lit("/lake/silver/part-0.json").alias("source_path"))
     good, bad = files.split_silver(texts, dt.datetime(2000, 12, 31))
     tally = good.groupBy("run_id", "processing_status", "quality_status").agg(
