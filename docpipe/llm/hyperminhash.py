@@ -152,10 +152,11 @@ def _joined_up(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def _across(members: DataFrame, buckets: int, threshold: float) -> DataFrame:
+def _across(members: DataFrame, bands: int, buckets: int, threshold: float) -> DataFrame:
     """Pairs (a, b) of one band but different components whose estimate may reach the threshold.
 
-    ``members``: (band, node, comp, n, regs). A band with many members is cut in blocks, compared two at a time.
+    ``members``: (band, nth, node, comp, n, regs). A band with many members is cut in blocks, compared two at a time. A
+    pair that shares several bands is given by the first of them only.
     """
     least = threshold - SLACK * float(np.sqrt(threshold * (1 - threshold) / buckets))
     mixed_bands = (
@@ -164,19 +165,21 @@ def _across(members: DataFrame, buckets: int, threshold: float) -> DataFrame:
     )
     placed = members.join(mixed_bands, "band").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, "block").alias("p"), F.greatest(x, "block").alias("q")))
-    dealt = placed.select("band", "node", "comp", "n", "regs", "block", F.explode(meets).alias("m")).select("band", "node", "comp", "n", "regs", "block", "m.p", "m.q")
+    dealt = placed.select("band", "nth", "node", "comp", "n", "regs", "block", F.explode(meets).alias("m")).select("band", "nth", "node", "comp", "n", "regs", "block", "m.p", "m.q")
 
     def of_group(key, frame):
         node, comp = frame.column("node").to_numpy(), frame.column("comp").to_numpy()
         n, block = frame.column("n").to_numpy(), frame.column("block").to_numpy()
         regs = np.frombuffer(b"".join(frame.column("regs").to_pylist()), np.uint16).reshape(-1, buckets)
-        p, q = key[1].as_py(), key[2].as_py()
+        p, q, nth = key[1].as_py(), key[2].as_py(), frame.column("nth")[0].as_py()
         found_a, found_b = [], []
         right = np.flatnonzero(block == q)
         for i in np.flatnonzero(block == p):
             other = right[(comp[right] != comp[i]) & ((node[right] > node[i]) if p == q else True)]
             if len(other):
                 near = other[estimate((regs[other] == regs[i]).sum(axis=1), n[i], n[other], buckets) >= least]
+                if len(near):
+                    near = near[(regs[near] == regs[i]).reshape(len(near), bands, -1).all(axis=2).argmax(axis=1) == nth]
                 found_a.append(np.maximum(node[near], node[i]))
                 found_b.append(np.minimum(node[near], node[i]))
         empty = np.zeros(0, node.dtype)
@@ -202,7 +205,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int
         .select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "regs", "bands"),
         "classes",
     )
-    banded = classes.select("node", F.explode("bands").alias("band"))
+    banded = classes.select("node", F.posexplode("bands").alias("nth", "band"))
     lowest = banded.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low != high")
     stars = stage(banded.join(lowest, "band").where("node != low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct(), "stars")
     involved = stars.select(F.col("a").alias("doc_id")).unionByName(stars.select(F.col("b").alias("doc_id"))).distinct()
@@ -219,7 +222,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int
     nodes = _joined_up(nodes, _confirmed(_may_link(apart, classes, buckets, threshold), texts, shingle, threshold))
 
     members = banded.join(lowest.select("band"), "band", "left_semi").join(nodes, "node").join(classes.select("node", "n", "regs"), "node")
-    rest = _across(members, buckets, threshold).join(tried, ["a", "b"], "left_anti")
+    rest = _across(members, bands, buckets, threshold).join(tried, ["a", "b"], "left_anti")
     nodes = _joined_up(nodes, _confirmed(rest, texts, shingle, threshold))
 
     of_class = copies.join(nodes, "node").select("k1", "k2", "comp")
