@@ -9,6 +9,7 @@ about one bin that cannot be filled, so a group costs at most one sequence in so
 from __future__ import annotations
 
 import bisect
+import re
 import zlib
 
 import numpy as np
@@ -20,35 +21,65 @@ from .common import binary, stage
 
 CAPACITY = 2048
 GROUP = 40_000
-CACHE = 200_000  # encoded chunks a worker remembers
+CACHE = 400_000  # encoded chunks, and pieces of them, that a worker remembers
+#: The tokenizer's split pattern over lower-case ASCII and Latin letters, and the chunks it is enough for.
+PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z\u00df-\u00f6\u00f8-\u00ff0-9]+")
+SIMPLE = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 PATIENCE = 64  # the search ends after so many givers in a row without a step
 
 
+class ChunkEncoder:
+    """Ids (as bytes) of chunks between white space, remembered by chunk and by the pieces that the tokenizer splits it into.
+
+    Chunks of ASCII and Latin letters are split here, by the tokenizer's own pattern, and each new piece goes to its
+    model; any other chunk goes through the whole tokenizer.
+    """
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        self.whole = Tokenizer.from_file(path)
+        self.model, self.bytes_of = self.whole.model, ByteLevel(add_prefix_space=False, use_regex=False)
+        self.chunks: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def _piece(self, piece: str) -> bytes:
+        symbols = piece if piece.isascii() else self.bytes_of.pre_tokenize_str(piece)[0][0]
+        ids = self.pieces[piece] = np.array([t.id for t in self.model.tokenize(symbols)], "<u4").tobytes()
+        return ids
+
+    def new(self, chunk: bytes) -> bytes:
+        text = chunk.decode("utf-8")
+        if SIMPLE.fullmatch(text) and b"<|" not in chunk:
+            pieces = self.pieces
+            ids = b"".join([pieces.get(p) or self._piece(p) for p in PIECE.findall(text.lower())])
+        else:
+            ids = np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        self.chunks[chunk] = ids
+        return ids
+
+    def document(self, data: bytes) -> bytes:
+        if len(self.chunks) > CACHE or len(self.pieces) > CACHE:
+            self.chunks.clear()
+            self.pieces.clear()
+        known = self.chunks
+        return b"".join([known.get(c) or self.new(c) for c in data.split()])
+
+
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): each document's ids, then ``end_id``, cut every ``capacity`` ids.
 
     The tokenizer splits at white space whatever the context, so texts are encoded by chunks between ASCII white space,
-    and the bytes of a chunk's ids are remembered: real text repeats its words.
+    and the ids of a chunk are remembered: real text repeats its words.
     """
 
     def of_batch(batches):
-        from tokenizers import Tokenizer
-
-        encoder = Tokenizer.from_file(tokenizer)
-        known: dict[bytes, bytes] = {}
-        end = np.uint32(end_id).tobytes()
+        encoder, end = ChunkEncoder(tokenizer), np.uint32(end_id).tobytes()
         for frame in batches:
             columns = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32")}
             for doc_id, data in zip(frame["doc_id"], frame["text"]):
-                chunks = data.split()
-                new = [c for c in set(chunks) if c not in known]
-                if new:
-                    if len(known) > CACHE:
-                        known.clear()
-                        new = list(set(chunks))
-                    for c, e in zip(new, encoder.encode_batch_fast([c.decode("utf-8") for c in new], add_special_tokens=False)):
-                        known[c] = np.array(e.ids, "<u4").tobytes()
-                ids = b"".join([known[c] for c in chunks]) + end
+                ids = encoder.document(data) + end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     for k, v in zip(columns, (doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part))):
