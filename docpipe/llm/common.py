@@ -11,6 +11,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docpipe.session import shared_dir
+
 _MIX1, _MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _ROLL = 0x9E3779B97F4A7C15
 _SHIFT = np.uint64(33)
@@ -21,11 +23,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or the checkpoint folder the session was given. There is no local fallback."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    return folder.rstrip("/")
+    """The folder all executors share (``spark.checkpoint.dir``; only a local session may do without)."""
+    return shared_dir(spark)
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
