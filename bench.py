@@ -22,7 +22,7 @@ HEADLINE = [
     "enriched_silver", "response_parse", "best_attempt", "arrival_unwrap", "text_clean_lines", "text_fingerprint",
     "gold_documents", "gold_incremental", "gold_run", "idempotent_skip", "batch_completeness", "batch_manifest",
     "run_summary", "acceptance_gate", "flag_counts", "latency_percentiles", "latency_by_run", "collision_names",
-    "statement_audit", "contract_report", "q_total_by_supplier", "q_top_suppliers", "q_vendor_spend",
+    "contract_report", "q_total_by_supplier", "q_top_suppliers", "q_vendor_spend",
     "q_latest_batch_per_vendor", "q_docs_per_vendor", "sql_surface_joins", "status_latest", "status_forward",
     "dead_letter", "alarm_windows", "stream_ingest", "stream_gold", "stream_status",
 ]

@@ -68,9 +68,12 @@ def parse_evidence(response: Column) -> Column:
 def json_body(response: Column) -> Column:
     """The JSON object in a response: a fenced object, else from the first brace on."""
     text = strip(response)
-    fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)
+    # Odd parts between fence marks are inside a fence; the first that is an object, its language word aside, is taken.
+    parts = F.filter(F.split(text, "```"), lambda part, i: (i % 2 == 1) & (i < F.size(F.split(text, "```")) - 1))
+    inner = F.transform(parts, lambda part: strip(F.regexp_replace(part, "^json", "")))
+    fenced = F.try_element_at(F.filter(inner, lambda part: part.startswith("{") & part.endswith("}")), F.lit(1))
     bare = F.when(text.contains("{") & text.contains("}"), F.substr(text, F.locate("{", text)))
-    return F.when(fenced != "", fenced).otherwise(bare)
+    return F.coalesce(fenced, bare)
 
 
 def parse_extraction(body: Column) -> Column:

@@ -54,12 +54,13 @@ def mark_duplicates(
     """Mark ``records`` (those with ``current`` true, if given) against all of them.
 
     Rows need ``document_id``, ``document_fingerprint`` and ``business_key``;
-    ``order`` names columns that together order all rows. History sorts before
-    current. The result keeps current rows only. ``population`` may name a frame
+    ``order`` names columns that order the rows; rows equal in all of them come in
+    stored order, so ``records`` must be a stored table (one that gives the same
+    rows in the same partitions each time). History sorts before current. The result keeps current rows only. ``population`` may name a frame
     of as many rows that is cheaper to count.
     """
     flag = F.col(current) if current else F.lit(True)
-    rank = F.struct(flag.alias("late"), *[F.col(c) for c in order])
+    rank = F.struct(flag.alias("late"), *[F.col(c) for c in order], F.monotonically_increasing_id().alias("place"))
     ranked = records.withColumn("_rank", rank)
     index = ranked.select("_rank", "document_id", "document_fingerprint", "business_key")
     wanted = ranked.filter(current) if current else ranked
@@ -72,7 +73,8 @@ def mark_against_history(current: DataFrame, history: DataFrame, order: list[str
     past = exclude_identities(history.select(*narrow), current)
 
     def ranked(df: DataFrame, late: bool) -> DataFrame:
-        return df.withColumn("_rank", F.struct(F.lit(late).alias("late"), *[F.col(c) for c in order]))
+        place = F.monotonically_increasing_id().alias("place")
+        return df.withColumn("_rank", F.struct(F.lit(late).alias("late"), *[F.col(c) for c in order], place))
 
     index_columns = ["_rank", "document_id", "document_fingerprint", "business_key"]
     now = ranked(current, True)

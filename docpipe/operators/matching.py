@@ -86,16 +86,24 @@ CANDIDATE_COLUMNS = [
 ]
 
 
-def reuse_candidates(requests: DataFrame, evidence: DataFrame) -> DataFrame:
+def one_per_document(rows: DataFrame, payload: list[str], latest: str | None = None) -> DataFrame:
+    """One row per document key: the one with the greatest ``latest``, then the greatest payload."""
+    order = [*([latest] if latest else []), *payload]
+    chosen = rows.groupBy(*DOCUMENT_KEY).agg(F.max(F.struct(*order)).alias("_row"))
+    return chosen.select(*DOCUMENT_KEY, *[F.col(f"_row.{c}").alias(c) for c in payload])
+
+
+def reuse_candidates(requests: DataFrame, evidence: DataFrame, latest: str | None = None) -> DataFrame:
     """Requests with their own candidate, or the one re-extracted from stored evidence.
 
     ``requests`` may carry a ``candidate`` struct of ``CANDIDATE_COLUMNS``. Only
     requests without one use the stored evidence; where that is a failure, or
-    absent, the request gets the extraction failure flag and ``failed`` is true.
+    absent, the request gets the extraction failure flag and ``failed`` is true. Of
+    repeated evidence the greatest by ``latest`` (then by value) counts.
     """
-    stored = candidates_from_evidence(evidence.select(*DOCUMENT_KEY, "status", "textract_response")).select(
-        *DOCUMENT_KEY, "status", F.struct(*CANDIDATE_COLUMNS).alias("_stored")
-    )
+    open_requests = requests.filter(F.col("candidate").isNull()).select(*DOCUMENT_KEY).distinct()
+    wanted = one_per_document(evidence, ["status", "textract_response"], latest).join(open_requests, DOCUMENT_KEY, "left_semi")
+    stored = candidates_from_evidence(wanted).select(*DOCUMENT_KEY, "status", F.struct(*CANDIDATE_COLUMNS).alias("_stored"))
     joined = requests.join(stored, DOCUMENT_KEY, "left")
     failed = F.col("candidate").isNull() & (F.coalesce(F.col("status"), F.lit("failed")) == "failed")
     source = F.when(F.col("candidate").isNotNull(), F.col("candidate")).when(~failed, F.col("_stored"))
@@ -115,7 +123,8 @@ def missing_fields():
 
 
 def merge_enrichment(
-    candidates: DataFrame, responses: DataFrame, enabled: bool = True, prefer_existing: bool = False
+    candidates: DataFrame, responses: DataFrame, enabled: bool = True, prefer_existing: bool = False,
+    latest: str | None = None,
 ) -> DataFrame:
     """Overlay enrichment responses on the candidates that need them.
 
@@ -123,11 +132,12 @@ def merge_enrichment(
     null or absent where the call failed. A key the response returned replaces
     the candidate's value even when it returned null (``prefer_existing`` keeps a
     value that is there); an absent key changes nothing. Failed calls keep the
-    candidate and add a technical flag.
+    candidate and add a technical flag. Of repeated responses the greatest by
+    ``latest`` (then by text) counts, so documents are never multiplied.
     """
     invoked = needs_enrichment() & F.lit(enabled)
     staged = candidates.withColumns({"enrichment_invoked": invoked, "_before": missing_fields()}).join(
-        responses.select(*DOCUMENT_KEY, "enrichment"), DOCUMENT_KEY, "left"
+        one_per_document(responses, ["enrichment"], latest), DOCUMENT_KEY, "left"
     )
     # Only invoked documents are parsed, each response once: a map keeps the
     # returned keys, explicit nulls among them.

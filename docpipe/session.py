@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -36,7 +37,7 @@ def shared_dir(spark: SparkSession) -> str:
     known = spark.sparkContext.getCheckpointDir()
     if known:
         return known.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     folder = tempfile.mkdtemp(prefix="docpipe-")
     spark.sparkContext.setCheckpointDir(folder)
@@ -65,13 +66,3 @@ def written(df, label: str, *partitions: str):
     writer = df.write.mode("overwrite")
     (writer.partitionBy(*partitions) if partitions else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def spread(df, *keys: str):
-    """Deal a table out over the cores when it arrives in fewer splits than that.
-
-    Per-row work on one small file would run on one core. A table in many splits
-    (any large one) is returned as it is, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df

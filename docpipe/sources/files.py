@@ -54,15 +54,15 @@ def _has_files(spark: SparkSession, folder: str) -> bool:
 
 
 def read_silver_json(
-    spark: SparkSession, folder: str, as_of: dt.datetime, one_per_file: bool = False
+    spark: SparkSession, folder: str, as_of: dt.datetime, one_per_file: bool = False, fallback: str | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """(documents, quarantine) of a folder tree of silver JSON.
 
     ``one_per_file`` reads indented one-document files, JSON lines otherwise. If
-    the folder has no JSON file its parent is read instead. Text that is not one
+    the folder has no JSON file, ``fallback`` is read if one is named. Text that is not one
     JSON object goes to quarantine. Absent fields get their defaults.
     """
-    source = folder if _has_files(spark, folder) else folder.rstrip("/").rsplit("/", 1)[0]
+    source = folder if fallback is None or _has_files(spark, folder) else fallback
     texts = (
         spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json")
         .text(source, wholetext=one_per_file)

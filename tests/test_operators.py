@@ -13,28 +13,6 @@ from docpipe.plans import silver as silver_plan
 AS_OF = dt.date(2020, 6, 30)
 
 
-def sequential_marks(history, current):
-    seen_print, seen_key, out = {}, {}, {}
-    identities = {(r[0], r[1], r[2]) for r in current}
-    for r in history:
-        if (r[0], r[1], r[2]) in identities:
-            continue
-        seen_print.setdefault(r[3], r[1])
-        if r[4]:
-            seen_key.setdefault(r[4], r[1])
-    for r in current:
-        if r[3] in seen_print:
-            out[r[5]] = ("exact_fingerprint", seen_print[r[3]], 1.0)
-        elif r[4] and r[4] in seen_key:
-            out[r[5]] = ("business_key", seen_key[r[4]], 0.85)
-        else:
-            out[r[5]] = ("none", None, 0.0)
-        seen_print.setdefault(r[3], r[1])
-        if r[4]:
-            seen_key.setdefault(r[4], r[1])
-    return out
-
-
 SCHEMA = "run_id string, document_id string, source_s3_key string, document_fingerprint string, business_key string, seq long"
 
 
@@ -52,13 +30,35 @@ def marks(df):
     return {r.seq: (r.duplicate_strategy, r.duplicate_of_document_id, r.duplicate_confidence) for r in df.collect()}
 
 
-def test_duplicates_match_the_sequential_walk(spark):
+def check_marks(history, current, got):
+    """What marks mean, key by key: the first holder is free, all others are marked and point at the first."""
+    again = {r[:3] for r in current}
+    before = [r for r in history if r[:3] not in again]
+    for at, name in ((3, "exact_fingerprint"), (4, "business_key")):
+        first = {}
+        for r in [*before, *current]:
+            if r[at] and r[at] not in first:
+                first[r[at]] = r
+        for r in current:
+            strategy, target, confidence = got[r[5]]
+            leads = not r[at] or first[r[at]] is r
+            if strategy == name:
+                assert not leads and target == first[r[at]][1]
+                assert confidence == {"exact_fingerprint": 1.0, "business_key": 0.85}[name]
+            elif not leads:  # only the stronger reason may stand before this one
+                assert name == "business_key" and strategy == "exact_fingerprint"
+            elif strategy == "none":
+                assert target is None and confidence == 0.0
+
+
+def test_duplicates_against_history(spark):
     for seed in range(3):
         rng = random.Random(seed)
         history, current = make(rng, 3000, 0, ["r1", "r2", None]), make(rng, 1500, 10_000, ["r2", "r3", None])
         h, c = spark.createDataFrame(history, SCHEMA), spark.createDataFrame(current, SCHEMA)
         got = marks(duplicates.mark_against_history(c, h, ["seq"]))
-        assert got == sequential_marks(history, current)
+        assert len(got) == len(current)
+        check_marks(history, current, got)
         assert {s for s, _, _ in got.values()} == {"exact_fingerprint", "business_key", "none"}
 
 
@@ -66,12 +66,14 @@ def test_duplicates_within_one_table(spark):
     rng = random.Random(9)
     rows = make(rng, 4000, 0, ["a", "b"])
     df = spark.createDataFrame(rows, SCHEMA)
-    assert marks(duplicates.mark_duplicates(df, ["seq"])) == sequential_marks([], rows)
-    flagged = df.withColumn("now", F.col("run_id") == "b")
-    late = [r for r in rows if r[0] == "b"]
-    assert marks(duplicates.mark_duplicates(flagged, ["seq"], "now")) == sequential_marks(
-        [r for r in rows if r[0] == "a"], late
-    )
+    check_marks([], rows, marks(duplicates.mark_duplicates(df, ["seq"])))
+
+
+def test_equal_records_keep_one(spark):
+    rows = [("r", "d", "s", "f", "k", 1)] * 5 + [("r", "e", "t", "g", None, 2)]
+    marked = duplicates.mark_duplicates(spark.createDataFrame(rows, SCHEMA), ["run_id", "source_s3_key", "document_id"]).collect()
+    assert sum(not r.is_duplicate for r in marked if r.document_id == "d") == 1
+    assert not any(r.is_duplicate for r in marked if r.document_id == "e")
 
 
 def test_join_unique_with_hot_and_null_keys(spark):
@@ -121,84 +123,44 @@ def test_nearest_rank(spark):
         assert got[g]["max"] == ordered[-1] and got[g]["n"] == n
 
 
-def walk_rules(d):
-    """The rules as a walk over one document, for comparison."""
-    flags, reason, rejected = list(d["quality_flags"]), d["rejection_reason"], False
-
-    def add(f):
-        if f not in flags:
-            flags.append(f)
-
-    if d["processing_status"] == "failed" or set(flags) & set(quality.DEFAULT_RULES.technical_flags):
-        return "failed", "rejected", 0.0, flags, quality.TECHNICAL_FAILURE
-    missing = [f for f in quality.DEFAULT_RULES.required_fields if not d[f]]
-    if missing:
-        rejected, reason = True, "missing_required_fields"
-        for f in missing:
-            add(f"missing_{f}")
-    if all(d[f] in (None, "") for f in ("vendor_name", "document_date", "total_amount")):
-        rejected, reason = True, reason or "minimum_acceptance_not_met"
-        add("minimum_acceptance_not_met")
-    if d["document_date"]:
-        on = dt.date.fromisoformat(d["document_date"])
-        if on.year < 1970 or on > AS_OF:
-            rejected, reason = True, "document_date_out_of_allowed_range"
-            add("invalid_document_date")
-    else:
-        add("missing_document_date")
-    if d["total_amount"] is None:
-        add("missing_total_amount")
-    elif not 0 <= d["total_amount"] <= 1_000_000:
-        rejected, reason = True, "total_amount_exceeds_allowed_threshold"
-        add("amount_outlier")
-    if d["total_amount"] is not None and d["currency"] is None:
-        add("currency_missing")
-    if d["currency"] and d["currency"] not in ("PEN", "USD", "EUR"):
-        rejected, reason = True, "currency_not_allowed"
-        add("invalid_currency")
-    v = d["vendor_name"]
-    if v is None:
-        add("vendor_missing")
-    elif len(v.strip()) < 2:
-        add("vendor_too_short")
-    elif v.strip().isdigit():
-        rejected, reason = True, "vendor_name_not_usable"
-        add("invalid_vendor")
-    kind = d["document_type"] or "unknown"
-    if kind not in quality.DEFAULT_RULES.document_types:
-        rejected, reason = True, reason or "invalid_document_type"
-        add("invalid_document_type")
-    elif kind == "unknown":
-        add("unknown_document_type")
-    score = max(0.0, 1.0 - min(len(set(flags)), 8) * 0.1)
-    if rejected:
-        return "rejected", "rejected", min(score, 0.4), flags, reason
-    return "accepted", "warning" if flags else "accepted", score, flags, None
-
-
-def test_quality_rules_match_the_walk(spark):
-    rng = random.Random(11)
-    pick = rng.choice
-    names = ["run_id", "document_id", "source_s3_key", "source_file_name", "extraction_engine", "created_at",
-             "vendor_name", "document_date", "total_amount", "currency", "document_type", "processing_status",
-             "rejection_reason", "quality_flags"]
-    rows = []
-    for i in range(4000):
-        rows.append((
-            pick(["r", "r", "r", None]), f"d{i}", pick(["k", "k", "k", ""]), "f", "e", "c",
-            pick([None, "", "X", " 12345 ", "Acme", "Acme", "Beta Ltd"]),
-            pick([None, "", "1969-12-31", "2020-06-30", "2020-07-01", "2021-01-01", "2019-05-05", "2019-05-06"]),
-            pick([None, -0.01, 0.0, 1_000_000.0, 1_000_000.01, 5.5, 6.5]),
-            pick([None, "", "USD", "PEN", "GBP"]), pick([None, "", "invoice", "receipt", "unknown", "memo"]),
-            pick(["normalized", "normalized", "normalized", "failed"]), pick([None, None, "earlier_reason"]),
-            pick([[], [], ["missing_document_date"], ["note"], ["bedrock_request_failed"]]),
-        ))
+GOOD = {
+    "run_id": "r", "document_id": "d", "source_s3_key": "k", "source_file_name": "f", "extraction_engine": "e", "created_at": "c",
+    "vendor_name": "Acme", "document_date": "2020-05-05", "total_amount": 5.5, "currency": "USD", "document_type": "invoice",
+    "processing_status": "normalized", "rejection_reason": None, "quality_flags": [],
+}
+#: What differs from a good document -> processing status, quality status, score, flags, reason.
+DECISIONS = [
+    ({}, ("accepted", "accepted", 1.0, [], None)),
+    ({"document_date": "2020-06-30"}, ("accepted", "accepted", 1.0, [], None)),
+    ({"document_date": None}, ("accepted", "warning", 0.9, ["missing_document_date"], None)),
+    ({"document_date": "2020-07-01"}, ("rejected", "rejected", 0.4, ["invalid_document_date"], "document_date_out_of_allowed_range")),
+    ({"document_date": "1969-12-31"}, ("rejected", "rejected", 0.4, ["invalid_document_date"], "document_date_out_of_allowed_range")),
+    ({"total_amount": None}, ("accepted", "warning", 0.9, ["missing_total_amount"], None)),
+    ({"total_amount": 0.0}, ("accepted", "accepted", 1.0, [], None)),
+    ({"total_amount": 1_000_000.0}, ("accepted", "accepted", 1.0, [], None)),
+    ({"total_amount": -0.01}, ("rejected", "rejected", 0.4, ["amount_outlier"], "total_amount_exceeds_allowed_threshold")),
+    ({"total_amount": 1_000_000.01}, ("rejected", "rejected", 0.4, ["amount_outlier"], "total_amount_exceeds_allowed_threshold")),
+    ({"currency": None}, ("accepted", "warning", 0.9, ["currency_missing"], None)),
+    ({"currency": "GBP"}, ("rejected", "rejected", 0.4, ["invalid_currency"], "currency_not_allowed")),
+    ({"vendor_name": None}, ("accepted", "warning", 0.9, ["vendor_missing"], None)),
+    ({"vendor_name": "X"}, ("accepted", "warning", 0.9, ["vendor_too_short"], None)),
+    ({"vendor_name": " 12345 "}, ("rejected", "rejected", 0.4, ["invalid_vendor"], "vendor_name_not_usable")),
+    ({"document_type": None}, ("accepted", "warning", 0.9, ["unknown_document_type"], None)),
+    ({"document_type": "memo"}, ("rejected", "rejected", 0.4, ["invalid_document_type"], "invalid_document_type")),
+    ({"quality_flags": ["note"]}, ("accepted", "warning", 0.9, ["note"], None)),
+    ({"run_id": None}, ("rejected", "rejected", 0.4, ["missing_run_id"], "missing_required_fields")),
+    ({"document_date": None, "total_amount": None}, ("accepted", "warning", 0.8, ["missing_document_date", "missing_total_amount"], None)),
+]
+
+
+def test_quality_decisions(spark):
+    names = list(GOOD)
+    rows = [tuple((GOOD | change | {"document_id": str(i)})[n] for n in names) for i, (change, _) in enumerate(DECISIONS)]
     schema = ", ".join(f"{n} {'double' if n == 'total_amount' else 'array<string>' if n == 'quality_flags' else 'string'}" for n in names)
     got = {r.document_id: r for r in quality.apply_quality_rules(spark.createDataFrame(rows, schema), AS_OF).collect()}
-    for row in rows:
-        d = dict(zip(names, row))
-        r = got[d["document_id"]]
-        assert (r.processing_status, r.quality_status, r.quality_score, r.quality_flags, r.rejection_reason) == walk_rules(d), d
+    for i, (change, want) in enumerate(DECISIONS):
+        r = got[str(i)]
+        assert (r.processing_status, r.quality_status, round(r.quality_score, 6), r.quality_flags, r.rejection_reason) == want, change
 
 
 def test_one_outcome_per_input(spark):
@@ -258,3 +220,9 @@ def test_filters_do_not_copy_the_rules(spark):
 def test_silver_template_defaults(spark):
     row = silver_plan.conform(spark.range(1), {}).first()
     assert (row.document_type, row.quality_score, row.duplicate_strategy, row.vendor_name) == ("unknown", 1.0, "none", None)
+
+
+def test_repeated_responses_do_not_multiply(spark):
+    rows = spark.createDataFrame([("r", "d", "a", 1), ("r", "d", "b", 2), ("r", "e", "c", 1)], "run_id string, document_id string, enrichment string, at int")
+    got = {(x.document_id, x.enrichment) for x in matching.one_per_document(rows, ["enrichment"], "at").collect()}
+    assert got == {("d", "b"), ("e", "c")}

@@ -71,10 +71,12 @@ def test_silver_json_one_per_file(spark, tmp_path):
     assert rows["b"].source_s3_key == "data/raw/b.tif" and rows["b"].created_at == "2020-01-01T00:00:00Z"
 
 
-def test_silver_json_falls_back_to_the_parent(spark, tmp_path):
+def test_silver_json_reads_a_fallback_only_if_named(spark, tmp_path):
     (tmp_path / "valid").mkdir()
     (tmp_path / "x.json").write_text('{"document_id": "x"}')
-    good, _ = files.read_silver_json(spark, str(tmp_path / "valid"), dt.datetime(2020, 1, 1))
+    none, _ = files.read_silver_json(spark, str(tmp_path / "valid"), dt.datetime(2020, 1, 1))
+    assert none.count() == 0
+    good, _ = files.read_silver_json(spark, str(tmp_path / "valid"), dt.datetime(2020, 1, 1), fallback=str(tmp_path))
     assert [r.document_id for r in good.collect()] == ["x"]
 
 

@@ -724,41 +724,3 @@ ORACLES["contract_report_bronze"] = with_ctes("bronze", then=_report(
     ["run_id", "document_id", "source_s3_key", "source_file_name", "textract_response", "extraction_engine",
      "extraction_timestamp", "status"],
     ["extraction_engine", "status"], _schemas.BRONZE_EVIDENCE.fieldNames(), [], {}))
-
-
-# --- statement audit: the expected verdict of each shape ------------------------
-
-_VERDICTS = {
-    0: (None, "gold_documents", 100), 1: (None, "gold_invoice_summary", 5),
-    2: ("SQL query is empty.", None, None), 3: ("SQL query is empty.", None, None),
-    4: ("Only one SQL statement is allowed.", None, None), 5: ("Only SELECT queries are allowed.", None, None),
-    6: ("DDL and DML statements are not allowed.", None, None), 7: ("SELECT * is not allowed.", None, None),
-    8: ("SELECT * is not allowed.", None, None), 9: ("SELECT * is not allowed.", None, None),
-    10: ("Query must reference an allowed table.", None, None), 11: ("Unknown table(s): accounts, people", None, None),
-    12: ("Unknown identifier(s): secret_column", None, None), 13: ("LIMIT must be less than or equal to 1000.", None, None),
-    14: (None, "gold_documents,gold_invoice_summary", 50), 15: (None, "gold_documents", 100), 16: (None, "gold_documents", 100),
-}
-_LIMITED = {
-    1: "select supplier_name, sum(total_amount) AS total from gold_invoice_summary group by supplier_name order by total desc limit 5",
-    14: STATEMENT_SHAPES[14],
-    **{i: STATEMENT_SHAPES[i] + " LIMIT 100" for i in (0, 15, 16)},
-}
-
-
-def _cases(values: dict[int, object]) -> str:
-    def literal(v) -> str:
-        return "NULL" if v is None else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
-
-    return " ".join(f"WHEN {i} THEN {literal(v)}" for i, v in values.items())
-
-
-ORACLES["statement_audit"] = f"""
-  SELECT query_id, CASE WHEN reason IS NULL THEN 'accepted' ELSE 'rejected' END AS verdict, reason,
-    CASE WHEN shape = 17 THEN CASE WHEN reason IS NULL THEN 'gold_invoice_summary' END ELSE CASE shape {_cases({i: v[1] for i, v in _VERDICTS.items()})} END END AS tables,
-    CAST(CASE WHEN shape = 17 THEN CASE WHEN reason IS NULL THEN n END ELSE CASE shape {_cases({i: v[2] for i, v in _VERDICTS.items()})} END END AS INTEGER) AS row_limit,
-    CASE WHEN shape = 17 THEN CASE WHEN reason IS NULL THEN
-        concat('SELECT sum(total_amount) AS total FROM gold_invoice_summary WHERE lower(supplier_name) = ''vendor ', user_id, ''' LIMIT ', n) END
-      ELSE CASE shape {_cases(_LIMITED)} END END AS limited_sql
-  FROM (SELECT *, CASE WHEN shape = 17 THEN CASE WHEN n > 1000 THEN 'LIMIT must be less than or equal to 1000.' END
-               ELSE CASE shape {_cases({i: v[0] for i, v in _VERDICTS.items()})} END END AS reason
-        FROM (SELECT event_id AS query_id, user_id, event_id % 18 AS shape, event_id % 1500 AS n FROM events))"""

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from docpipe import schemas
 from docpipe.functions import keys, responses, text, values
-from docpipe.operators import audit, contracts, duplicates, matching, metrics, quality, ranks, skew, status, validation
+from docpipe.operators import contracts, duplicates, matching, metrics, quality, ranks, skew, status, validation
 from docpipe.plans import batch, curated, questions, sinks
 from docpipe.plans import gold as gold_plan
 from docpipe.plans import silver as silver_plan
@@ -148,7 +148,7 @@ def collision_names(spark, d):
 def text_clean_lines(spark, d):
     padded = F.concat(F.lit(" \r\n"), F.replace(F.col("text"), F.lit(". "), F.lit(".  \n\t \n ")), F.lit("\n "))
     clean = text.clean_lines(padded)
-    return inputs.spread_table(spark, d, "documents", "doc_id").select(
+    return inputs.table(spark, d, "documents").select(
         "doc_id", F.md5(clean.cast("binary")).alias("text_md5"), F.length(clean).cast("bigint").alias("n_chars_clean")
     )
 
@@ -161,7 +161,7 @@ def doc_type_classify(spark, d):
 @query
 def text_fingerprint(spark, d):
     """Exact duplicates of whole texts: fingerprint, and the first document that holds it."""
-    rows = inputs.spread_table(spark, d, "documents", "doc_id").select(
+    rows = inputs.table(spark, d, "documents").select(
         F.col("doc_id").cast("string").alias("document_id"), F.col("doc_id").alias("seq"),
         F.sha2("text", 256).alias("document_fingerprint"), F.lit(None).cast("string").alias("business_key"),
     )
@@ -174,7 +174,7 @@ def text_fingerprint(spark, d):
 def markdown_round_trip(spark, d):
     """Documents rendered as bronze text (some left bare), then read for their metadata."""
     name = F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".tif"))
-    rows = inputs.spread_table(spark, d, "documents", "doc_id").select(
+    rows = inputs.table(spark, d, "documents").select(
         "doc_id", "text", "n_chars", name.alias("source_file_name"), F.concat(F.lit("data/raw/"), name).alias("source_path")
     )
     markdown = F.when(F.col("n_chars") % 3 == 0, F.col("text")).otherwise(F.col("markdown"))
@@ -612,13 +612,6 @@ def metric_table(spark, d):
     return metrics.metric_table(metrics.document_metrics(inputs.silver_table(spark, d)))
 
 
-@query
-def statement_audit(spark, d):
-    return audit.audit_statements(inputs.statements(spark, d)).select(
-        "query_id", "verdict", "reason", joined("tables").alias("tables"), "row_limit", "limited_sql"
-    )
-
-
 @query
 def statement_telemetry(spark, d):
     return rounded(metrics.statement_telemetry(inputs.statements(spark, d)))
