@@ -123,7 +123,7 @@ def local_search(lengths: np.ndarray, bins: np.ndarray, capacity: int) -> np.nda
 
     The least filled bin gives. An item of it moves where it fits best; or takes the place of a smaller item, or of two
     items of one bin, where it leaves least room. Every step fills a bin that is at least as full as the giver, so the sum
-    of squares rises and the search ends; a giver without a step is left alone. It stops when a bound says no bin can go,
+    of squares rises and the search ends; a giver without a step rests until another has made one. It stops when a bound says no bin can go,
     or after ``PATIENCE`` givers in a row without a step; every item keeps a place either way.
     """
     lengths, bins = lengths.astype(np.int64), bins.copy()
@@ -172,6 +172,7 @@ def local_search(lengths: np.ndarray, bins: np.ndarray, capacity: int) -> np.nda
             stuck.add(int(giver))
             idle += 1
         else:
+            stuck.clear()
             idle = 0
             open_items = open_items[fill[bins[open_items]] < capacity]
     return bins
