@@ -28,6 +28,7 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
 _WORDS = (b"password", b"passwd", b"secret", b"token", b"api_key", b"apikey")
 # Parameters.
 SUPPORT = 1 / 500  # a prefix is a tree node if this share of its kind's labelled strings has it
+LEAST_COUNT = 10.0  # and this many of them: fewer tell no two states apart
 DEEP = 64  # symbols of a string that may become tree nodes; longer ones go on in the automaton
 ALPHA = 0.05  # of the Hoeffding bound
 SPREAD = 3.0  # standard deviations below the labelled mean that still count as the format
@@ -90,7 +91,7 @@ class Automaton:
     """States as dictionaries symbol -> (state, count), with counts of strings that end there."""
 
     def __init__(self, counts: dict[str, int], ends: dict[str, int]):
-        """From prefix counts; a prefix without a node of its own goes back to the state it came from."""
+        """From prefix counts. What follows without a node of its own stays in its state when strings are scored."""
         self.next: list[dict[str, int]] = [{} for _ in counts]
         self.flow: list[dict[str, int]] = [{} for _ in counts]
         self.end, self.count = [0] * len(counts), [0] * len(counts)
@@ -104,10 +105,9 @@ class Automaton:
                     self.next[i][symbol] = number[child]
                     self.flow[i][symbol] = counts[child]
                     left -= counts[child]
-            if left > 0:  # rare or deep continuations, on symbols that are not told apart
+            if left > 0:  # rare or deep continuations, on symbols that are not told apart; they lead to no node yet
                 free = [s for s in SYMBOLS if s not in self.next[i]] or list(SYMBOLS)
                 for symbol in free:
-                    self.next[i].setdefault(symbol, i)
                     self.flow[i][symbol] = self.flow[i].get(symbol, 0) + max(1, left // len(free))
 
     def _differ(self, f1: int, n1: int, f2: int, n2: int) -> bool:
@@ -146,8 +146,9 @@ class Automaton:
             into[b] = a
             self.end[a] += self.end[b]
             self.count[a] += self.count[b]
+            for s, flow in self.flow[b].items():
+                self.flow[a][s] = self.flow[a].get(s, 0) + flow
             for s, follows in self.next[b].items():
-                self.flow[a][s] = self.flow[a].get(s, 0) + self.flow[b][s]
                 target = a if follows == b else follows
                 if s in self.next[a]:
                     todo.append((self.next[a][s], target))
@@ -209,7 +210,7 @@ def infer(forms: DataFrame) -> tuple[dict, dict]:
     totals = kinds.groupBy("kind").agg(F.sum("n").alias("total")).where(F.col("total") >= LEAST_LABELLED)
     prefix = F.explode(F.transform(F.sequence(F.lit(0), F.least(F.length("form"), F.lit(DEEP))), lambda k: F.struct(F.substring("form", F.lit(1), k).alias("p"), (k == F.length("form")).alias("whole"))))
     counts = kinds.select("kind", "n", prefix.alias("x")).groupBy("kind", "x.p").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("x.whole"), F.col("n")).otherwise(0)).alias("ends"))
-    kept = counts.join(totals, "kind").where(F.col("n") >= F.greatest(F.lit(2.0), SUPPORT * F.col("total")))
+    kept = counts.join(totals, "kind").where(F.col("n") >= F.greatest(F.lit(LEAST_COUNT), SUPPORT * F.col("total")))
     nodes: dict[int, tuple[dict, dict]] = {}
     for row in kept.collect():
         of_kind = nodes.setdefault(row["kind"], ({}, {}))
