@@ -9,7 +9,7 @@ size cost a number of pairs in proportion to their members:
 1. every class is compared with the smallest member it shares a band with (one pair a class), links are joined up;
 2. then with the smallest members of its other bands, if those are still elsewhere;
 3. then, only in bands that still hold several components, members of different components are compared by their
-   registers, in blocks of bounded size, and those that may reach the threshold are confirmed.
+   registers, in blocks of bounded size, and those that may reach the threshold are confirmed in the same task.
 
 So every pair that shares a band is either already connected or has been compared: nothing is capped. With 32 bands of 6
 a pair at 0.85 shares none with probability 3e-7. A pair is confirmed on its full texts if the estimate, corrected for
@@ -30,6 +30,7 @@ SHINGLE, BANDS, ROWS, THRESHOLD = 5, 32, 6, 0.85
 MANTISSA = 10  # bits kept after the leading one
 BLOCK = 400  # members of a band compared with each other at once
 SLACK = 5.0  # standard errors
+HELD = 8_000_000  # shingles of a block's texts that a task keeps at once
 
 
 def _multipliers(buckets: int) -> np.ndarray:
@@ -152,11 +153,13 @@ def _joined_up(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def _across(members: DataFrame, bands: int, buckets: int, threshold: float) -> DataFrame:
-    """Pairs (a, b) of one band but different components whose estimate may reach the threshold.
+def _across(members: DataFrame, texts: DataFrame, bands: int, buckets: int, threshold: float, shingle: int) -> DataFrame:
+    """Links (u, v) that join components within a band.
 
     ``members``: (band, nth, node, comp, n, regs). A band with many members is cut in blocks, compared two at a time. A
-    pair that shares several bands is given by the first of them only.
+    pair that shares several bands is compared in the first of them only. Pairs whose estimate may reach the threshold are
+    confirmed here, on the full texts, unless the links of the same blocks connect them already; so a task gives fewer
+    links than it has members, however many pairs are alike.
     """
     least = threshold - SLACK * float(np.sqrt(threshold * (1 - threshold) / buckets))
     mixed_bands = (
@@ -164,29 +167,48 @@ def _across(members: DataFrame, bands: int, buckets: int, threshold: float) -> D
         .where("lo != hi").select("band", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     )
     placed = members.join(mixed_bands, "band").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    placed = placed.join(texts.select(F.col("doc_id").alias("node"), "text"), "node")
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, "block").alias("p"), F.greatest(x, "block").alias("q")))
-    dealt = placed.select("band", "nth", "node", "comp", "n", "regs", "block", F.explode(meets).alias("m")).select("band", "nth", "node", "comp", "n", "regs", "block", "m.p", "m.q")
+    dealt = placed.select("band", "nth", "node", "comp", "n", "regs", "text", "block", F.explode(meets).alias("m"))
+    dealt = dealt.select("band", "nth", "node", "comp", "n", "regs", "text", "block", "m.p", "m.q")
 
     def of_group(key, frame):
         node, comp = frame.column("node").to_numpy(), frame.column("comp").to_numpy()
-        n, block = frame.column("n").to_numpy(), frame.column("block").to_numpy()
+        n, block, texts = frame.column("n").to_numpy(), frame.column("block").to_numpy(), frame.column("text")
         regs = np.frombuffer(b"".join(frame.column("regs").to_pylist()), np.uint16).reshape(-1, buckets)
         p, q, nth = key[1].as_py(), key[2].as_py(), frame.column("nth")[0].as_py()
-        found_a, found_b = [], []
+        group = np.unique(comp, return_inverse=True)[1]  # components as joined so far in these blocks
+        sets: dict[int, np.ndarray] = {}
+        held = 0
+
+        def shingles(i):
+            nonlocal held
+            if i not in sets:
+                if held > HELD:
+                    sets.clear()
+                    held = 0
+                sets[i] = np.unique(shingle_hashes(lowered_words(texts[i].as_py()), shingle))
+                held += len(sets[i])
+            return sets[i]
+
+        found = []
         right = np.flatnonzero(block == q)
         for i in np.flatnonzero(block == p):
-            other = right[(comp[right] != comp[i]) & ((node[right] > node[i]) if p == q else True)]
-            if len(other):
-                near = other[estimate((regs[other] == regs[i]).sum(axis=1), n[i], n[other], buckets) >= least]
-                if len(near):
-                    near = near[(regs[near] == regs[i]).reshape(len(near), bands, -1).all(axis=2).argmax(axis=1) == nth]
-                found_a.append(np.maximum(node[near], node[i]))
-                found_b.append(np.minimum(node[near], node[i]))
-        empty = np.zeros(0, node.dtype)
-        return pa.table({"a": np.concatenate([empty, *found_a]), "b": np.concatenate([empty, *found_b])})
+            other = right[(group[right] != group[i]) & ((node[right] > node[i]) if p == q else True)]
+            if not len(other):
+                continue
+            equal = regs[other] == regs[i]
+            score = estimate(equal.sum(axis=1), n[i], n[other], buckets)
+            near = (score >= least) & (equal.reshape(len(other), bands, -1).all(axis=2).argmax(axis=1) == nth)
+            for j in other[near][np.argsort(-score[near], kind="stable")]:
+                if group[i] != group[j] and similar(shingles(int(i)), shingles(int(j)), threshold):
+                    found.append((node[i], node[j]))
+                    group[group == group[j]] = group[i]
+        u, v = (np.array([pair[k] for pair in found], node.dtype) for k in (0, 1))
+        return pa.table({"u": u, "v": v})
 
     kind = members.schema["node"].dataType.simpleString()
-    return dealt.groupBy("band", "p", "q").applyInArrow(of_group, f"a {kind}, b {kind}").distinct()
+    return dealt.groupBy("band", "p", "q").applyInArrow(of_group, f"u {kind}, v {kind}")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -217,13 +239,11 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int
 
     at = lambda c: nodes.select(F.col("node").alias(c), F.col("comp").alias(f"comp_{c}"))
     apart = stars.join(at("a"), "a").join(at("b"), "b").where("comp_a != comp_b").select("a", "b")
-    tried = first.unionByName(apart)
     apart = apart.join(first, ["a", "b"], "left_anti")
     nodes = _joined_up(nodes, _confirmed(_may_link(apart, classes, buckets, threshold), texts, shingle, threshold))
 
     members = banded.join(lowest.select("band"), "band", "left_semi").join(nodes, "node").join(classes.select("node", "n", "regs"), "node")
-    rest = _across(members, bands, buckets, threshold).join(tried, ["a", "b"], "left_anti")
-    nodes = _joined_up(nodes, _confirmed(rest, texts, shingle, threshold))
+    nodes = _joined_up(nodes, _across(members, texts, bands, buckets, threshold, shingle))
 
     of_class = copies.join(nodes, "node").select("k1", "k2", "comp")
     linked = signs.select("doc_id", "n_shingles", "k1", "k2").join(of_class, ["k1", "k2"], "left")
