@@ -1,4 +1,9 @@
-"""Writers. Every table write replaces whole partitions, so re-running a job is idempotent."""
+"""Writers. A table write replaces whole partitions, so re-running a job is idempotent.
+
+Tables that several jobs add to (bronze, silver, gold copies, runs) keep each delivery below its own ``epoch``: a number the
+caller gives a delivery, higher for later ones. A repeated delivery replaces itself; another one is never touched.
+``current`` reads the latest delivery of every document, so each has one terminal outcome.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +12,9 @@ from pyspark.sql import functions as F
 
 from docpipe import schemas
 from docpipe.functions.text import render_markdown
+from docpipe.operators.matching import DOCUMENT_KEY
 from docpipe.plans.silver import outcome
+from docpipe.streaming.sink import replace_batch
 
 
 def _partitioned(df: DataFrame, *columns: str):
@@ -19,8 +26,20 @@ def bronze_documents(texts: DataFrame) -> DataFrame:
     return texts.withColumn("markdown", render_markdown(F.col("text"), F.col("source_file_name"), F.col("source_path")))
 
 
-def write_bronze_text(texts: DataFrame, path: str) -> None:
-    bronze_documents(texts).write.mode("overwrite").parquet(path)
+def current(rows: DataFrame, key: list[str] = DOCUMENT_KEY) -> DataFrame:
+    """Rows of the latest ``epoch`` that has their key; null keys compare as equal.
+
+    The maximum is taken over key and number only, combined before it moves; rows then meet it by key.
+    """
+    latest = rows.groupBy(*[F.col(k).alias(f"_{k}") for k in key]).agg(F.max("epoch").alias("_epoch"))
+    same = F.col("epoch") == F.col("_epoch")
+    for k in key:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return rows.join(latest, same, "left_semi")
+
+
+def write_bronze_text(texts: DataFrame, path: str, delivery: int) -> None:
+    replace_batch(bronze_documents(texts), path, delivery)
 
 
 def evidence_records(extractions: DataFrame) -> DataFrame:
@@ -36,12 +55,12 @@ def evidence_records(extractions: DataFrame) -> DataFrame:
     )
 
 
-def write_evidence(extractions: DataFrame, path: str) -> None:
-    _partitioned(evidence_records(extractions), "run_id").parquet(path)
+def write_evidence(extractions: DataFrame, path: str, delivery: int) -> None:
+    replace_batch(evidence_records(extractions), path, delivery, "run_id")
 
 
-def write_silver(silver: DataFrame, path: str, gather: bool = True) -> None:
-    """One pass into valid, rejected and failed, below each run.
+def write_silver(silver: DataFrame, path: str, delivery: int, gather: bool = True) -> None:
+    """One pass into valid, rejected and failed, below each delivery and run.
 
     ``gather`` brings each (outcome, run) together first, so that many runs do
     not become a file per task and run; leave it off for input already laid out
@@ -49,14 +68,15 @@ def write_silver(silver: DataFrame, path: str, gather: bool = True) -> None:
     """
     routed = silver.withColumn("outcome", outcome())
     rows = routed.hint("rebalance", "outcome", "run_id") if gather else routed
-    _partitioned(rows, "outcome", "run_id").parquet(path)
+    replace_batch(rows, path, delivery, "outcome", "run_id")
 
 
-def write_silver_json(silver: DataFrame, path: str) -> None:
+def write_silver_json(silver: DataFrame, path: str, delivery: int) -> None:
     """The same documents as JSON lines under their contract names."""
     routed = silver.withColumn("outcome", outcome()).withColumnsRenamed(schemas.CONTRACT_NAMES)
     # A partition column leaves the record, so runs are kept in it as well.
-    _partitioned(routed.withColumn("run", F.col("run_id")), "outcome", "run").option("ignoreNullFields", "false").json(path)
+    rows = routed.withColumns({"run": F.col("run_id"), "epoch": F.lit(delivery).cast("bigint")})
+    _partitioned(rows, "epoch", "outcome", "run").option("ignoreNullFields", "false").json(path)
 
 
 def write_gold(gold: DataFrame, path: str) -> None:
@@ -73,12 +93,12 @@ def gold_copies(gold: DataFrame) -> DataFrame:
     return gold.withColumn("run_date", F.substring_index("created_at", "T", 1))
 
 
-def write_gold_by_date(gold: DataFrame, path: str) -> None:
-    _partitioned(gold_copies(gold), "run_date").parquet(path)
+def write_gold_by_date(gold: DataFrame, path: str, delivery: int) -> None:
+    replace_batch(gold_copies(gold), path, delivery, "run_date")
 
 
-def write_gold_by_run(gold: DataFrame, path: str) -> None:
-    _partitioned(gold, "run_id").parquet(path)
+def write_gold_by_run(gold: DataFrame, path: str, delivery: int) -> None:
+    replace_batch(gold, path, delivery, "run_id")
 
 
 def write_manifest(manifest: DataFrame, path: str) -> None:
@@ -86,9 +106,9 @@ def write_manifest(manifest: DataFrame, path: str) -> None:
     _partitioned(manifest, "batch_id").json(path)
 
 
-def append_run(summary: DataFrame, path: str) -> None:
-    """Append finished runs to the runs table."""
-    summary.write.mode("append").parquet(path)
+def append_run(summary: DataFrame, path: str, delivery: int) -> None:
+    """Add finished runs to the runs table; the same delivery again replaces its rows."""
+    replace_batch(summary, path, delivery)
 
 
 def append_status(events: DataFrame, path: str) -> None:

@@ -82,7 +82,7 @@ def test_silver_json_reads_a_fallback_only_if_named(spark, tmp_path):
 
 def test_silver_json_round_trip(spark, tmp_path):
     silver = texts(spark, ROWS)
-    sinks.write_silver_json(silver, str(tmp_path / "s"))
+    sinks.write_silver_json(silver, str(tmp_path / "s"), 1)
     good, bad = files.read_silver_json(spark, str(tmp_path / "s"), dt.datetime(2020, 1, 1))
     names = ["run_id", "document_id", "processing_status", "quality_flags", "total_amount"]
     assert bad.count() == 0
@@ -92,11 +92,38 @@ def test_silver_json_round_trip(spark, tmp_path):
 def test_routing_is_idempotent(spark, tmp_path):
     path = str(tmp_path / "silver")
     for _ in range(2):
-        sinks.write_silver(texts(spark, ROWS), path)
+        sinks.write_silver(texts(spark, ROWS), path, 1)
     counts = {r.outcome: r["count"] for r in spark.read.parquet(path).groupBy("outcome").count().collect()}
     assert counts == {"valid": 4, "rejected": 1}
 
 
+def test_deliveries_keep_earlier_documents(spark, tmp_path):
+    path, runs = str(tmp_path / "silver"), str(tmp_path / "runs")
+    sinks.write_silver(texts(spark, ROWS), path, 1)
+    turned = [("r1", "c", "Acme", "2020-01-01", "11.00", "USD", "invoice"), ("r1", "e", "Beta", "2020-02-02", "5.00", "EUR", "invoice")]
+    for _ in range(2):
+        sinks.write_silver(texts(spark, turned), path, 2)
+    rows = sinks.current(spark.read.parquet(path)).select("run_id", "document_id", "outcome").collect()
+    assert sorted(map(tuple, rows)) == [
+        ("r1", "a", "valid"), ("r1", "b", "valid"), ("r1", "c", "valid"), ("r1", "e", "valid"), ("r2", "a", "valid"), ("r2", "d", "valid")
+    ]
+    for delivery in (1, 2, 2):
+        sinks.append_run(spark.createDataFrame([(f"r{delivery}",)], "run_id string"), runs, delivery)
+    assert sorted(r.run_id for r in spark.read.parquet(runs).collect()) == ["r1", "r2"]
+
+
+def test_bronze_and_copies_keep_earlier_deliveries(spark, tmp_path):
+    text = "text string, source_file_name string, source_path string"
+    for delivery, name in ((1, "a"), (2, "b"), (2, "b")):
+        sinks.write_bronze_text(spark.createDataFrame([("line", f"{name}.tif", f"raw/{name}.tif")], text), str(tmp_path / "b"), delivery)
+        gold = gold_plan.build_gold(texts(spark, [("r1", name, "Acme", "2020-01-01", "10.00", "USD", "invoice")]))
+        sinks.write_gold_by_date(gold, str(tmp_path / "d"), delivery)
+        sinks.write_gold_by_run(gold, str(tmp_path / "r"), delivery)
+    assert sorted(r.source_file_name for r in spark.read.parquet(str(tmp_path / "b")).collect()) == ["a.tif", "b.tif"]
+    for copy in ("d", "r"):
+        assert sorted(r.document_id for r in spark.read.parquet(str(tmp_path / copy)).collect()) == ["a", "b"]
+
+
 def test_gold_partitions_prune_and_replace(spark, tmp_path):
     path = str(tmp_path / "gold")
     gold = gold_plan.build_gold(texts(spark, ROWS)).withColumn("batch_id", F.concat(F.lit("batch-"), "run_id"))
@@ -127,8 +154,8 @@ def test_partition_discovery(spark, tmp_path):
 
 def test_copies_by_date_and_run(spark, tmp_path):
     gold = gold_plan.build_gold(texts(spark, ROWS))
-    sinks.write_gold_by_date(gold, str(tmp_path / "d"))
-    sinks.write_gold_by_run(gold, str(tmp_path / "r"))
+    sinks.write_gold_by_date(gold, str(tmp_path / "d"), 1)
+    sinks.write_gold_by_run(gold, str(tmp_path / "r"), 1)
     assert {r.run_date.isoformat() for r in spark.read.parquet(str(tmp_path / "d")).select("run_date").distinct().collect()} == {"2020-06-30"}
     assert spark.read.parquet(str(tmp_path / "r")).filter("run_id = 'r2'").count() == 2
 
@@ -179,7 +206,7 @@ def test_evidence_round_trip(spark, tmp_path):
         {"Type": {"Text": "VENDOR_NAME"}, "ValueDetection": {"Text": ""}}, {"Type": {}}]}, {"SummaryFields": []}]})
     rows = [("r", "a", "k/a", "a.pdf", None, "e/a", response, "textract_analyze_expense", "t", "success", None),
             ("r", "b", "k/b", "b.pdf", None, "e/b", "{}", "textract_analyze_expense", "t", "failed", "boom")]
-    sinks.write_evidence(spark.createDataFrame(rows, schemas.BRONZE_EVIDENCE), str(tmp_path / "e"))
+    sinks.write_evidence(spark.createDataFrame(rows, schemas.BRONZE_EVIDENCE), str(tmp_path / "e"), 1)
     stored = spark.read.parquet(str(tmp_path / "e"))
     from docpipe.operators.matching import candidates_from_evidence
 
