@@ -427,6 +427,11 @@ ORACLES: dict[str, str] = {
     "outcome_routing": with_ctes("silver", then="""
         SELECT seq, outcome, CASE outcome WHEN 'failed' THEN 'errors/silver_failed' WHEN 'rejected' THEN 'silver/rejected' ELSE 'silver/valid' END
           || '/run_id=' || run_id || '/' || document_id || '.json' AS output_key FROM silver"""),
+    "rerun_outcomes": with_ctes("silver", then="""
+        SELECT seq, outcome, delivery FROM (
+          SELECT seq, run_id, document_id, CASE WHEN seq % 2 = 0 THEN 'failed' ELSE outcome END AS outcome, 1::BIGINT AS delivery FROM silver
+          UNION ALL SELECT seq, run_id, document_id, outcome, 2::BIGINT FROM silver WHERE seq % 2 = 0)
+        QUALIFY delivery = max(delivery) OVER (PARTITION BY run_id, document_id)"""),
     "failed_documents": with_ctes("silver", then="""
         SELECT seq, document_type, vendor_name, total_amount, quality_score, rejection_reason, array_to_string(flags, ',') AS flags
         FROM silver WHERE failed"""),

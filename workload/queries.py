@@ -261,6 +261,17 @@ def outcome_routing(spark, d):
     return silver_plan.route(inputs.silver(spark, d)).select("seq", "outcome", "output_key")
 
 
+@query
+def rerun_outcomes(spark, d):
+    """Two deliveries of the same runs: some documents fail first and come again; the rest is delivered once."""
+    silver, path = inputs.silver_table(spark, d), scratch_path(spark, "deliveries")
+    again = F.col("seq") % 2 == 0
+    first = silver.withColumn("processing_status", F.when(again, F.lit("failed")).otherwise(F.col("processing_status")))
+    sinks.write_silver(first, path, 1)
+    sinks.write_silver(silver.filter(again), path, 2)
+    return sinks.current(spark.read.parquet(path)).select("seq", "outcome", F.col("epoch").cast("bigint").alias("delivery"))
+
+
 @query
 def failed_documents(spark, d):
     return inputs.silver_table(spark, d).filter("processing_status = 'failed'").select(
