@@ -296,6 +296,27 @@ def test_repeated_passages_are_found(spark):
     assert compact_windows.near_duplicate_passages(documents(spark, texts).limit(0)).count() == 0
 
 
+def test_passages_whose_centres_stand_in_earlier_documents(spark):
+    rng = random.Random(11)
+    new = lambda n: prose(rng, n, 100_000)
+    shared = new(60).split()
+    # Earlier documents have 30 words of the passage each, and so its centres, but no passage; the last two have the whole.
+    parts = [f"{new(90)} {' '.join(shared[k : k + 30])} {new(90)}" for k in (0, 10, 20, 30)]
+    texts = [*parts, *(f"{new(80)} {' '.join(shared)} {new(70)}" for _ in range(2))]
+    rows = compact_windows.near_duplicate_passages(documents(spark, texts)).collect()
+    assert [(r.doc_id, r.start_word, r.end_word, r.first_doc_id, r.first_start, r.first_end) for r in rows] == [(5, 80, 140, 4, 80, 140)]
+
+
+def test_passage_at_the_second_place_of_its_centres(spark):
+    rng = random.Random(12)
+    new = lambda n: prose(rng, n, 100_000)
+    shared = new(60)
+    lead = " ".join(shared.split()[:45])
+    texts = [f"{new(90)} {lead} {new(200)} {shared} {new(90)}", f"{new(80)} {shared} {new(70)}"]
+    rows = compact_windows.near_duplicate_passages(documents(spark, texts)).collect()
+    assert [(r.doc_id, r.start_word, r.end_word, r.first_start, r.first_end) for r in rows] == [(1, 80, 140, 335, 395)]
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><header>Site</header>
 <nav><ul><li><a href=x>menu</a></li></ul></nav><div class="ad">buy</div><div id=wrap><article><h1>Head &amp; tail</h1><p><b>First, of
  some   length, with commas, and more.<br><p>Second, a longer paragraph, with enough words to count &eacute;.</p><aside>side</aside>
