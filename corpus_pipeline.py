@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docpipe.llm.common import stage, table
+from docpipe.llm.common import fresh, stage, table
 from docpipe.llm.grammar_secrets import redact
 from docpipe.llm.hyperminhash import near_duplicates
 from docpipe.llm.mcd_rules import verdicts
@@ -18,6 +18,8 @@ from docpipe.llm.packing import pack_documents
 from docpipe.llm.phrase_index import decontaminate
 from docpipe.llm.queries import tokenizer_path
 
+NEAR = 0.8  # shingle similarity of the near-duplicate stage; the contract of op5 binds that query only
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the outlier test reject go; each row is judged for itself."""
@@ -25,16 +27,32 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return judged.where(F.col(f"{verdict}.kept")).select(*docs.columns)
 
 
+def with_row_key(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a number of its own for every row, and that column's name.
+
+    ``docs`` must give the same rows in the same partitions each time it is read (a scan of stored files does).
+    """
+    key = fresh(docs, "row_key")
+    return docs.withColumn(key, F.monotonically_increasing_id()), key
+
+
 def near_duplicate_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, that with the smallest id; documents without an id all stay."""
-    marks = near_duplicates(docs.select("doc_id", "text")).where("NOT kept").select("doc_id").distinct()
-    return docs.join(marks, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group stays, that with the smallest id; rows without an id and repeated ids are judged as any other."""
+    keyed, key = with_row_key(docs)
+    linked = near_duplicates(keyed.select(F.col(key).alias("doc_id"), "text"), threshold=NEAR)
+    linked = stage(linked.select(F.col("doc_id").alias(key), "component_id"), "groups")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.col(key).alias("key"))
+    stays = linked.join(keyed.select(key, "doc_id"), key).groupBy("component_id").agg(F.min(order).getField("key").alias("stays"))
+    marks = linked.join(stays, "component_id").where(F.col(key) != F.col("stays")).select(key)
+    return keyed.join(marks, key, "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with an id that are contaminated by the benchmark go."""
-    marks = decontaminate(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id").distinct()
-    return docs.join(marks, "doc_id", "left_anti").select(*docs.columns)
+    """Rows that are contaminated by the benchmark go, with an id or without; each row is judged for itself."""
+    keyed, key = with_row_key(docs)
+    judged = decontaminate(keyed.select(F.col(key).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    marks = judged.where("contaminated").select(F.col("doc_id").alias(key))
+    return keyed.join(marks, key, "left_anti").select(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

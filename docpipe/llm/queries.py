@@ -45,7 +45,7 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .hyperminhash import near_duplicates
 
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"), threshold=0.85)
 
 
 def op6_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -349,3 +349,20 @@ def test_pipeline_keeps_clean_documents(spark):
     packed = corpus_pipeline.STAGES[-1][1](spark, kept, SF)
     assert {r.doc_id for r in packed.select("doc_id").collect()} == left
     assert kept.where(F.col("text").rlike('token = "[0-9a-f]{40}')).count() == 0
+
+
+def test_pipeline_judges_every_row(spark):
+    import corpus_pipeline
+
+    rng = random.Random(13)
+    base = prose(rng, 204, 100_000).split()
+    near = list(base)
+    for k in (30, 70, 110, 150):  # 20 of 200 shingles differ: similarity 180 / 220 = 0.818
+        near[k] = f"n{k}"
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").where("item_id IS NOT NULL").orderBy(F.length("text").desc()).first().text
+    rows = [(5, " ".join(base)), (3, " ".join(near)), (None, " ".join(base)), (3, " ".join(near)), (8, "alone"), (None, "alone too"), (8, ""), (None, item), (8, item)]
+    docs = corpus_pipeline.stage(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), "test")
+    got = sorted((r.doc_id or 0, r.text) for r in corpus_pipeline.near_duplicate_removal(spark, docs, SF).collect())
+    assert got == sorted([(3, " ".join(near)), (8, "alone"), (0, "alone too"), (8, ""), (8, item)])
+    got = sorted((r.doc_id or 0, r.text) for r in corpus_pipeline.decontamination(spark, docs, SF).collect())
+    assert got == sorted((i or 0, t) for i, t in rows if t != item)
