@@ -1,8 +1,9 @@
 """Main text of web pages by tree scoring.
 
 Paragraphs give points for length and commas to their ancestors, less with distance and with link density. The best
-container, widened to the article around it, is kept with those siblings that read like text; menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, styles and reader comments are left out wherever they stand.
+container, widened to the article around it, is kept with those siblings that read like text; without an article, all of
+the body that is not mostly links is kept with it. Menus, headers, footers, sidebars, notices, adverts, forms, scripts,
+styles and reader comments are left out wherever they stand.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ CLOSES = {
 }
 SCOPES = frozenset("ul ol dl table div section article main body td th blockquote".split())
 # Choices of this operator.
+GROUPS = frozenset("div section ul ol dl table center details".split())
 DROPPED_TAGS = frozenset(
     "head title script style noscript template nav footer aside form button input select textarea iframe object embed svg canvas menu dialog "
     "audio video search".split()
@@ -167,11 +169,44 @@ def best_container(root: Node) -> Node | None:
         around = best
         while around is not None and around.tag not in ("article", "main"):
             around = around.parent
-        return around or best
+        return around or widened(best)
     named = [n for n in nodes if n.tag in ("article", "main") and n.chars]
     return max(named, key=lambda n: n.chars, default=next((n for n in nodes if n.tag == "body"), root))
 
 
+def widened(best: Node) -> Node:
+    """The body around ``best``, without what is mostly links beside the way up to it."""
+    while best.tag not in ("body", "html") and best.parent is not None:
+        best, path = best.parent, best
+        kept, run = [], []
+        for c in [*best.children, None]:
+            if isinstance(c, str) or (c is not None and c is not path and c.tag not in BLOCK):
+                run.append(c)
+                continue
+            kept += run if not _mostly_links(run) else [" "]
+            run = []
+            if c is not None:
+                kept.append(c)
+                if c is not path:
+                    _drop_links(c)
+        best.children = kept
+    return best
+
+
+def _mostly_links(run: list) -> bool:
+    """Whether texts and inline nodes that follow each other have half of their characters or more in links."""
+    parts = [c for c in run if isinstance(c, Node) and not c.dropped]
+    chars = sum(c.chars for c in parts) + sum(len(" ".join(c.split())) for c in run if isinstance(c, str))
+    return chars > 0 and 2 * sum(c.linked for c in parts) >= chars
+
+
+def _drop_links(top: Node) -> None:
+    """Mark blocks that are mostly links as dropped; single items, cells and headings within others are not judged."""
+    for node in _in_order(top):
+        if node.tag in (GROUPS if node is not top else GROUPS | {"p", "li", "td", "dd", "figure"}) and node.chars and _plain(node) <= 0.5:
+            node.dropped = True
+
+
 def kept_parts(best: Node) -> list[Node]:
     """The container, and siblings that read like text: a good score of their own, or headings and text with few links."""
     if best.parent is None or best.tag in ("body", "html", "main"):

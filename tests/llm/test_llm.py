@@ -334,6 +334,19 @@ def test_main_text(spark):
     assert html_tree.extract(df.limit(0)).count() == 0
 
 
+def test_main_text_without_article():
+    long = ["Long paragraph, " + "word " * 97 for _ in range(10)]
+    short = "Short section, of one paragraph, " + "text " * 70
+    menu = "<ul><li><a href=x>one</a></li><li><a href=y>two</a></li></ul>"
+    page = (
+        f"<html><body><a href=p>Home</a> <a href=q>About</a><div id=post>{menu}<h4>Head</h4><section>{''.join(f'<p>{p}</p>' for p in long)}</section>"
+        f"<section><p>{short}</p>{menu}</section><ul><li>an item of text</li></ul><table><tr><td>cell</td></tr></table>bare text with <a href=z>a link</a></div>"
+        "<div class=footer>end</div></body></html>"
+    )
+    want = ["Head", *long, short, "an item of text", "cell", "bare text with a link"]
+    assert html_tree.main_text(page) == "\n".join(" ".join(t.split()) for t in want)
+
+
 def test_pipeline_keeps_clean_documents(spark):
     import corpus_pipeline
 
