@@ -78,15 +78,46 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_filters import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import manifest
+
+    return manifest(table(spark, sf_dir, "documents")).drop("leaf_index", "group_leaves")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_line_quality, op2_quality_rules, op3_warc, op4_packing, op5_near_duplicates, op6_suffix_tree, op7_secrets, op8_decontamination, op9_passages, op10_main_text,
+        op1_line_quality, op2_quality_rules, op3_warc, op4_packing, op5_near_duplicates, op6_suffix_tree, op7_secrets, op8_decontamination,
+        op9_passages, op10_main_text, op11_language, op12_whitening, op13_merkle,
     )
 }
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+
+def _field(value: str) -> str:
+    return f"CASE WHEN {value} IS NULL THEN '-' ELSE concat(octet_length(encode({value}::VARCHAR)), ':', {value}) END"
+
+
+# crc32 of an id's digits: each digit is taken in, then shifted out in eight steps (-1).
+_CRC = (
+    "list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))), "
+    "lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END)"
+)
+
 ORACLES = {
     "op3_warc": """
         WITH p AS (
@@ -145,4 +176,38 @@ ORACLES = {
                sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated
         FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
     """,
+    "op13_merkle": f"""
+        WITH RECURSIVE h AS (
+          SELECT doc_id, n_chars, coalesce('=' || lang, '-') AS g, concat({_field('doc_id')}, {_field('source')}, {_field('lang')}) AS head, {_field('text')} AS tail,
+                 coalesce(xor({_CRC}, 4294967295) % 7 = 0, false) AND n_chars IS NOT NULL AS hit
+          FROM documents
+        ), l AS (
+          SELECT doc_id, g, sha256(concat(head, {_field('n_chars')}, tail)) AS leaf,
+                 CASE WHEN hit THEN sha256(concat(head, {_field('(n_chars + 1)')}, tail)) ELSE sha256(concat(head, {_field('n_chars')}, tail)) END AS altered
+          FROM h
+        ), p AS (
+          SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM l
+        ), t(g, h, nodes) AS (
+          SELECT g, 0, list(leaf ORDER BY pos) FROM p GROUP BY g
+          UNION ALL SELECT g, h + 1, list_transform(range(0, len(nodes), 2), lambda k: sha256(array_to_string(nodes[k + 1 : k + 2], ''))) FROM t WHERE len(nodes) > 1
+        ), subs AS (
+          SELECT g, nodes[1] AS subroot, row_number() OVER (ORDER BY g) - 1 AS gpos FROM t WHERE len(nodes) = 1
+        ), u(h, nodes) AS (
+          SELECT 0, list(subroot ORDER BY gpos) FROM subs
+          UNION ALL SELECT h + 1, list_transform(range(0, len(nodes), 2), lambda k: sha256(array_to_string(nodes[k + 1 : k + 2], ''))) FROM u WHERE len(nodes) > 1
+        ), steps AS (
+          SELECT p.doc_id, p.g, pos, 0 AS tree, h, (pos >> h) % 2 AS side, nodes[xor(pos >> h, 1) + 1] AS other FROM p JOIN t USING (g) WHERE len(nodes) > 1
+          UNION ALL
+          SELECT p.doc_id, p.g, pos, 1, h, (gpos >> h) % 2, nodes[xor(gpos >> h, 1) + 1] FROM p JOIN subs USING (g), u WHERE len(nodes) > 1
+        ), paths AS (
+          SELECT g, pos, string_agg(coalesce(other, ''), '' ORDER BY tree, h) AS proof,
+                 list(CASE WHEN other IS NULL THEN '-' WHEN side = 1 THEN 'L' || other ELSE 'R' || other END ORDER BY tree, h) AS path
+          FROM steps GROUP BY g, pos
+        ), f AS (
+          SELECT p.doc_id, leaf, subroot, (SELECT nodes[1] FROM u WHERE len(nodes) = 1) AS root, sha256(coalesce(proof, '')) AS proof_sha256,
+                 list_reduce(list_prepend(altered, coalesce(path, [])), lambda a, x: CASE x[1] WHEN 'L' THEN sha256(x[2:] || a) WHEN 'R' THEN sha256(a || x[2:]) ELSE sha256(a) END) AS folded_root
+          FROM p JOIN subs USING (g) LEFT JOIN paths USING (g, pos)
+        )
+        SELECT *, folded_root = root AS verified FROM f
+    """,
 }
