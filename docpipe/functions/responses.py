@@ -91,13 +91,14 @@ def extraction_flags(response: Column, body: Column, parsed: Column) -> Column:
 
 
 def json_number_text(body: Column, field: str, text: Column) -> Column:
-    """Text of a JSON field; a bare number with an exponent is written out in full.
+    """Text of a top-level JSON field; a bare number with an exponent is written out in full.
 
     Amount clean-up drops letters, which is meant for text such as ``12 USD`` and
-    must not touch the ``e`` of a JSON number.
+    must not touch the ``e`` of a JSON number. A typed read tells the two apart: a
+    text is no number to it, and fields of the same name further down are not seen.
     """
-    exponent = F.regexp_extract(body, rf'"{field}"\s*:\s*(-?[0-9][0-9.]*[eE][+-]?[0-9]+)', 1)
-    return F.coalesce(F.nullif(exponent, F.lit("")).try_cast("decimal(38,10)").cast("string"), text)
+    number = F.from_json(body, f"{field} double")[field]
+    return F.when(number.isNotNull() & text.rlike("[eE]"), number.try_cast("decimal(38,10)").cast("string")).otherwise(text)
 
 
 def parse_enrichment(body: Column) -> Column:

@@ -109,3 +109,54 @@ def _attach(
             "duplicate_confidence"
         ),
     )
+
+
+def mark_batches(documents: DataFrame, history: DataFrame, order: list[str], batch: str = "batch_id") -> DataFrame:
+    """Mark every batch's documents against all of ``history`` but the batch's own, then against one another.
+
+    ``documents`` holds many batches; a document may stand in several. ``history`` is the key index of all valid
+    documents, those of the batches among them, one row each. A batch's first outside holder of a key is the key's first
+    holder at all, unless the batch itself has that one. Only such (batch, key) pairs look further, at the other holders
+    of their key; keys with one holder never do. So a batch costs its own keys, and no two batches are compared.
+    """
+    rank = F.struct(*dict.fromkeys([*order, *IDENTITY]))
+    narrow = ["_rank", "document_id", "document_fingerprint", "business_key"]
+    index = history.withColumn("_rank", rank).select(*narrow)
+    now = documents.withColumn("_rank", rank)
+    for key, name in (("document_fingerprint", "exact"), ("business_key", "business")):
+        now = _with_holder(now, index, key, name, batch)
+    is_exact, is_business = F.col("_exact").isNotNull(), F.col("_business").isNotNull()
+    marks = ("is_duplicate", "duplicate_of_document_id", "duplicate_strategy", "duplicate_confidence")
+    return now.select(
+        *[c for c in documents.columns if c not in marks],
+        (is_exact | is_business).alias("is_duplicate"),
+        F.coalesce("_exact", "_business").alias("duplicate_of_document_id"),
+        F.when(is_exact, F.lit(EXACT)).when(is_business, F.lit(BUSINESS)).otherwise(F.lit(NONE)).alias("duplicate_strategy"),
+        F.when(is_exact, F.lit(1.0)).when(is_business, F.lit(0.85)).otherwise(F.lit(0.0)).alias("duplicate_confidence"),
+    )
+
+
+def _with_holder(now: DataFrame, index: DataFrame, key: str, name: str, batch: str) -> DataFrame:
+    """Add ``_exact`` or ``_business``: the document that a row repeats by ``key``, null if none."""
+    holder = F.struct("_rank", "document_id")
+    held = index.filter(F.col(key).isNotNull())
+    first = held.groupBy(key).agg(F.min(holder).alias("_first"), F.count(F.lit(1)).alias("_holders"))
+    inside = now.filter(F.col(key).isNotNull()).groupBy(batch, key).agg(F.min(holder).alias("_inside"))
+    known = inside.join(first.filter("_holders > 1"), key)
+    owns = F.col("_inside._rank") == F.col("_first._rank")
+    wanting = known.filter(owns).select(batch, key)
+    members = now.select(F.col(batch).alias("_batch"), F.col("_rank").alias("_member")).distinct()
+    others = (
+        held.join(wanting, key)
+        .join(members, (F.col(batch) == F.col("_batch")) & (F.col("_rank") == F.col("_member")), "left_anti")
+        .groupBy(batch, key).agg(F.min(holder).alias("_other"))
+    )
+    pairs = known.join(others, [batch, key], "left").select(
+        F.struct(batch, key).alias("_pair"),
+        F.when(owns, F.col("_other.document_id")).otherwise(F.col("_first.document_id")).alias("_past"),
+        F.col("_inside._rank").alias("_inside_rank"), F.col("_inside.document_id").alias("_inside_id"),
+    )
+    paired = now.withColumn("_pair", F.when(F.col(key).isNotNull(), F.struct(batch, key)))
+    found = join_unique(paired, pairs, "_pair", ["document_id", "source_s3_key"])
+    earlier = F.when(F.col("_inside_rank") < F.col("_rank"), F.col("_inside_id"))
+    return found.select(*now.columns, F.coalesce("_past", earlier).alias(f"_{name}"))

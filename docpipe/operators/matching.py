@@ -19,7 +19,6 @@ from docpipe.functions.responses import (
 )
 from docpipe.operators.quality import needs_enrichment
 from docpipe.operators.once import evaluate_once
-from docpipe.operators.skew import join_unique
 
 DOCUMENT_KEY = ["run_id", "document_id"]
 CANDIDATE_FIELDS = ("document_type", "vendor_name", "document_date", "total_amount", "currency")
@@ -57,17 +56,13 @@ def normalize_expected(expected: DataFrame) -> DataFrame:
 def batch_outcomes(expected: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Expected documents with their terminal outcome: valid, else rejected, else failed.
 
-    ``outcome`` is null while a document has none.
+    ``outcome`` is null while a document has none. Outcomes are reduced to one row a document first, so a list joins
+    a unique side.
     """
     priority = F.array_position(F.array(*[F.lit(o) for o in OUTCOME_PRIORITY]), F.col("outcome"))
-    terminal = (
-        outcomes.groupBy(F.struct(*DOCUMENT_KEY).alias("_document"))
-        .agg(F.min(priority).alias("_priority"))
-    )
-    keyed = expected.withColumn("_document", F.struct(*DOCUMENT_KEY))
-    joined = join_unique(keyed, terminal, "_document", ["batch_id", "source_s3_key", *DOCUMENT_KEY])
+    terminal = outcomes.groupBy(*DOCUMENT_KEY).agg(F.min(priority).alias("_priority"))
     names = F.array(*[F.lit(o) for o in OUTCOME_PRIORITY])
-    return joined.select(
+    return expected.join(terminal, DOCUMENT_KEY, "left").select(
         *expected.columns, F.when(F.col("_priority") > 0, F.get(names, (F.col("_priority") - 1).cast("int"))).alias("outcome")
     )
 

@@ -10,7 +10,7 @@ of the same group in earlier partitions, and that last sum runs over one row per
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docpipe.functions.keys import stem
@@ -49,18 +49,58 @@ def positions(df: DataFrame, group: list[str], order: list[str], name: str = "po
     )
 
 
-def collision_free_names(df: DataFrame, name: str = "file_name", order: str = "path") -> DataFrame:
-    """``stem``, ``stem_1``, ``stem_2`` … for files that share a name, in path order."""
-    placed = positions(df, [name], [order], "_copy")
-    whole = F.col(name)
-    bare = stem(whole)
-    tail = F.substr(whole, F.length(bare) + 1)
-    return placed.select(
-        *df.columns,
-        F.when(F.col("_copy") == 0, whole)
-        .otherwise(F.concat(bare, F.lit("_"), F.col("_copy").cast("string"), tail))
-        .alias("target_name"),
+_NUMBERED = "^(?s)(.+)_([1-9][0-9]{0,17})$"
+
+
+def _parts(name: Column) -> tuple[Column, Column]:
+    bare = stem(name)
+    return bare, F.substr(name, F.length(bare) + 1)
+
+
+def collision_free_names(
+    df: DataFrame, name: str = "file_name", order: str = "path", taken: DataFrame | None = None, taken_name: str = "name"
+) -> DataFrame:
+    """Add ``target_name``, different for every row and from every name in ``taken`` (a folder's contents).
+
+    The first row of a name, in path order, keeps it unless the folder has it. Every other row takes the least number
+    free for its stem, in path order: ``stem_1``, ``stem_2`` and so on, without those that another file or the folder
+    is already called. A generated name is a stem and its last number, so names of other stems cannot meet it.
+
+    Only rows without a name of their own are numbered. The ``k``-th of them takes the ``k``-th free number, which is
+    ``k`` plus the held numbers passed on the way. The ``i``-th held number ``t`` is passed if ``t - i < k``, so rows and
+    held numbers merged in that order give it by position, without a task per stem.
+    """
+    firsts = df.groupBy(F.col(name).alias("_name")).agg(F.min(order).alias("_first"))
+    names = firsts.select("_name")
+    if taken is None:
+        held, firsts = names, firsts.withColumn("_free", F.lit(True))
+    else:
+        folder = taken.select(F.col(taken_name).alias("_name")).distinct()
+        held = names.union(folder).distinct()
+        firsts = firsts.join(folder.withColumn("_held", F.lit(True)), "_name", "left").select(
+            "_name", "_first", F.col("_held").isNull().alias("_free")
+        )
+    own = firsts.filter("_free").select(F.col("_name").alias("_own"), F.col("_first").alias("_at"))
+    met = df.join(own, (F.col(name) == F.col("_own")) & (F.col(order) == F.col("_at")), "left")
+    keeps = met.filter(F.col("_own").isNotNull()).select(*df.columns, F.col(name).alias("target_name"))
+
+    bare, tail = _parts(F.col(name))
+    others = positions(met.filter(F.col("_own").isNull()).select(*df.columns), [name], [order], "_k")
+    ranked = others.select(*df.columns, bare.alias("_stem"), tail.alias("_tail"), (F.col("_k") + 1).alias("_at"))
+    bare, tail = _parts(F.col("_name"))
+    numbered = held.select(bare.alias("_bare"), tail.alias("_tail")).filter(F.col("_bare").rlike(_NUMBERED)).select(
+        F.regexp_extract("_bare", _NUMBERED, 1).alias("_stem"), "_tail",
+        F.regexp_extract("_bare", _NUMBERED, 2).cast("bigint").alias("_number"),
+    )
+    wanted = numbered.join(ranked.select("_stem", "_tail").distinct(), ["_stem", "_tail"])
+    passed = positions(wanted, ["_stem", "_tail"], ["_number"], "_i").select(
+        "_stem", "_tail", (F.col("_number") - F.col("_i")).alias("_at"), F.lit(0).alias("_row"), F.col("_i").alias("_tie")
     )
+    # A held number stands before the first row that passes it: t - i < k, with i counted from one.
+    merged = ranked.withColumns({"_row": F.lit(1), "_tie": F.lit(0).cast("bigint")}).unionByName(passed, allowMissingColumns=True)
+    placed = positions(merged, ["_stem", "_tail"], ["_at", "_row", "_tie"], "_place").filter("_row = 1")
+    target = F.concat("_stem", F.lit("_"), (F.col("_place") + 1).cast("string"), "_tail")
+    return keeps.unionByName(placed.select(*df.columns, target.alias("target_name")))
 
 
 def nearest_rank(

@@ -5,34 +5,51 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docpipe.operators.duplicates import mark_batches
 from docpipe.operators.matching import DOCUMENT_KEY, batch_outcomes, normalize_expected
 from docpipe.operators.metrics import share
-from docpipe.plans.gold import build_gold
+from docpipe.operators.quality import gold_eligible
+from docpipe.plans.gold import STORAGE_ORDER, gold_columns, key_index, with_identity
 from docpipe.session import written
 
 
 def completeness(matched: DataFrame) -> DataFrame:
-    """One row per batch of ``batch_outcomes``: counts and whether nothing is missing."""
-    missing = F.count_if(F.col("outcome").isNull())
+    """One row per batch of ``match_expected``: counts and its verdict.
+
+    A list with an unusable entry is refused as a whole (``invalid``), before anything is missing from it.
+    """
+    usable = F.col("problem").isNull()
+    missing = F.count_if(usable & F.col("outcome").isNull())
+    refused = F.count_if(~usable)
     return matched.groupBy("batch_id").agg(
         F.count(F.lit(1)).alias("expected_count"),
         F.count_if(F.col("outcome") == "valid").alias("valid_count"),
         F.count_if(F.col("outcome") == "rejected").alias("rejected_count"),
         F.count_if(F.col("outcome") == "failed").alias("failed_count"),
         missing.alias("missing_count"),
-        F.when(missing > 0, F.lit("incomplete")).otherwise(F.lit("completed")).alias("status"),
+        refused.alias("invalid_count"),
+        F.when(refused > 0, F.lit("invalid")).when(missing > 0, F.lit("incomplete")).otherwise(F.lit("completed")).alias("status"),
         # A batch names its runs in its manifest, so this list is the result itself.
-        F.array_sort(F.collect_set("run_id")).alias("run_ids"),
+        F.array_sort(F.collect_set(F.when(usable, F.col("run_id")))).alias("run_ids"),
     )
 
 
 def missing_documents(matched: DataFrame) -> DataFrame:
-    return matched.filter(F.col("outcome").isNull()).drop("outcome")
+    """Usable entries without an outcome yet."""
+    return matched.filter(F.col("problem").isNull() & F.col("outcome").isNull()).drop("outcome", "problem")
+
+
+def refused_entries(matched: DataFrame) -> DataFrame:
+    """Entries for which their batch is refused, with the reason."""
+    return matched.filter(F.col("problem").isNotNull()).drop("outcome")
 
 
 def match_expected(expected: DataFrame, outcomes: DataFrame) -> DataFrame:
-    usable = normalize_expected(expected).filter(F.col("problem").isNull()).drop("problem")
-    return batch_outcomes(usable, outcomes)
+    """Every entry of the lists with its outcome, or with the ``problem`` that makes it unusable."""
+    entries = normalize_expected(expected)
+    return batch_outcomes(entries.filter(F.col("problem").isNull()), outcomes).unionByName(
+        entries.filter(F.col("problem").isNotNull()).withColumn("outcome", F.lit(None).cast("string"))
+    )
 
 
 def batch_documents(matched: DataFrame, summary: DataFrame, silver: DataFrame) -> DataFrame:
@@ -48,15 +65,18 @@ def batch_documents(matched: DataFrame, summary: DataFrame, silver: DataFrame) -
 def consolidate_batches(
     expected: DataFrame, outcomes: DataFrame, silver: DataFrame, order: list[str] | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """(gold rows with ``batch_id``, one summary row per batch). Incomplete batches give no gold rows.
+    """(gold rows with ``batch_id``, one summary row per batch). Other than complete batches give no gold rows.
 
-    The matched list and the chosen documents are written between the steps,
-    because completeness and duplicate marking each read them several times.
+    Every batch is marked against all valid documents of ``silver`` but its own, then against itself. The matched list,
+    the chosen documents and the key index are written between the steps, because the steps read them several times.
     """
+    order = order or STORAGE_ORDER
     matched = written(match_expected(expected, outcomes), "matched")
     summary = completeness(matched)
-    documents = written(batch_documents(matched, summary, silver), "batch-documents")
-    return build_gold(documents, order=order, keep=["batch_id"]), summary
+    eligible = silver.filter(gold_eligible())
+    index = written(key_index(with_identity(eligible), order), "key-index")
+    documents = written(with_identity(batch_documents(matched, summary, eligible)), "batch-documents")
+    return gold_columns(mark_batches(documents, index, order), ["batch_id"]), summary
 
 
 def manifests(

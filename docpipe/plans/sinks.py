@@ -7,13 +7,14 @@ caller gives a delivery, higher for later ones. A repeated delivery replaces its
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docpipe import schemas
 from docpipe.functions.text import render_markdown
 from docpipe.operators.matching import DOCUMENT_KEY
 from docpipe.plans.silver import outcome
+from docpipe.sources import versions
 from docpipe.streaming.sink import replace_batch
 
 
@@ -31,11 +32,16 @@ def current(rows: DataFrame, key: list[str] = DOCUMENT_KEY) -> DataFrame:
 
     The maximum is taken over key and number only, combined before it moves; rows then meet it by key.
     """
-    latest = rows.groupBy(*[F.col(k).alias(f"_{k}") for k in key]).agg(F.max("epoch").alias("_epoch"))
-    same = F.col("epoch") == F.col("_epoch")
-    for k in key:
-        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
-    return rows.join(latest, same, "left_semi")
+    return versions.newest(rows, key, ["epoch"])
+
+
+def read_silver(spark: SparkSession, path: str) -> DataFrame | None:
+    """Every document's latest delivery, from the compacted base and the deliveries since."""
+    return versions.read_current(spark, path, DOCUMENT_KEY)
+
+
+def compact_silver(spark: SparkSession, path: str, buckets: int = versions.BUCKETS) -> versions.Version:
+    return versions.compact(spark, path, DOCUMENT_KEY, buckets=buckets)
 
 
 def write_bronze_text(texts: DataFrame, path: str, delivery: int) -> None:
@@ -114,3 +120,20 @@ def append_run(summary: DataFrame, path: str, delivery: int) -> None:
 def append_status(events: DataFrame, path: str) -> None:
     """Status is an append-only log; readers take the latest row per invoice."""
     events.select("invoice_id", "run_id", "status", "updated_at").write.mode("append").parquet(path)
+
+
+STATUS_KEY, STATUS_LATEST = ["invoice_id"], ["updated_at", "epoch"]
+
+
+def write_status(events: DataFrame, path: str, delivery: int, buckets: int = versions.BUCKETS) -> None:
+    """Status rows as a delivery by bucket of the invoice; a replay replaces itself."""
+    versions.put(events, path, delivery, STATUS_KEY, buckets)
+
+
+def read_status(spark: SparkSession, path: str, invoices: DataFrame | None = None, buckets: int = versions.BUCKETS) -> DataFrame | None:
+    """The last status of every invoice, or of ``invoices`` (their ids) from their buckets alone."""
+    return versions.read_current(spark, path, STATUS_KEY, STATUS_LATEST, keys=invoices, buckets=buckets)
+
+
+def compact_status(spark: SparkSession, path: str, buckets: int = versions.BUCKETS) -> versions.Version:
+    return versions.compact(spark, path, STATUS_KEY, STATUS_LATEST, buckets=buckets)

@@ -2,49 +2,80 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
-_TYPES = {
-    "string": T.StringType(),
-    "double": T.DoubleType(),
-    "boolean": T.BooleanType(),
-    "strings": T.ArrayType(T.StringType()),
-}
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, StringType, StructField, StructType
 
+STRING, DOUBLE, BOOLEAN, STRINGS = StringType(), DoubleType(), BooleanType(), ArrayType(StringType())
 
-def _struct(layout: str) -> T.StructType:
-    fields = (line.split(":") for line in layout.split())
-    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in fields])
-
+# Column names and types of the written contracts, in their order.
 
 # The canonical silver document.
-SILVER = _struct(
-    """
-    run_id:string document_id:string source_s3_key:string source_file_name:string raw_text_path:string
-    document_type:string document_type_confidence:double vendor_name:string vendor_confidence:double
-    document_date:string document_date_confidence:double total_amount:double total_amount_confidence:double
-    currency:string currency_confidence:double extraction_engine:string normalization_engine:string
-    llm_model_id:string enrichment_invoked:boolean enrichment_completed_fields:strings
-    processing_status:string quality_status:string quality_score:double quality_flags:strings
-    rejection_reason:string reason_code:string document_fingerprint:string business_key:string
-    is_duplicate:boolean duplicate_of_document_id:string duplicate_strategy:string
-    duplicate_confidence:double created_at:string
-    vendor_or_requester:string source_file:string ocr_confidence_flags:strings
-    """
-)
+SILVER = StructType([
+    StructField("run_id", STRING),
+    StructField("document_id", STRING),
+    StructField("source_s3_key", STRING),
+    StructField("source_file_name", STRING),
+    StructField("raw_text_path", STRING),
+    StructField("document_type", STRING),
+    StructField("document_type_confidence", DOUBLE),
+    StructField("vendor_name", STRING),
+    StructField("vendor_confidence", DOUBLE),
+    StructField("document_date", STRING),
+    StructField("document_date_confidence", DOUBLE),
+    StructField("total_amount", DOUBLE),
+    StructField("total_amount_confidence", DOUBLE),
+    StructField("currency", STRING),
+    StructField("currency_confidence", DOUBLE),
+    StructField("extraction_engine", STRING),
+    StructField("normalization_engine", STRING),
+    StructField("llm_model_id", STRING),
+    StructField("enrichment_invoked", BOOLEAN),
+    StructField("enrichment_completed_fields", STRINGS),
+    StructField("processing_status", STRING),
+    StructField("quality_status", STRING),
+    StructField("quality_score", DOUBLE),
+    StructField("quality_flags", STRINGS),
+    StructField("rejection_reason", STRING),
+    StructField("reason_code", STRING),
+    StructField("document_fingerprint", STRING),
+    StructField("business_key", STRING),
+    StructField("is_duplicate", BOOLEAN),
+    StructField("duplicate_of_document_id", STRING),
+    StructField("duplicate_strategy", STRING),
+    StructField("duplicate_confidence", DOUBLE),
+    StructField("created_at", STRING),
+    StructField("vendor_or_requester", STRING),
+    StructField("source_file", STRING),
+    StructField("ocr_confidence_flags", STRINGS),
+])
 
 # The analytical table, before its partition column ``batch_id``.
-GOLD = _struct(
-    """
-    run_id:string document_id:string source_s3_key:string source_file_name:string document_type:string
-    document_date:string vendor_name:string total_amount:double currency:string extraction_engine:string
-    normalization_engine:string llm_model_id:string enrichment_invoked:boolean
-    enrichment_completed_fields:strings processing_status:string quality_status:string
-    quality_flags:strings rejection_reason:string created_at:string document_fingerprint:string
-    business_key:string is_duplicate:boolean duplicate_of_document_id:string duplicate_strategy:string
-    duplicate_confidence:double
-    """
-)
+GOLD = StructType([
+    StructField("run_id", STRING),
+    StructField("document_id", STRING),
+    StructField("source_s3_key", STRING),
+    StructField("source_file_name", STRING),
+    StructField("document_type", STRING),
+    StructField("document_date", STRING),
+    StructField("vendor_name", STRING),
+    StructField("total_amount", DOUBLE),
+    StructField("currency", STRING),
+    StructField("extraction_engine", STRING),
+    StructField("normalization_engine", STRING),
+    StructField("llm_model_id", STRING),
+    StructField("enrichment_invoked", BOOLEAN),
+    StructField("enrichment_completed_fields", STRINGS),
+    StructField("processing_status", STRING),
+    StructField("quality_status", STRING),
+    StructField("quality_flags", STRINGS),
+    StructField("rejection_reason", STRING),
+    StructField("created_at", STRING),
+    StructField("document_fingerprint", STRING),
+    StructField("business_key", STRING),
+    StructField("is_duplicate", BOOLEAN),
+    StructField("duplicate_of_document_id", STRING),
+    StructField("duplicate_strategy", STRING),
+    StructField("duplicate_confidence", DOUBLE),
+])
 GOLD_COLUMNS = GOLD.fieldNames()
 
 # Our neutral names and the names the written contract uses.
@@ -53,13 +84,19 @@ CONTRACT_NAMES = {
     "enrichment_completed_fields": "bedrock_completed_fields",
 }
 
-BRONZE_EVIDENCE = _struct(
-    """
-    run_id:string document_id:string source_s3_key:string source_file_name:string
-    textract_job_id:string textract_response_s3_key:string textract_response:string
-    extraction_engine:string extraction_timestamp:string status:string error_message:string
-    """
-)
+BRONZE_EVIDENCE = StructType([
+    StructField("run_id", STRING),
+    StructField("document_id", STRING),
+    StructField("source_s3_key", STRING),
+    StructField("source_file_name", STRING),
+    StructField("textract_job_id", STRING),
+    StructField("textract_response_s3_key", STRING),
+    StructField("textract_response", STRING),
+    StructField("extraction_engine", STRING),
+    StructField("extraction_timestamp", STRING),
+    StructField("status", STRING),
+    StructField("error_message", STRING),
+])
 
 EVIDENCE_RESPONSE = (
     "ExpenseDocuments array<struct<SummaryFields: array<struct<"
@@ -84,37 +121,64 @@ OBJECT_RECORDS = (
     "object: struct<key: string>>>>"
 )
 
-EXPECTED_DOCUMENTS = _struct(
-    "batch_id:string run_id:string document_id:string source_s3_key:string source_file_name:string"
-)
-STATUS = _struct("invoice_id:string run_id:string status:string updated_at:string")
+EXPECTED_DOCUMENTS = StructType([
+    StructField("batch_id", STRING),
+    StructField("run_id", STRING),
+    StructField("document_id", STRING),
+    StructField("source_s3_key", STRING),
+    StructField("source_file_name", STRING),
+])
+STATUS = StructType([
+    StructField("invoice_id", STRING),
+    StructField("run_id", STRING),
+    StructField("status", STRING),
+    StructField("updated_at", STRING),
+])
 
 # The older flat contract: three groups of fields, in order.
 LEGACY_CONTRACT = {
-    "common": _struct(
-        """
-        source_file:string document_type:string document_id:string document_date:string
-        vendor_or_requester:string recipient_name:string recipient_address:string description:string
-        amount:double total_amount:double currency:string account_code:string check_payable_to:string
-        payment_terms:string notes:string raw_text_path:string ocr_confidence_flags:strings
-        """
-    ),
-    "invoice": _struct(
-        """
-        invoice_number:string customer_name:string project_name:string job_number:string
-        line_items_text:string tax_amount:double subtotal_amount:double amount_due:double
-        """
-    ),
-    "contribution": _struct(
-        """
-        state_flag:boolean local_flag:boolean current_office_district:string
-        aspired_office_district:string party:string leadership_position:string approved_by:string
-        """
-    ),
+    "common": StructType([
+        StructField("source_file", STRING),
+        StructField("document_type", STRING),
+        StructField("document_id", STRING),
+        StructField("document_date", STRING),
+        StructField("vendor_or_requester", STRING),
+        StructField("recipient_name", STRING),
+        StructField("recipient_address", STRING),
+        StructField("description", STRING),
+        StructField("amount", DOUBLE),
+        StructField("total_amount", DOUBLE),
+        StructField("currency", STRING),
+        StructField("account_code", STRING),
+        StructField("check_payable_to", STRING),
+        StructField("payment_terms", STRING),
+        StructField("notes", STRING),
+        StructField("raw_text_path", STRING),
+        StructField("ocr_confidence_flags", STRINGS),
+    ]),
+    "invoice": StructType([
+        StructField("invoice_number", STRING),
+        StructField("customer_name", STRING),
+        StructField("project_name", STRING),
+        StructField("job_number", STRING),
+        StructField("line_items_text", STRING),
+        StructField("tax_amount", DOUBLE),
+        StructField("subtotal_amount", DOUBLE),
+        StructField("amount_due", DOUBLE),
+    ]),
+    "contribution": StructType([
+        StructField("state_flag", BOOLEAN),
+        StructField("local_flag", BOOLEAN),
+        StructField("current_office_district", STRING),
+        StructField("aspired_office_district", STRING),
+        StructField("party", STRING),
+        StructField("leadership_position", STRING),
+        StructField("approved_by", STRING),
+    ]),
 }
 
 
-def legacy_fields() -> list[T.StructField]:
+def legacy_fields() -> list[StructField]:
     return [field for group in LEGACY_CONTRACT.values() for field in group.fields]
 
 

@@ -186,17 +186,24 @@ def test_batches(spark, tmp_path):
     outcomes = silver.select("run_id", "document_id", silver_plan.outcome().alias("outcome"))
     expected = spark.createDataFrame(
         [("b1", "r1", "", "raw/a.pdf", ""), ("b1", "r1", "b", "", ""), ("b1", "r1", "c", "", ""),
-         ("b2", "r2", "d", "", ""), ("b2", "r2", "lost", "", ""), ("b2", "", "x", "", "")], schemas.EXPECTED_DOCUMENTS
+         ("b2", "r2", "d", "", ""), ("b2", "r2", "lost", "", ""),
+         ("b3", "r2", "d", "", ""), ("b3", "", "x", "", ""), ("b4", "r2", "a", "", "")], schemas.EXPECTED_DOCUMENTS
     )
     gold, summary = batch.consolidate_batches(expected, outcomes, silver)
     by_batch = {r.batch_id: r for r in summary.collect()}
     assert (by_batch["b1"].status, by_batch["b1"].valid_count, by_batch["b1"].rejected_count) == ("completed", 2, 1)
     assert (by_batch["b2"].status, by_batch["b2"].missing_count) == ("incomplete", 1)
-    assert {r.document_id for r in gold.collect()} == {"a", "b"}
+    assert (by_batch["b3"].status, by_batch["b3"].invalid_count, by_batch["b3"].expected_count) == ("invalid", 1, 2)
+    refused = batch.refused_entries(batch.match_expected(expected, outcomes)).collect()
+    assert [(r.batch_id, r.problem) for r in refused] == [("b3", "missing_run_id")]
+    rows = {(r.batch_id, r.document_id): r for r in gold.collect()}
+    assert set(rows) == {("b1", "a"), ("b1", "b"), ("b4", "a")}
+    # The document of b4 repeats one that only history has; b1's own documents are no history to it.
+    assert (rows[("b4", "a")].duplicate_strategy, rows[("b4", "a")].duplicate_of_document_id) == ("exact_fingerprint", "a")
     made = batch.manifests(gold, summary, "now")
     sinks.write_manifest(made, str(tmp_path / "m"))
-    row = made.first()
-    assert made.count() == 1 and (row.gold_row_count, row.duplicate_count, row.run_ids) == (2, 1, ["r1"])
+    by = {r.batch_id: r for r in made.collect()}
+    assert set(by) == {"b1", "b4"} and (by["b1"].gold_row_count, by["b1"].duplicate_count, by["b1"].run_ids) == (2, 2, ["r1"])
 
 
 def test_evidence_round_trip(spark, tmp_path):

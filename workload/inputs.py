@@ -306,7 +306,7 @@ def status_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def expected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``inv_expected``: documents per batch of forty orders; a few never arrive."""
+    """``inv_expected``: documents per batch of forty orders; a few never arrive, a few entries are unusable."""
     k = F.col("o_orderkey")
     keys = source_keys(k)
     rows = table(spark, sf_dir, "orders").select(
@@ -316,11 +316,15 @@ def expected(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(
                 k % 500 == 11,
                 F.array(keys["source_s3_key"], F.concat(F.lit("raw/lost/doc-lost-"), k.cast("string"), F.lit(".pdf"))),
-            ).otherwise(F.array(keys["source_s3_key"]))
+            )
+            .when(k % 800 == 33, F.array(keys["source_s3_key"], F.lit("bad run")))
+            .when(k % 900 == 67, F.array(keys["source_s3_key"], F.lit("")))
+            .otherwise(F.array(keys["source_s3_key"]))
         ).alias("source_s3_key"),
     )
     return rows.select(
-        "batch_id", "run_id", F.lit("").alias("document_id"), "source_s3_key", F.lit("").alias("source_file_name")
+        "batch_id", F.when(F.col("source_s3_key") != "bad run", F.col("run_id")).alias("run_id"), F.lit("").alias("document_id"),
+        "source_s3_key", F.lit("").alias("source_file_name"),
     )
 
 

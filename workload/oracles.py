@@ -258,25 +258,39 @@ _cte("evidence_silver", ("evidence_normal",), rules("evidence_normal", "pre_flag
 
 _cte("expected", (), """
   SELECT 'batch-' || CAST(k // 40 AS VARCHAR) AS batch_id, 'run-' || CAST(k % 4 AS VARCHAR) AS run_id,
-         'doc-' || CAST(CASE WHEN k % 50 = 7 THEN k - 7 ELSE k END AS VARCHAR) AS document_id, k AS seq, false AS lost
+         'doc-' || CAST(CASE WHEN k % 50 = 7 THEN k - 7 ELSE k END AS VARCHAR) AS document_id, k AS seq, false AS lost, NULL AS problem
   FROM (SELECT o_orderkey AS k FROM orders)
   UNION ALL
-  SELECT 'batch-' || CAST(k // 40 AS VARCHAR), 'run-' || CAST(k % 4 AS VARCHAR), 'doc-lost-' || CAST(k AS VARCHAR), k, true
-  FROM (SELECT o_orderkey AS k FROM orders) WHERE k % 500 = 11""")
+  SELECT 'batch-' || CAST(k // 40 AS VARCHAR), 'run-' || CAST(k % 4 AS VARCHAR), 'doc-lost-' || CAST(k AS VARCHAR), k, true, NULL
+  FROM (SELECT o_orderkey AS k FROM orders) WHERE k % 500 = 11
+  UNION ALL
+  SELECT 'batch-' || CAST(k // 40 AS VARCHAR), '', 'bad run', k, false, 'missing_run_id' FROM (SELECT o_orderkey AS k FROM orders)
+  WHERE k % 500 <> 11 AND k % 800 = 33
+  UNION ALL
+  SELECT 'batch-' || CAST(k // 40 AS VARCHAR), 'run-' || CAST(k % 4 AS VARCHAR), '', k, false, 'missing_document_id'
+  FROM (SELECT o_orderkey AS k FROM orders) WHERE k % 500 <> 11 AND k % 800 <> 33 AND k % 900 = 67""")
 _cte("matched", ("expected", "silver"), """
   SELECT e.*, s.outcome FROM expected e LEFT JOIN silver s ON s.run_id = e.run_id AND s.document_id = e.document_id""")
 _cte("batches", ("matched",), """
   SELECT batch_id, count(*) AS expected_count, count(*) FILTER (outcome = 'valid') AS valid_count,
     count(*) FILTER (outcome = 'rejected') AS rejected_count, count(*) FILTER (outcome = 'failed') AS failed_count,
-    count(*) FILTER (outcome IS NULL) AS missing_count,
-    CASE WHEN count(*) FILTER (outcome IS NULL) > 0 THEN 'incomplete' ELSE 'completed' END AS status,
-    array_to_string(list_sort(list(DISTINCT run_id)), ',') AS run_ids
+    count(*) FILTER (outcome IS NULL AND problem IS NULL) AS missing_count, count(problem) AS invalid_count,
+    CASE WHEN count(problem) > 0 THEN 'invalid' WHEN count(*) FILTER (outcome IS NULL) > 0 THEN 'incomplete' ELSE 'completed' END AS status,
+    array_to_string(list_sort(list(DISTINCT run_id) FILTER (problem IS NULL)), ',') AS run_ids
   FROM matched GROUP BY batch_id""")
 _cte("batch_eligible", ("batches", "matched", "eligible"), """
   SELECT g.*, m.batch_id FROM eligible g
   JOIN matched m ON m.run_id = g.run_id AND m.document_id = g.document_id
   JOIN batches b ON b.batch_id = m.batch_id AND b.status = 'completed'""")
-_cte("batch_gold", ("batch_eligible",), marks("batch_eligible", "seq"))
+# Every batch's documents beside all other eligible documents: those of the past come first, whatever their number.
+_cte("batch_gold", ("batch_eligible", "eligible"), f"""
+  SELECT * FROM ({marks("""(SELECT *, false AS past FROM batch_eligible
+      UNION ALL SELECT e.*, b.batch_id, true FROM eligible e JOIN (SELECT DISTINCT batch_id FROM batch_eligible) b
+        ON EXISTS (SELECT 1 FROM batch_eligible m WHERE m.batch_id = b.batch_id AND m.seq <> e.seq
+          AND (m.document_fingerprint = e.document_fingerprint OR m.business_key = e.business_key))
+        AND NOT EXISTS (SELECT 1 FROM batch_eligible m WHERE m.batch_id = b.batch_id AND m.seq = e.seq))""", "past DESC, seq")
+    .replace("PARTITION BY document_fingerprint", "PARTITION BY batch_id, document_fingerprint")
+    .replace("PARTITION BY business_key", "PARTITION BY batch_id, business_key")}) WHERE NOT past""")
 
 _cte("status_events", (), """
   SELECT 'doc-' || CAST(user_id AS VARCHAR) AS invoice_id, 'run-' || CAST(user_id % 4 AS VARCHAR) AS run_id,
@@ -521,7 +535,9 @@ ORACLES: dict[str, str] = {
     "batch_completeness": with_ctes("batches", then="SELECT * FROM batches"),
     "batch_missing": with_ctes("matched", then="""
         SELECT batch_id, run_id, document_id, 'raw/lost/' || document_id || '.pdf' AS source_s3_key, document_id || '.pdf' AS source_file_name
-        FROM matched WHERE outcome IS NULL"""),
+        FROM matched WHERE outcome IS NULL AND problem IS NULL"""),
+    "batch_refused": with_ctes("expected", then="""
+        SELECT batch_id, document_id AS source_s3_key, problem FROM expected WHERE problem IS NOT NULL"""),
     "batch_manifest": with_ctes("batches", "batch_gold", then="""
         SELECT b.status, b.batch_id, b.expected_count, b.valid_count, b.rejected_count, b.failed_count,
           count(g.seq) AS gold_row_count, count(*) FILTER (g.is_duplicate) AS duplicate_count,
@@ -661,7 +677,7 @@ ORACLES: dict[str, str] = {
     "status_derived": with_ctes("matched", "batches", then="""
         SELECT CASE WHEN outcome IN ('rejected', 'failed') THEN 'Failed' WHEN outcome = 'valid' AND b.status = 'completed' THEN 'Completed'
           WHEN outcome = 'valid' THEN 'Consolidating' ELSE 'Processing' END AS status, count(*) AS documents
-        FROM matched m JOIN batches b ON b.batch_id = m.batch_id GROUP BY 1"""),
+        FROM matched m JOIN batches b ON b.batch_id = m.batch_id WHERE problem IS NULL GROUP BY 1"""),
     "stream_ingest": with_ctes("bronze", then="""
         SELECT b.run_id, b.source_s3_key, CASE WHEN b.source_s3_key LIKE '%.docx' THEN 'unsupported_extension'
           WHEN CAST(o.o_orderdate AS DATE) > DATE '2000-12-31' OR CAST(o.o_totalprice AS DECIMAL(18,2)) > 1000000 THEN 'rejected' ELSE 'valid' END AS outcome

@@ -535,6 +535,12 @@ def batch_missing(spark, d):
     return batch.missing_documents(_matched(spark, d))
 
 
+@query
+def batch_refused(spark, d):
+    """Entries that no batch may have; their batches are refused."""
+    return batch.refused_entries(_matched(spark, d)).select("batch_id", "source_s3_key", "problem")
+
+
 @query
 def batch_manifest(spark, d):
     """Complete batches consolidated stage by stage, then summed up."""
@@ -885,7 +891,7 @@ def status_derived(spark, d):
         batch.completeness(_matched(spark, d)).select("batch_id", F.col("status").alias("batch_status")), "batch_id"
     )
     derived = status.status_from_outcome(F.col("outcome"), F.col("batch_status") == "completed")
-    return rows.groupBy(derived.alias("status")).agg(F.count(F.lit(1)).alias("documents"))
+    return rows.filter(F.col("problem").isNull()).groupBy(derived.alias("status")).agg(F.count(F.lit(1)).alias("documents"))
 
 
 # --- streaming ----------------------------------------------------------------
