@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docpipe import schemas
-from docpipe.functions.flags import append_flags, flag
+from docpipe.functions.flags import append_flags, collect_flags, flag
 from docpipe.functions.keys import stem
 from docpipe.functions.text import clean_string, document_type
 from docpipe.functions.values import amount, date
+from docpipe.streaming.sink import replace_batch
 
 
 @dataclass(frozen=True)
@@ -90,9 +92,51 @@ def conformance_report(df: DataFrame, contract: Contract) -> DataFrame:
     return counted.select(F.inline(F.array(*rows)))
 
 
-def legacy_contract(extracted: DataFrame) -> DataFrame:
+def violations(df: DataFrame, contract: Contract) -> Column:
+    """What a row breaks, as ``kind:column`` texts in the contract's order; empty if nothing.
+
+    A missing or mistyped column is a violation of every row, as is one the contract does not declare.
+    """
+    have = {f.name: f.dataType for f in df.schema.fields}
+    found = []
+    for name in contract.required:
+        found.append(flag(F.col(name).isNull() if name in have else F.lit(True), f"required:{name}"))
+    for name, allowed in contract.enums.items():
+        if name in have:
+            found.append(flag(F.col(name).isNotNull() & ~F.col(name).isin(*allowed), f"enum:{name}"))
+    for f in contract.schema.fields:
+        if f.name in have and have[f.name].simpleString() != f.dataType.simpleString():
+            found.append(flag(F.lit(True), f"type:{f.name}"))
+    found += [flag(F.lit(True), f"undeclared:{name}") for name in have if name not in contract.schema.fieldNames()]
+    return collect_flags(*found)
+
+
+def with_violations(df: DataFrame, contract: Contract) -> DataFrame:
+    return df.withColumn("violations", violations(df, contract))
+
+
+def enforce(df: DataFrame, contract: Contract) -> tuple[DataFrame, DataFrame]:
+    """(rows that keep the contract, in its columns; rows that break it, with ``violations``)."""
+    judged = with_violations(df, contract)
+    kept = [c for c in contract.schema.fieldNames() if c in df.columns]
+    return judged.filter(F.size("violations") == 0).select(*kept), judged.filter(F.size("violations") > 0)
+
+
+def write_enforced(df: DataFrame, contract: Contract, path: str, quarantine: str, delivery: int) -> None:
+    """Write rows that keep the contract to ``path``; the others, with what they break, only to ``quarantine``.
+
+    The rows are judged in one pass each for the two tables; both are replaced by the same delivery again.
+    """
+    good, bad = enforce(df, contract)
+    replace_batch(bad, quarantine, delivery)
+    replace_batch(good, path, delivery)
+
+
+def legacy_contract(extracted: DataFrame, as_of: dt.date | None = None) -> DataFrame:
     """The older 32-field record: its own flags, its own currency rule, nulls elsewhere.
 
+    ``as_of`` is what two-digit years are read from, as in the silver stage.
+
     Needs source_file, raw_text_path, text, vendor_name, document_date,
     total_amount (texts) and ``flags``.
     """
@@ -100,7 +144,7 @@ def legacy_contract(extracted: DataFrame) -> DataFrame:
         "source_file", "raw_text_path", "text", "flags",
         F.col("document_date").alias("_date_raw"), F.col("total_amount").alias("_amount_raw"),
         amount(F.col("total_amount")).alias("_amount"),
-        date(F.col("document_date")).alias("_date"),
+        (date(F.col("document_date"), as_of) if as_of else date(F.col("document_date"))).alias("_date"),
         clean_string(F.col("vendor_name")).alias("_vendor"),
         document_type(F.col("text")).alias("_type"),
     )

@@ -181,7 +181,9 @@ def best_attempts(attempts: DataFrame, key: list[str], attempt: str, blocked: st
 
 def with_gold_details(status: DataFrame, gold: DataFrame) -> DataFrame:
     """Status rows with supplier, date, amount and currency of completed invoices."""
-    details = gold.groupBy("run_id", "document_id").agg(
+    # Only documents with a completed status are grouped.
+    asked = status.filter(F.col("status") == "Completed").select("run_id", F.col("invoice_id").alias("document_id")).distinct()
+    details = gold.join(asked, ["run_id", "document_id"], "left_semi").groupBy("run_id", "document_id").agg(
         F.min_by(F.struct("vendor_name", "document_date", "total_amount", "currency", "created_at"), "source_s3_key").alias("_d")
     )
     joined = status.join(

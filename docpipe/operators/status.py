@@ -36,26 +36,33 @@ def forward_status(events: DataFrame, key: list[str], order: list[str]) -> DataF
     return best.select(*key, *[F.col(f"_best.{c}").alias(c) for c in others])
 
 
-def status_page(latest: DataFrame, status: str | None = None, limit: int = DEFAULT_PAGE, token: str | None = None) -> DataFrame:
-    """One page in ``invoice_id`` order; filters apply before paging.
-
-    The token of the next page is the last ``invoice_id`` of this one.
-    """
-    size = min(limit, MAX_PAGE)
+def _page_rows(latest: DataFrame, status: str | None, size: int, token: str | None) -> DataFrame:
     rows = latest if status is None else latest.filter(F.col("status") == status)
     if token is not None:
         rows = rows.filter(F.col("invoice_id") > token)
     return rows.orderBy("invoice_id").limit(size)
 
 
-def has_more(latest: DataFrame, page: DataFrame, status: str | None = None) -> DataFrame:
-    """One row: whether rows follow ``page`` and the token that continues after it."""
-    last = page.agg(F.max("invoice_id").alias("next_token"))
-    rows = latest if status is None else latest.filter(F.col("status") == status)
-    end = rows.agg(F.max("invoice_id").alias("last_id"))
-    return last.select(
-        F.when(end.scalar() > F.col("next_token"), F.col("next_token")).alias("next_token")
-    )
+def status_page(latest: DataFrame, status: str | None = None, limit: int = DEFAULT_PAGE, token: str | None = None) -> DataFrame:
+    """One page of at most ``MAX_PAGE`` rows in ``invoice_id`` order; filters apply before paging.
+
+    The token of the next page is the last ``invoice_id`` of this one.
+    """
+    if not 0 < limit <= MAX_PAGE:
+        raise ValueError(f"a page has 1 to {MAX_PAGE} rows")
+    return _page_rows(latest, status, limit, token)
+
+
+def next_token(latest: DataFrame, status: str | None = None, limit: int = DEFAULT_PAGE, token: str | None = None) -> DataFrame:
+    """One row: the token that continues after this page, null on the last page.
+
+    One row more than the page is asked for; nothing else is read or counted.
+    """
+    if not 0 < limit <= MAX_PAGE:
+        raise ValueError(f"a page has 1 to {MAX_PAGE} rows")
+    ids = F.array_sort(F.collect_list("invoice_id"))
+    probe = _page_rows(latest.select("invoice_id", *(["status"] if status is not None else [])), status, limit + 1, token)
+    return probe.agg(ids.alias("_ids")).select(F.when(F.size("_ids") > limit, F.get("_ids", F.lit(limit - 1))).alias("next_token"))
 
 
 def status_from_outcome(outcome: Column, consolidated: Column) -> Column:

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_ROWS, MAX_ROWS, SUMMARY_ROWS = 100, 1000, 50
+DEFAULT_ROWS, MAX_ROWS = 100, 1000
 
 
 def bounded(df: DataFrame, rows: int = DEFAULT_ROWS) -> DataFrame:
@@ -22,7 +22,10 @@ def documents_per_vendor(gold: DataFrame) -> DataFrame:
 
 
 def latest_batch_per_vendor(gold: DataFrame) -> DataFrame:
-    """Accepted documents per vendor in the latest batch (partition metadata picks the batch)."""
+    """Accepted documents per vendor in the latest batch, found by one aggregate.
+
+    For a table of the catalog, ``catalog.latest_batch`` finds it in the partition names instead.
+    """
     latest = gold.agg(F.max("batch_id")).scalar()
     rows = gold.filter((F.col("batch_id") == latest) & (F.col("processing_status") == "accepted"))
     return rows.groupBy("vendor_name").agg(F.count("document_id").alias("documents"))

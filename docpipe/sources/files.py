@@ -16,9 +16,9 @@ from docpipe.operators.validation import DOCUMENT_SUFFIXES
 
 
 def supported_files(listing: DataFrame, limit: int | None = None, suffixes=DOCUMENT_SUFFIXES) -> DataFrame:
-    """Keep supported files; with a limit, the first ones in path order."""
-    kept = listing.filter(suffix(base_name(F.col("path"))).isin(*suffixes)).orderBy("path")
-    return kept if limit is None else kept.limit(limit)
+    """Keep supported files; with a limit, the first ones in path order (only then is anything sorted)."""
+    kept = listing.filter(suffix(base_name(F.col("path"))).isin(*suffixes))
+    return kept if limit is None else kept.orderBy("path").limit(limit)
 
 
 def list_raw_files(spark: SparkSession, folder: str, limit: int | None = None) -> DataFrame:
@@ -27,10 +27,10 @@ def list_raw_files(spark: SparkSession, folder: str, limit: int | None = None) -
     return supported_files(listing, limit)
 
 
-def load_bronze_text(spark: SparkSession, folder: str, limit: int | None = None) -> DataFrame:
+def load_bronze_text(spark: SparkSession, folder: str, limit: int | None = None, names: str = "*.md") -> DataFrame:
     """One row per markdown document: source_file, raw_text_path, text."""
     texts = (
-        spark.read.option("pathGlobFilter", "*.md").text(folder, wholetext=True)
+        spark.read.option("pathGlobFilter", names).text(folder, wholetext=True)
         .select(
             F.col("_metadata.file_name").alias("source_file"),
             F.col("_metadata.file_path").alias("raw_text_path"),

@@ -248,7 +248,10 @@ def enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
         seq % 6,
         {
             0: full,
-            1: F.concat(F.lit('{"vendor_name":"Partner '), seq.cast("string"), F.lit('","currency":"EUR"}')),
+            1: F.concat(
+                F.lit('{"vendor_name":"Partner '), seq.cast("string"),
+                F.lit('","currency":"EUR","total_amount":12.5,"confidence_summary":{"vendor_name":0.6,"total_amount":1e-05}}'),
+            ),
             2: F.lit('{"vendor_name":null,"document_date":"12/31/1998","currency":"USD"}'),
             3: F.lit(None).cast("string"),
             4: F.concat(F.lit("```json\n"), full, F.lit("\n```")),
@@ -377,6 +380,18 @@ def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def named_files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Files to move, many of one name and some called like a numbered copy, and the names their folder already has."""
+    k = F.col("o_orderkey")
+    number = lambda of, n: F.concat(F.lit("_"), (of % n).cast("string"))
+    ending = F.when(k % 3 == 0, F.lit(".pdf")).when(k % 3 == 1, F.lit(".tif")).otherwise(F.lit(""))
+    name = F.concat(F.lit("f"), (k % 300).cast("string"), F.when(k % 7 == 3, number(k, 6)).otherwise(F.lit("")), ending)
+    moved = table(spark, sf_dir, "orders").select(name.alias("file_name"), F.lpad(k.cast("string"), 12, "0").alias("path"))
+    c = F.col("c_custkey")
+    held = F.concat(F.lit("f"), (c % 300).cast("string"), F.when(c % 4 == 1, number(c, 9)).otherwise(F.lit("")), F.lit(".pdf"))
+    return moved, table(spark, sf_dir, "customer").select(held.alias("name"))
+
+
 def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``inv_upload``: upload requests of six or twelve files each."""
     k = F.col("p_partkey")

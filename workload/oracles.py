@@ -226,16 +226,16 @@ _cte("merged", ("needed",), """
     CASE WHEN used AND shape IN (0, 4) THEN 'receipt' ELSE document_type END AS document_type,
     CASE WHEN used AND shape IN (0, 4) THEN concat('Vendor ', seq) WHEN used AND shape = 1 THEN concat('Partner ', seq)
          WHEN used AND shape = 2 THEN NULL ELSE vendor_name END AS vendor_name,
-    CASE WHEN used AND shape IN (0, 4) THEN 0.8::DOUBLE ELSE vendor_confidence END AS vendor_confidence,
+    CASE WHEN used AND shape IN (0, 4) THEN 0.8::DOUBLE WHEN used AND shape = 1 THEN 0.6 ELSE vendor_confidence END AS vendor_confidence,
     CASE WHEN used AND shape IN (0, 4) THEN '1999-05-05' WHEN used AND shape = 2 THEN '12/31/1998'
          ELSE document_date END AS document_date,
-    CASE WHEN used AND shape IN (0, 4) THEN '150' ELSE total_amount END AS total_amount,
+    CASE WHEN used AND shape IN (0, 4) THEN '150' WHEN used AND shape = 1 THEN '12.5' ELSE total_amount END AS total_amount,
     CASE WHEN used AND shape IN (0, 4) THEN 'PEN' WHEN used AND shape = 1 THEN 'EUR' WHEN used AND shape = 2 THEN 'USD'
          ELSE currency END AS currency,
     array_to_string(list_filter([
       CASE WHEN used AND currency IS NULL AND shape IN (0, 1, 2, 4) THEN 'currency' END,
       CASE WHEN used AND document_date IS NULL AND shape IN (0, 2, 4) THEN 'document_date' END,
-      CASE WHEN used AND total_amount IS NULL AND shape IN (0, 4) THEN 'total_amount' END,
+      CASE WHEN used AND total_amount IS NULL AND shape IN (0, 1, 4) THEN 'total_amount' END,
       CASE WHEN used AND vendor_name IS NULL AND shape IN (0, 1, 4) THEN 'vendor_name' END], lambda x: x IS NOT NULL), ',') AS completed,
     concat_ws(',', nullif(flags, ''), CASE WHEN invoked AND shape = 3 THEN 'bedrock_request_failed' END) AS flags
   FROM (SELECT *, invoked AND shape <> 3 AS used FROM needed)""")
@@ -745,3 +745,101 @@ ORACLES["contract_report_bronze"] = with_ctes("bronze", then=_report(
     ["run_id", "document_id", "source_s3_key", "source_file_name", "textract_response", "extraction_engine",
      "extraction_timestamp", "status"],
     ["extraction_engine", "status"], _schemas.BRONZE_EVIDENCE.fieldNames(), [], {}))
+
+
+# --- tables over many deliveries, names, contracts, catalog, micro-batches --------
+
+
+def _in_parts(source: str, by: str, parts: int) -> str:
+    """``source`` with ``part``: the micro-batch of a row when a stream takes the rows in that many equal spans of ``by``."""
+    return f"""SELECT *, ({by} - min({by}) OVER ()) // ((max({by}) OVER () - min({by}) OVER ()) // {parts} + 1) AS part FROM {source}"""
+
+
+ORACLES["free_names"] = r"""
+  WITH m AS (
+    SELECT concat('f', o_orderkey % 300, CASE WHEN o_orderkey % 7 = 3 THEN concat('_', o_orderkey % 6) ELSE '' END) AS stem,
+      CASE o_orderkey % 3 WHEN 0 THEN '.pdf' WHEN 1 THEN '.tif' ELSE '' END AS tail, lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS path FROM orders
+  ), folder AS (
+    SELECT DISTINCT concat('f', c_custkey % 300, CASE WHEN c_custkey % 4 = 1 THEN concat('_', c_custkey % 9) ELSE '' END) AS stem, '.pdf' AS tail FROM customer
+  ), held AS (
+    SELECT stem, tail FROM m UNION SELECT stem, tail FROM folder
+  ), numbers AS (
+    SELECT regexp_extract(stem, '^(.+)_([1-9][0-9]*)$', 1) AS stem, tail, list(CAST(regexp_extract(stem, '^(.+)_([1-9][0-9]*)$', 2) AS BIGINT)) AS used
+    FROM held WHERE regexp_matches(stem, '^.+_[1-9][0-9]*$') GROUP BY 1, 2
+  ), placed AS (
+    SELECT m.*, row_number() OVER (PARTITION BY m.stem, m.tail ORDER BY path) - CASE WHEN f.stem IS NULL THEN 1 ELSE 0 END AS k
+    FROM m LEFT JOIN folder f ON f.stem = m.stem AND f.tail = m.tail
+  )
+  SELECT path, CASE WHEN k = 0 THEN p.stem || p.tail ELSE p.stem || '_' ||
+      list_filter(range(1, k + coalesce(len(used), 0) + 1), lambda x: NOT list_contains(coalesce(used, []), x))[k] || p.tail END AS target_name
+  FROM placed p LEFT JOIN numbers n ON n.stem = p.stem AND n.tail = p.tail"""
+ORACLES["compacted_outcomes"] = ORACLES["rerun_outcomes"]
+ORACLES["status_log"] = with_ctes("status_events", then="SELECT invoice_id, max(updated_at) AS updated_at FROM status_events GROUP BY 1")
+ORACLES["bronze_text_scan"] = "SELECT concat('scan-', s_suppkey, '.tif') AS source_file, 8 AS lines, true AS has_path FROM supplier"
+ORACLES["runs_table"] = with_ctes("run_summary", then="""
+  SELECT run_id, documents_received, documents_accepted, documents_rejected, documents_failed FROM run_summary""")
+ORACLES["manifest_files"] = with_ctes("batches", "batch_gold", then="""
+  SELECT b.batch_id, b.status, b.expected_count, count(g.seq) AS gold_row_count, count(*) FILTER (g.is_duplicate) AS duplicate_count, b.run_ids
+  FROM batches b LEFT JOIN batch_gold g ON g.batch_id = b.batch_id WHERE b.status = 'completed' GROUP BY ALL""")
+_SHAPES = " ".join(f"WHEN {k} THEN '{v.replace(chr(39), chr(39) * 2)}'" for k, v in STATEMENT_SHAPES.items())
+_SPEND = "concat('SELECT sum(total_amount) AS total FROM gold_invoice_summary WHERE lower(supplier_name) = ''vendor ', user_id, ''' LIMIT ', event_id % 1500)"
+ORACLES["statement_extract"] = f"""
+  WITH s AS (SELECT event_id AS query_id, event_id % 4 AS form, CASE event_id % {len(STATEMENT_SHAPES) + 1} {_SHAPES} ELSE {_SPEND} END AS q FROM events)
+  SELECT query_id, md5(CASE WHEN form = 2 THEN trim('```SQL ' || q, {_WS}) ELSE trim(q, {_WS}) END) AS statement_md5 FROM s"""
+ORACLES["chained_run"] = with_ctes("eligible", "run_summary", then=f"""
+  SELECT s.run_id, documents_received, documents_accepted, documents_rejected, documents_failed, count(g.seq) AS gold_rows,
+    count(*) FILTER (g.is_duplicate) AS gold_duplicates
+  FROM run_summary s LEFT JOIN ({marks('eligible', "run_id >= 'run-2', seq")}) g ON g.run_id = s.run_id GROUP BY ALL""")
+ORACLES["contract_violations"] = with_ctes("silver", then="""
+  SELECT source_s3_key, concat_ws(',', CASE WHEN seq % 15 = 7 THEN 'required:quality_status' END, CASE WHEN created_at IS NULL THEN 'required:created_at' END,
+      CASE WHEN seq % 10 = 4 THEN 'enum:document_type' END) AS violations
+  FROM silver WHERE seq % 15 = 7 OR created_at IS NULL OR seq % 10 = 4""")
+ORACLES["contract_enforced"] = with_ctes("silver", then="""
+  SELECT run_id, CASE WHEN created_at IS NULL THEN 'refused' ELSE 'accepted' END AS table_name, count(*) AS documents FROM silver GROUP BY 1, 2""")
+ORACLES["catalog_latest_batch"] = with_ctes("gold", then="""
+  SELECT batch_id, vendor_name, count(document_id) AS documents FROM gold WHERE batch_id = (SELECT max(batch_id) FROM gold) GROUP BY 1, 2""")
+ORACLES["sql_surface_date_parse"] = with_ctes("summary", then="""
+  SELECT year(CAST(invoice_date AS DATE)) AS y, month(CAST(invoice_date AS DATE)) AS m, count(*) AS invoices, 8 AS first_hour
+  FROM summary WHERE invoice_date >= '1995-02-01' GROUP BY 1, 2""")
+ORACLES["sql_surface_approx_distinct"] = with_ctes("summary", then="""
+  SELECT currency, count(DISTINCT supplier_name) AS suppliers, true AS close FROM summary GROUP BY 1""")
+ORACLES["distinct_sketches"] = with_ctes("gold", then="""
+  SELECT substr(batch_id, 7, 4) AS year, count(*) AS rows, count(DISTINCT vendor_name) AS vendors, count(DISTINCT document_id) AS documents,
+    true AS vendors_close, true AS documents_close FROM gold GROUP BY 1""")
+ORACLES["stream_gold_batches"] = ORACLES["stream_gold"]
+ORACLES["stream_ingest_batches"] = with_ctes("bronze", then="""
+  SELECT outcome, CASE outcome WHEN 'valid' THEN count(*) ELSE 2 * count(*) END AS rows_written, count(*) AS documents
+  FROM (SELECT CASE WHEN CAST(o.o_orderdate AS DATE) > DATE '2000-12-31' OR CAST(o.o_totalprice AS DECIMAL(18,2)) > 1000000 THEN 'rejected' ELSE 'valid' END AS outcome
+        FROM bronze b JOIN orders o ON o.o_orderkey = b.seq WHERE b.source_s3_key NOT LIKE '%.docx') GROUP BY outcome""")
+ORACLES["stream_dead_letter"] = f"""
+  WITH p AS ({_in_parts('events', 'event_id', 4)}), f AS (
+    SELECT concat('m-', user_id % 500) AS message_id, event_id, part, row_number() OVER (PARTITION BY user_id % 500 ORDER BY event_id) AS n
+    FROM p WHERE event_type = 'error'
+  ), hit AS (SELECT message_id, part FROM f WHERE n = 3)
+  SELECT message_id, count(*) AS failures, concat('error ', max(event_id)) AS last_error, CAST(hit.part AS BIGINT) AS epoch
+  FROM hit JOIN f USING (message_id) WHERE f.part <= hit.part GROUP BY message_id, hit.part"""
+ORACLES["alarm_calendar"] = f"""
+  WITH w AS ({_WINDOWS}), c AS (SELECT unnest(generate_series((SELECT min(w) FROM w), (SELECT max(w) FROM w), INTERVAL 5 MINUTE)) AS w)
+  {_WINDOW_ROWS} FROM (SELECT c.w, coalesce(failures, 0) AS failures, unknown_rate FROM c LEFT JOIN w ON w.w = c.w)"""
+ORACLES["stream_alarm_calendar"] = ORACLES["alarm_calendar"]
+
+
+def _status_steps(parts: int, stuck: str, keep: str) -> str:
+    """The live table after each micro-batch, one after another."""
+    timed = "(SELECT *, CAST(updated_at AS TIMESTAMP) AS moment, CAST(epoch(CAST(updated_at AS TIMESTAMP)) AS BIGINT) AS second FROM status_events)"
+    steps = [f"""e AS ({_in_parts(timed, "second", parts)}),
+    l_0 AS (SELECT invoice_id, status, moment, sequence, false AS timed_out, moment AS seen FROM e WHERE false)"""]
+    for n in range(parts):
+        steps.append(f"""
+    k_{n} AS (SELECT invoice_id, status, moment, sequence, timed_out, seen FROM l_{n}
+      UNION ALL SELECT invoice_id, status, moment, sequence, false, moment FROM e WHERE part = {n}),
+    b_{n} AS (SELECT *, (SELECT max(seen) FROM k_{n}) AS clock FROM k_{n} QUALIFY row_number() OVER (PARTITION BY invoice_id
+      ORDER BY CASE status WHEN 'Uploaded' THEN 0 WHEN 'Processing' THEN 1 WHEN 'Consolidating' THEN 2 ELSE 3 END DESC, moment DESC, sequence DESC) = 1),
+    a_{n} AS (SELECT invoice_id, CASE WHEN late THEN 'Failed' ELSE status END AS status, moment, sequence, timed_out OR late AS timed_out, clock AS seen
+      FROM (SELECT *, status NOT IN ('Completed', 'Failed') AND moment < clock - INTERVAL {stuck} AS late FROM b_{n})),
+    l_{n + 1} AS (SELECT * FROM a_{n} WHERE NOT (status IN ('Completed', 'Failed') AND moment < seen - INTERVAL {keep}))""")
+    return ",".join(steps)
+
+
+ORACLES["stream_status_limit"] = with_ctes("status_events", then="").rstrip() + ", " + _status_steps(3, "3 DAY", "5 DAY") + """
+  SELECT invoice_id, status, sequence, timed_out FROM l_3"""

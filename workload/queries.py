@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,14 +12,16 @@ from pyspark.sql import types as T
 
 from docpipe import schemas
 from docpipe.functions import keys, responses, text, values
-from docpipe.operators import contracts, duplicates, matching, metrics, quality, ranks, skew, status, validation
-from docpipe.plans import batch, curated, questions, sinks
+from docpipe.functions.sql import register_functions
+from docpipe.operators import contracts, duplicates, matching, metrics, quality, ranks, sketches, skew, status, validation
+from docpipe.plans import batch, curated, questions, run, sinks
 from docpipe.plans import gold as gold_plan
 from docpipe.plans import silver as silver_plan
 from docpipe.session import scratch_path
-from docpipe.sources import arrivals, files
+from docpipe.sources import arrivals, catalog, files
 from docpipe.streaming import alarms, ingest
 from docpipe.streaming import gold as gold_stream
+from docpipe.streaming import status as status_stream
 from docpipe.streaming.sink import replace_batch, run_to_end
 from workload import inputs
 from workload.inputs import AS_OF, table
@@ -875,7 +878,7 @@ def status_page(spark, d):
 @query
 def status_next_token(spark, d):
     latest = _latest(spark, d)
-    return status.has_more(latest, status.status_page(latest, limit=7))
+    return status.next_token(latest, limit=7)
 
 
 @query
@@ -1015,3 +1018,300 @@ def skewed_lookup(spark, d):
     per_type = events.groupBy("event_type").agg(F.count(F.lit(1)).alias("type_events"))
     wide = skew.join_unique(events, per_type, "event_type", ["event_id"])
     return wide.select("event_id", "event_type", "type_events")
+
+
+# --- tables over many deliveries, names, contracts, catalog ---------------------
+
+
+@query
+def free_names(spark, d):
+    """Names for moved files, none of them held by the folder, another file or another move."""
+    moved, folder = inputs.named_files(spark, d)
+    return ranks.collision_free_names(moved, taken=folder).select("path", "target_name")
+
+
+@query
+def compacted_outcomes(spark, d):
+    """The documents of ``rerun_outcomes``, with a compaction before and after the second delivery and a replay of it."""
+    silver, path = inputs.silver_table(spark, d), scratch_path(spark, "compacted")
+    again = F.col("seq") % 2 == 0
+    first = silver.withColumn("processing_status", F.when(again, F.lit("failed")).otherwise(F.col("processing_status")))
+    sinks.write_silver(first, path, 1)
+    sinks.compact_silver(spark, path)
+    for _ in range(2):
+        sinks.write_silver(silver.filter(again), path, 2)
+    sinks.compact_silver(spark, path)
+    return sinks.read_silver(spark, path).select("seq", "outcome", F.col("epoch").cast("bigint").alias("delivery"))
+
+
+@query
+def status_log(spark, d):
+    """The status log in three deliveries, two of them compacted: the last status of every invoice."""
+    events, path = inputs.status_events(spark, d), scratch_path(spark, "status-log")
+    for n in range(3):
+        sinks.write_status(events.filter(F.col("sequence") % 3 == n), path, n + 1)
+        if n == 1:
+            sinks.compact_status(spark, path)
+    # The table keeps the rows of an invoice's last second; the sequence number settles those.
+    seconds = sinks.read_status(spark, path).select("invoice_id", "updated_at").distinct()
+    return seconds.select("invoice_id", "updated_at")
+
+
+@query
+def bronze_text_scan(spark, d):
+    """Text extracts written one file each and read back with their headers."""
+    path = scratch_path(spark, "bronze-text")
+    name = F.concat(F.lit("scan-"), F.col("s_suppkey").cast("string"), F.lit(".tif"))
+    rows = table(spark, d, "supplier").select(
+        text.render_markdown(F.concat(F.col("s_name"), F.lit("\n  "), F.col("s_acctbal").cast("string")), name, F.concat(F.lit("raw/"), name)).alias("value")
+    )
+    rows.write.option("maxRecordsPerFile", 1).text(path)
+    read = files.load_bronze_text(spark, path, names="*.txt")
+    return read.select(
+        responses_file(F.col("text")).alias("source_file"), F.size(F.split(text.clean_lines(F.col("text")), "\n")).alias("lines"),
+        F.col("raw_text_path").endswith(".txt").alias("has_path"),
+    )
+
+
+def responses_file(c: Column) -> Column:
+    return F.regexp_extract(c, "(?m)^- Source file: `([^`]+)`", 1)
+
+
+@query
+def runs_table(spark, d):
+    """Run manifests in two deliveries, the second one twice."""
+    path = scratch_path(spark, "runs")
+    rows = metrics.run_summary(inputs.silver_table(spark, d))
+    late = F.col("run_id") >= "run-2"
+    sinks.append_run(rows.filter(~late), path, 1)
+    for _ in range(2):
+        sinks.append_run(rows.filter(late), path, 2)
+    return spark.read.parquet(path).select("run_id", "documents_received", "documents_accepted", "documents_rejected", "documents_failed")
+
+
+@query
+def manifest_files(spark, d):
+    """Batch manifests written as JSON outside the table, twice, and read back."""
+    path = scratch_path(spark, "manifests")
+    silver = inputs.silver_table(spark, d)
+    outcomes = silver.select("run_id", "document_id", "outcome")
+    rows, summary = batch.consolidate_batches(inputs.expected(spark, d), outcomes, silver, order=["seq"])
+    made = batch.manifests(rows, summary, "2000-12-31T00:00:00Z")
+    layout = made.schema
+    for _ in range(2):
+        sinks.write_manifest(made, path)
+    read = spark.read.schema(layout).json(path)
+    return read.select("batch_id", "status", "expected_count", "gold_row_count", "duplicate_count", joined("run_ids").alias("run_ids"))
+
+
+@query
+def statement_extract(spark, d):
+    """The statement in each answer: fenced with and without a word, or bare."""
+    n = F.col("query_id")
+    bare = F.col("generated_sql")
+    answer = (
+        F.when(n % 4 == 0, F.concat(F.lit("```sql\n"), bare, F.lit("\n```")))
+        .when(n % 4 == 1, F.concat(F.lit("  ```"), bare, F.lit("``` trailing words")))
+        .when(n % 4 == 2, F.concat(F.lit("```SQL "), bare)).otherwise(bare)
+    )
+    return inputs.statements(spark, d).select("query_id", F.md5(responses.statement_text(answer)).alias("statement_md5"))
+
+
+@query
+def chained_run(spark, d):
+    """Two deliveries of texts, each taken through bronze, silver, gold and its manifest; the second one twice."""
+    root = scratch_path(spark, "run")
+    texts = inputs.extracted(spark, d)
+    late = F.col("run_id") >= "run-2"
+    first = run.run_all(texts.filter(~late), AS_OF, root, 1, ["seq"])
+    run.run_all(texts.filter(late), AS_OF, root, 2, ["seq"])
+    second = run.run_all(texts.filter(late), AS_OF, root, 2, ["seq"])
+    return first.unionByName(second).select(
+        "run_id", "documents_received", "documents_accepted", "documents_rejected", "documents_failed", "gold_rows", "gold_duplicates"
+    )
+
+
+@query
+def contract_violations(spark, d):
+    """What each document breaks of the silver contract."""
+    rows = inputs.silver_table(spark, d).select(*schemas.SILVER.fieldNames(), "seq")
+    changed = rows.withColumns({
+        "document_type": F.when(F.col("seq") % 10 == 4, F.lit("letter")).otherwise(F.col("document_type")),
+        "quality_status": F.when(F.col("seq") % 15 == 7, F.lit(None)).otherwise(F.col("quality_status")),
+    })
+    judged = contracts.with_violations(changed.drop("seq"), contracts.SILVER_CONTRACT).select("source_s3_key", joined("violations").alias("violations"))
+    return judged.filter("violations <> ''")
+
+
+@query
+def contract_enforced(spark, d):
+    """A write that refuses rows: the table and the quarantine after it."""
+    root = scratch_path(spark, "enforced")
+    rows = inputs.silver_table(spark, d).select(*schemas.SILVER.fieldNames())
+    contracts.write_enforced(rows, contracts.SILVER_CONTRACT, f"{root}/silver", f"{root}/refused", 1)
+    good = spark.read.parquet(f"{root}/silver").groupBy("run_id").agg(F.count(F.lit(1)).alias("documents"))
+    bad = spark.read.parquet(f"{root}/refused").groupBy("run_id").agg(F.count(F.lit(1)).alias("documents"))
+    return good.select("run_id", F.lit("accepted").alias("table_name"), "documents").unionByName(
+        bad.select("run_id", F.lit("refused").alias("table_name"), "documents")
+    )
+
+
+@query
+def catalog_latest_batch(spark, d):
+    """The latest batch by its partition's name in the catalog, then that partition alone."""
+    name, root = f"gold_{uuid.uuid4().hex}", scratch_path(spark, "catalog")
+    rows = inputs.gold(spark, d).select(*schemas.GOLD_COLUMNS, "batch_id")
+    cut = F.col("batch_id") < "batch-1998"
+    sinks.write_gold(rows.filter(cut), root)
+    catalog.create_gold_table(spark, name, root)
+    sinks.write_gold(rows.filter(~cut), root)
+    catalog.refresh_partitions(spark, name)
+    latest = catalog.batch_rows(spark, name, catalog.latest_batch(spark, name))
+    return latest.filter("processing_status = 'accepted'").groupBy("batch_id", "vendor_name").agg(F.count("document_id").alias("documents"))
+
+
+@query
+def sql_surface_date_parse(spark, d):
+    register_functions(spark)
+    gold_plan.register_views(inputs.gold(spark, d))
+    return spark.sql("""
+        SELECT year(date_parse(invoice_date, '%Y-%m-%d')) AS y, month(date_parse(invoice_date, '%Y-%m-%d')) AS m, count(*) AS invoices,
+               min(hour(date_parse(processing_date, '%Y-%m-%dT%H:%i:%sZ'))) AS first_hour
+        FROM gold_invoice_summary WHERE date_parse(invoice_date, '%Y-%m-%d') >= date_parse('01/02/1995', '%d/%m/%Y')
+        GROUP BY 1, 2
+    """)
+
+
+@query
+def sql_surface_approx_distinct(spark, d):
+    """The approximate count by its SQL word, next to the exact one: within five standard errors."""
+    register_functions(spark)
+    gold_plan.register_views(inputs.gold(spark, d))
+    return spark.sql("""
+        SELECT currency, count(DISTINCT supplier_name) AS suppliers,
+               abs(approx_distinct(supplier_name) - count(DISTINCT supplier_name)) <= 1 + 0.115 * count(DISTINCT supplier_name) AS close
+        FROM gold_invoice_summary GROUP BY currency
+    """)
+
+
+@query
+def distinct_sketches(spark, d):
+    """Suppliers and documents per year from sketches that were stored per batch: within five standard errors."""
+    path = scratch_path(spark, "sketches")
+    gold = inputs.gold(spark, d)
+    sketches.distinct_sketches(gold, ["batch_id"], ["vendor_name", "document_id"]).write.parquet(path)
+    year = F.substring("batch_id", 7, 4).alias("year")
+    united = sketches.united_distinct(spark.read.parquet(path).withColumn("year", year), ["year"], ["vendor_name", "document_id"])
+    exact = gold.groupBy(year).agg(F.count_distinct("vendor_name").alias("vendors"), F.count_distinct("document_id").alias("documents"))
+    close = lambda a, b: F.abs(F.col(a) - F.col(b)) <= 1 + 0.08 * F.col(b)
+    met = united.join(exact, united["year"].eqNullSafe(exact["year"])).select(
+        exact["year"], "rows", "vendors", "documents", "vendor_name_distinct", "document_id_distinct"
+    )
+    return met.select(
+        "year", "rows", "vendors", "documents", close("vendor_name_distinct", "vendors").alias("vendors_close"),
+        close("document_id_distinct", "documents").alias("documents_close"),
+    )
+
+
+# --- streams over several micro-batches -------------------------------------------
+
+
+def in_parts(rows: DataFrame, by: str, parts: int, path: str) -> None:
+    """Write ``rows`` as files in the order of a number, so that a stream takes them as that many micro-batches."""
+    low, high = rows.agg(F.min(by), F.max(by)).first()
+    step = (high - low) // parts + 1
+    for n in range(parts):
+        rows.filter(F.floor((F.col(by) - low) / step) == n).coalesce(1).write.mode("append").parquet(path)
+
+
+@query
+def stream_gold_batches(spark, d):
+    """Silver streamed into gold in four micro-batches, each marked through the bucketed key index."""
+    root = scratch_path(spark, "gold-batches")
+    silver = inputs.silver_table(spark, d)
+    in_parts(silver, "seq", 4, f"{root}/silver")
+    stream = spark.readStream.schema(silver.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/silver")
+    run_to_end(stream, gold_stream.gold_batches(f"{root}/gold", f"{root}/index", ["seq"], compact_every=2), f"{root}/checkpoint")
+    return spark.read.parquet(f"{root}/gold").select("seq", "is_duplicate", "duplicate_of_document_id", "duplicate_strategy")
+
+
+@query
+def stream_ingest_batches(spark, d):
+    """Three micro-batches of arrivals and then all of them once more: valid documents are made once."""
+    root = scratch_path(spark, "ingest-batches")
+    made = inputs.source_keys(F.col("o_orderkey"))
+    rows = table(spark, d, "orders").select(
+        "o_orderkey", made["run_id"].alias("run_id"), made["source_s3_key"].alias("source_s3_key"),
+        keys.base_name(made["source_s3_key"]).alias("source_file_name"),
+        keys.document_id(F.lit(""), made["source_s3_key"]).alias("document_id"),
+        F.col("o_totalprice").cast("decimal(18,2)").cast("string").alias("total_amount"),
+        F.col("o_orderdate").cast("date").cast("string").alias("document_date"),
+    )
+    in_parts(rows, "o_orderkey", 3, f"{root}/in")
+    rows.coalesce(1).write.mode("append").parquet(f"{root}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in").drop("o_orderkey")
+
+    def build(arrived: DataFrame) -> DataFrame:
+        return silver_plan.silver_from_text(arrived.withColumns({
+            "raw_text": F.lit("invoice"), "raw_text_path": F.lit(None).cast("string"), "vendor_name": F.col("document_id"),
+            "currency": F.lit("USD"), "created_at": F.lit("2000-12-31T00:00:00Z"), "flags": F.expr("cast(array() as array<string>)"),
+        }), AS_OF)
+
+    run_to_end(stream, ingest.ingest_batches(build, f"{root}/silver", f"{root}/rejected", compact_every=2), f"{root}/checkpoint")
+    written = spark.read.parquet(f"{root}/silver")
+    return written.groupBy("outcome").agg(F.count(F.lit(1)).alias("rows_written"), F.count_distinct("run_id", "document_id").alias("documents"))
+
+
+@query
+def stream_dead_letter(spark, d):
+    """Failed deliveries in four micro-batches: each message is set aside once, in the batch where it reaches the limit."""
+    root = scratch_path(spark, "letters")
+    deliveries = inputs.events(spark, d).select(
+        F.concat(F.lit("m-"), (F.col("user_id") % 500).cast("string")).alias("message_id"), (F.col("event_type") == "error").alias("failed"),
+        F.concat(F.lit("error "), F.col("event_id").cast("string")).alias("error"), "event_id",
+    )
+    in_parts(deliveries, "event_id", 4, f"{root}/in")
+    stream = spark.readStream.schema(deliveries.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    work = ingest.retry_ledger(f"{root}/ledger", f"{root}/letters", ["message_id"], ["event_id"], compact_every=2)
+    run_to_end(stream, work, f"{root}/checkpoint")
+    return spark.read.parquet(f"{root}/letters").select("message_id", "failures", "last_error", F.col("epoch").cast("bigint").alias("epoch"))
+
+
+@query
+def alarm_calendar(spark, d):
+    """Every period from the first event to the last, those without events as OK."""
+    rows = alarms.with_calendar(alarms.alarm_windows(_alarm_events(inputs.events(spark, d)), lateness=None))
+    return rounded(rows.withColumns(
+        {c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("window_start", "window_end")}
+    ))
+
+
+@query
+def stream_alarm_calendar(spark, d):
+    """The same from a stream of three micro-batches, the last window included."""
+    root = scratch_path(spark, "alarm-calendar")
+    events = _alarm_events(inputs.events(spark, d)).withColumn("second", F.unix_timestamp("ts"))
+    in_parts(events, "second", 3, f"{root}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    run_to_end(alarms.alarm_windows(stream), alarms.alarm_batches(f"{root}/windows"), f"{root}/checkpoint", "update")
+    rows = alarms.with_calendar(alarms.latest_windows(spark, f"{root}/windows"))
+    return rounded(rows.withColumns(
+        {c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("window_start", "window_end")}
+    ))
+
+
+STATUS_PARTS = 3
+
+
+@query
+def stream_status_limit(spark, d):
+    """Status events in three micro-batches: forward only, stuck invoices fail, finished ones leave the live table."""
+    root = scratch_path(spark, "status-limit")
+    events = inputs.status_events(spark, d).select(
+        "invoice_id", "status", F.col("updated_at").cast("timestamp").alias("updated_at"), "sequence"
+    )
+    in_parts(events.withColumn("second", F.unix_timestamp("updated_at")), "second", STATUS_PARTS, f"{root}/in")
+    stream = spark.readStream.schema(events.withColumn("second", F.lit(0).cast("bigint")).schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    work = status_stream.status_batches(f"{root}/live", f"{root}/changes", ["updated_at", "sequence"], "3 days", "5 days")
+    run_to_end(stream, work, f"{root}/checkpoint")
+    return status_stream.live_state(spark, f"{root}/live").select("invoice_id", "status", "sequence", "timed_out")
