@@ -153,28 +153,17 @@ def _joined_up(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def _across(members: DataFrame, texts: DataFrame, bands: int, buckets: int, threshold: float, shingle: int) -> DataFrame:
-    """Links (u, v) that join components within a band.
+def _blocks_of(rows: DataFrame, kind: str, bands: int, buckets: int, threshold: float, with_texts: bool, shingle: int) -> DataFrame:
+    """Compare the members of every (band, p, q): block p with block q. See ``_across``.
 
-    ``members``: (band, nth, node, comp, n, regs). A band with many members is cut in blocks, compared two at a time. A
-    pair that shares several bands is compared in the first of them only. Pairs whose estimate may reach the threshold are
-    confirmed here, on the full texts, unless the links of the same blocks connect them already; so a task gives fewer
-    links than it has members, however many pairs are alike.
+    Without texts: the members that have a partner in another component whose estimate may reach the threshold, as
+    (band, p, q, node). With texts: confirmed links (u, v).
     """
     least = threshold - SLACK * float(np.sqrt(threshold * (1 - threshold) / buckets))
-    mixed_bands = (
-        members.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"))
-        .where("lo != hi").select("band", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    )
-    placed = members.join(mixed_bands, "band").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    placed = placed.join(texts.select(F.col("doc_id").alias("node"), "text"), "node")
-    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, "block").alias("p"), F.greatest(x, "block").alias("q")))
-    dealt = placed.select("band", "nth", "node", "comp", "n", "regs", "text", "block", F.explode(meets).alias("m"))
-    dealt = dealt.select("band", "nth", "node", "comp", "n", "regs", "text", "block", "m.p", "m.q")
 
     def of_group(key, frame):
         node, comp = frame.column("node").to_numpy(), frame.column("comp").to_numpy()
-        n, block, texts = frame.column("n").to_numpy(), frame.column("block").to_numpy(), frame.column("text")
+        n, block = frame.column("n").to_numpy(), frame.column("block").to_numpy()
         regs = np.frombuffer(b"".join(frame.column("regs").to_pylist()), np.uint16).reshape(-1, buckets)
         p, q, nth = key[1].as_py(), key[2].as_py(), frame.column("nth")[0].as_py()
         group = np.unique(comp, return_inverse=True)[1]  # components as joined so far in these blocks
@@ -187,11 +176,11 @@ def _across(members: DataFrame, texts: DataFrame, bands: int, buckets: int, thre
                 if held > HELD:
                     sets.clear()
                     held = 0
-                sets[i] = np.unique(shingle_hashes(lowered_words(texts[i].as_py()), shingle))
+                sets[i] = np.unique(shingle_hashes(lowered_words(frame.column("text")[i].as_py()), shingle))
                 held += len(sets[i])
             return sets[i]
 
-        found = []
+        found, met = [], np.zeros(len(node), bool)
         right = np.flatnonzero(block == q)
         for i in np.flatnonzero(block == p):
             other = right[(group[right] != group[i]) & ((node[right] > node[i]) if p == q else True)]
@@ -200,15 +189,43 @@ def _across(members: DataFrame, texts: DataFrame, bands: int, buckets: int, thre
             equal = regs[other] == regs[i]
             score = estimate(equal.sum(axis=1), n[i], n[other], buckets)
             near = (score >= least) & (equal.reshape(len(other), bands, -1).all(axis=2).argmax(axis=1) == nth)
+            if not with_texts:
+                met[other[near]] = True
+                met[i] |= near.any()
+                continue
             for j in other[near][np.argsort(-score[near], kind="stable")]:
                 if group[i] != group[j] and similar(shingles(int(i)), shingles(int(j)), threshold):
                     found.append((node[i], node[j]))
                     group[group == group[j]] = group[i]
+        if not with_texts:
+            return frame.select(["band", "p", "q", "node"]).filter(pa.array(met))
         u, v = (np.array([pair[k] for pair in found], node.dtype) for k in (0, 1))
         return pa.table({"u": u, "v": v})
 
+    schema = f"u {kind}, v {kind}" if with_texts else f"band long, p int, q int, node {kind}"
+    return rows.groupBy("band", "p", "q").applyInArrow(of_group, schema)
+
+
+def _across(members: DataFrame, texts: DataFrame, bands: int, buckets: int, threshold: float, shingle: int) -> DataFrame:
+    """Links (u, v) that join components within a band.
+
+    ``members``: (band, nth, node, comp, n, regs). A band with many members is cut in blocks, compared two at a time, by
+    registers alone. A pair that shares several bands is compared in the first of them only. Only members with a partner
+    whose estimate may reach the threshold are then met again with their texts and confirmed there, unless the links of
+    the same blocks connect them already; so a task gives fewer links than it has members, however many pairs are alike.
+    """
     kind = members.schema["node"].dataType.simpleString()
-    return dealt.groupBy("band", "p", "q").applyInArrow(of_group, f"u {kind}, v {kind}")
+    mixed_bands = (
+        members.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"))
+        .where("lo != hi").select("band", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    )
+    placed = stage(members.join(mixed_bands, "band").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")), "placed")
+    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, "block").alias("p"), F.greatest(x, "block").alias("q")))
+    dealt = placed.select("band", "nth", "node", "comp", "n", "regs", "block", F.explode(meets).alias("m"))
+    dealt = dealt.select("band", "nth", "node", "comp", "n", "regs", "block", "m.p", "m.q")
+    near = stage(_blocks_of(dealt, kind, bands, buckets, threshold, False, shingle), "near")
+    again = near.join(placed.drop("blocks"), ["band", "node"]).join(texts.select(F.col("doc_id").alias("node"), "text"), "node")
+    return _blocks_of(again, kind, bands, buckets, threshold, True, shingle)
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
