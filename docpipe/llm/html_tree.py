@@ -39,7 +39,15 @@ DROPPED_NAMES = frozenset(
     "cookies disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notification pagination pager popup "
     "promo promotion related replies reply share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget".split()
 )
-_NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+# Words that may stand beside one of these in a name without changing what it says: a place or a shape on the page.
+COMPANIONS = frozenset(
+    "area bar block body bottom box btn button buttons card col column container content cta divider entry flex footer form frame global grid group head "
+    "header heading hero icons inline inner item items layout left link links list main mini module outer overlay page panel post posts primary "
+    "right row secondary section site slot small sticky story text title top unit wrap wrapper zone article articles bottom blog email user users".split()
+)
+# Blocks of running text and headings are judged by what they hold, never by a name: ids of headings are made from their words.
+UNNAMED = frozenset("h1 h2 h3 h4 h5 h6 dt dd tr tbody pre blockquote figure figcaption code".split())
+_NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
@@ -121,8 +129,16 @@ def is_boilerplate(tag: str, attrs: list, parent) -> bool:
     if tag in ("html", "body", "article", "main"):
         names = [given.get("class")] if tag == "article" else []  # a reader's comment may be an article of its own
         return any(w.lower() in ("comment", "comments", "reply") for n in names if n for w in _NAME.findall(n))
+    if tag in UNNAMED:
+        return False
     names = DROPPED_NAMES - {"header"} if _inside(parent, ("article", "main")) else DROPPED_NAMES
-    return any(w.lower() in names for n in ("class", "id") if given.get(n) for w in _NAME.findall(given[n]))
+    return any(_says(part, names) for n in ("class", "id") if given.get(n) for part in given[n].split())
+
+
+def _says(name: str, words: frozenset) -> bool:
+    """Whether one class or id is made of the given words, companions and numbers: ``ad-slot-2``, not ``related-work``."""
+    parts = [w.lower() for w in _NAME.findall(name)]
+    return any(w in words for w in parts) and all(w in words or w in COMPANIONS or w.isdigit() for w in parts)
 
 
 def _in_order(root: Node):
@@ -150,7 +166,27 @@ def _commas(node: Node) -> int:
     return sum(c.count(",") for n in _in_order(node) for c in n.children if isinstance(c, str))
 
 
+def look_through_forms(root: Node) -> None:
+    """Keep a form that holds half of the page's text or more: some pages are one form."""
+    forms = []
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        if node.dropped and node.tag != "form":
+            continue
+        if node.tag == "form":
+            forms.append(node)
+            node.dropped = False
+        todo.extend(c for c in node.children if isinstance(c, Node))
+    if not forms:
+        return
+    _measure(list(_in_order(root)))
+    for form in forms:
+        form.dropped = 2 * form.chars < root.chars
+
+
 def best_container(root: Node) -> Node | None:
+    look_through_forms(root)
     nodes = list(_in_order(root))
     _measure(nodes)
     for node in nodes:

@@ -32,7 +32,7 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import round_trip
 
     records = round_trip(table(spark, sf_dir, "pages"))
-    page = lambda c: F.regexp_extract(c, "^urn:page:(-?[0-9]+)$", 1).cast("long")
+    page = lambda c: F.regexp_extract(c, "^urn:page:(-?[0-9]+)$", 1).try_cast("long")
     return records.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
 
 

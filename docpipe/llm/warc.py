@@ -39,7 +39,7 @@ class BadArchive(ValueError):
 
 
 def record_uri(page_id) -> str:
-    return f"urn:page:{page_id}"
+    return f"urn:page:{'unnamed' if page_id is None else page_id}"
 
 
 def _clean(value: str) -> str:
