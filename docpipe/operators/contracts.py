@@ -72,7 +72,7 @@ def conformance_report(df: DataFrame, contract: Contract) -> DataFrame:
     for name, allowed in contract.enums.items():
         if name in have:
             checks.append(
-                ("enum", name, F.count_if(F.col(name).isNotNull() & ~F.col(name).isin(*allowed)))
+                ("enum", name, F.count_if(F.col(name).isNotNull() & ~F.col(name).cast("string").isin(*allowed)))
             )
     for name, kind in want.items():
         if name in have:
@@ -103,7 +103,7 @@ def violations(df: DataFrame, contract: Contract) -> Column:
         found.append(flag(F.col(name).isNull() if name in have else F.lit(True), f"required:{name}"))
     for name, allowed in contract.enums.items():
         if name in have:
-            found.append(flag(F.col(name).isNotNull() & ~F.col(name).isin(*allowed), f"enum:{name}"))
+            found.append(flag(F.col(name).isNotNull() & ~F.col(name).cast("string").isin(*allowed), f"enum:{name}"))
     for f in contract.schema.fields:
         if f.name in have and have[f.name].simpleString() != f.dataType.simpleString():
             found.append(flag(F.lit(True), f"type:{f.name}"))
