@@ -129,14 +129,20 @@ def merge_enrichment(
     value that is there); an absent key changes nothing. Failed calls keep the
     candidate and add a technical flag. Of repeated responses the greatest by
     ``latest`` (then by text) counts, so documents are never multiplied.
+    ``candidates`` are read twice, those that need enrichment and the others:
+    pass a stored table.
     """
-    invoked = needs_enrichment() & F.lit(enabled)
-    staged = candidates.withColumns({"enrichment_invoked": invoked, "_before": missing_fields()}).join(
-        one_per_document(responses, ["enrichment"], latest), DOCUMENT_KEY, "left"
+    invoked = F.coalesce(needs_enrichment() & F.lit(enabled), F.lit(False))
+    untouched = candidates.filter(~invoked).select(
+        "*", F.lit(False).alias("enrichment_invoked"), no_flags().alias("enrichment_completed_fields")
     )
-    # Only invoked documents are parsed, each response once: a map keeps the
-    # returned keys, explicit nulls among them.
-    body = F.when(F.col("enrichment_invoked"), strip_fence(F.col("enrichment")))
+    # Only invoked documents meet a response; the others, texts and all, are not moved.
+    asking = candidates.filter(invoked).withColumns({"enrichment_invoked": F.lit(True), "_before": missing_fields()})
+    asked = asking.select(*DOCUMENT_KEY).distinct()
+    wanted = one_per_document(responses.join(asked, DOCUMENT_KEY, "left_semi"), ["enrichment"], latest)
+    staged = asking.join(wanted, DOCUMENT_KEY, "left")
+    # Each response is parsed once: a map keeps the returned keys, explicit nulls among them.
+    body = strip_fence(F.col("enrichment"))
     kept = [*candidates.columns, "enrichment_invoked", "_before"]
     parsed = evaluate_once(staged.withColumn("_body", body), kept, {
         "_body": F.col("_body"),
@@ -145,7 +151,7 @@ def merge_enrichment(
     scored = evaluate_once(parsed, parsed.columns, {
         "_scores": parse_confidences(F.try_element_at("_got", F.lit("confidence_summary"))),
         "_use": F.col("_got").isNotNull(),
-        "_failed": F.col("enrichment_invoked") & F.col("_got").isNull(),
+        "_failed": F.col("_got").isNull(),
     })
     merged = {}
     for field in CANDIDATE_FIELDS:
@@ -162,9 +168,10 @@ def merge_enrichment(
     merged["quality_flags"] = append_flags(F.col("quality_flags"), flag(F.col("_failed"), ENRICHMENT_FAILED))
     overlaid = scored.withColumns(merged)
     completed = F.when(F.col("_use"), F.array_sort(F.array_except("_before", missing_fields()))).otherwise(no_flags())
-    return overlaid.withColumn("enrichment_completed_fields", completed).select(
+    done = overlaid.withColumn("enrichment_completed_fields", completed).select(
         *candidates.columns, "enrichment_invoked", "enrichment_completed_fields"
     )
+    return untouched.unionByName(done)
 
 
 def best_attempts(attempts: DataFrame, key: list[str], attempt: str, blocked: str, payload: list[str]) -> DataFrame:

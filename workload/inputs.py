@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from docpipe.functions.flags import no_flags
 from docpipe.functions.keys import base_name, document_id
+from docpipe.operators.matching import candidates_from_evidence
 from docpipe.plans.gold import build_gold, with_identity
 from docpipe.plans.silver import outcome, silver_from_text
 from docpipe.plans.sinks import write_gold
@@ -53,7 +54,66 @@ def source_keys(k: Column) -> dict[str, Column]:
     }
 
 
+_TABLES: dict[tuple[str, str, str], str] = {}
+
+
+def _stage(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """A stage's table, written once per session and scale, then read from storage."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _TABLES:
+        _TABLES[key] = build()
+    return spark.read.parquet(_TABLES[key])
+
+
+def _in_files(spark: SparkSession, sf_dir: str, name: str, rows) -> DataFrame:
+    """An input as a stored table of several files. The given tables are single files of one row group, which one task reads."""
+
+    def build() -> str:
+        path = scratch_path(spark, name)
+        rows(spark, sf_dir).repartition(2 * spark.sparkContext.defaultParallelism).write.parquet(path)
+        return path
+
+    return _stage(spark, sf_dir, name, build)
+
+
 def bronze(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _in_files(spark, sf_dir, "bronze", make_bronze)
+
+
+def extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _in_files(spark, sf_dir, "extracted", make_extracted)
+
+
+def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _in_files(spark, sf_dir, "evidence", make_evidence)
+
+
+def enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _in_files(spark, sf_dir, "enrichment", make_enrichment)
+
+
+def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _in_files(spark, sf_dir, "attempts", make_attempts)
+
+
+def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _in_files(spark, sf_dir, "envelopes", make_envelopes)
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _in_files(spark, sf_dir, "documents", lambda s, d: table(s, d, "documents"))
+
+
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of the successful extractions."""
+    return _in_files(spark, sf_dir, "candidates", lambda s, d: candidates_from_evidence(evidence(s, d).filter("status = 'success'")).drop("textract_response"))
+
+
+#: Inputs that are stored before use, in an order in which each finds those it is made from.
+STORED = {f.__name__: f for f in (bronze, extracted, evidence, enrichment, attempts, envelopes, documents, candidates)}
+
+
+def make_bronze(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``inv_bronze``: one extracted document per order.
 
     Most orders describe themselves; the repeats take the fields of an earlier
@@ -123,7 +183,7 @@ def bronze(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
+def make_extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``bronze`` in the column names the silver stage reads."""
     key = F.col("source_s3_key")
     return bronze(spark, sf_dir).select(
@@ -144,17 +204,6 @@ def silver(spark: SparkSession, sf_dir: str) -> DataFrame:
     return built.withColumn("outcome", outcome())
 
 
-_TABLES: dict[tuple[str, str, str], str] = {}
-
-
-def _stage(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
-    """A stage's table, written once per session and scale, then read from storage."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _TABLES:
-        _TABLES[key] = build()
-    return spark.read.parquet(_TABLES[key])
-
-
 def silver_path(spark: SparkSession, sf_dir: str) -> str:
     """Where the silver table of this session and scale lies."""
     silver_table(spark, sf_dir)
@@ -195,7 +244,7 @@ def _detection(kind: str, text: Column, confidence: float) -> Column:
     )
 
 
-def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+def make_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``inv_evidence``: extraction responses as JSON text.
 
     Some have no expense document, some repeat the total (the last one counts),
@@ -234,7 +283,7 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
+def make_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``inv_enrich``: one enrichment response per order, in six shapes."""
     seq = F.col("o_orderkey")
     keys = source_keys(seq)
@@ -269,7 +318,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events")
 
 
-def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def make_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``inv_attempts``: model responses per document, one per event."""
     n = F.col("event_id")
     response = _variant(
@@ -331,7 +380,7 @@ def expected(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def make_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``inv_events``: one arrival event per order, in seven shapes."""
     k = F.col("o_orderkey")
     key = source_keys(k)["source_s3_key"]

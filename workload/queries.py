@@ -151,7 +151,7 @@ def collision_names(spark, d):
 def text_clean_lines(spark, d):
     padded = F.concat(F.lit(" \r\n"), F.replace(F.col("text"), F.lit(". "), F.lit(".  \n\t \n ")), F.lit("\n "))
     clean = text.clean_lines(padded)
-    return inputs.table(spark, d, "documents").select(
+    return inputs.documents(spark, d).select(
         "doc_id", F.md5(clean.cast("binary")).alias("text_md5"), F.length(clean).cast("bigint").alias("n_chars_clean")
     )
 
@@ -164,7 +164,7 @@ def doc_type_classify(spark, d):
 @query
 def text_fingerprint(spark, d):
     """Exact duplicates of whole texts: fingerprint, and the first document that holds it."""
-    rows = inputs.table(spark, d, "documents").select(
+    rows = inputs.documents(spark, d).select(
         F.col("doc_id").cast("string").alias("document_id"), F.col("doc_id").alias("seq"),
         F.sha2("text", 256).alias("document_fingerprint"), F.lit(None).cast("string").alias("business_key"),
     )
@@ -177,7 +177,7 @@ def text_fingerprint(spark, d):
 def markdown_round_trip(spark, d):
     """Documents rendered as bronze text (some left bare), then read for their metadata."""
     name = F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".tif"))
-    rows = inputs.table(spark, d, "documents").select(
+    rows = inputs.documents(spark, d).select(
         "doc_id", "text", "n_chars", name.alias("source_file_name"), F.concat(F.lit("data/raw/"), name).alias("source_path")
     )
     markdown = F.when(F.col("n_chars") % 3 == 0, F.col("text")).otherwise(F.col("markdown"))
@@ -332,20 +332,15 @@ def best_attempt(spark, d):
     return best.select("document_id", "attempt", "response", "attempts", "exhausted")
 
 
-def _candidates(spark, d) -> DataFrame:
-    rows = inputs.evidence(spark, d).filter("status = 'success'")
-    return matching.candidates_from_evidence(rows).drop("textract_response")
-
-
 @query
 def enrichment_needed(spark, d):
-    rows = _candidates(spark, d)
+    rows = inputs.candidates(spark, d)
     return rows.filter(quality.needs_enrichment()).select("seq", joined("quality_flags").alias("flags"))
 
 
 @query
 def enrichment_merge(spark, d):
-    merged = matching.merge_enrichment(_candidates(spark, d), inputs.enrichment(spark, d))
+    merged = matching.merge_enrichment(inputs.candidates(spark, d), inputs.enrichment(spark, d))
     return merged.select(
         "seq", "document_type", "vendor_name", "vendor_confidence", "document_date",
         F.round(values.amount(F.col("total_amount")), 4).alias("total_amount"), "currency", "enrichment_invoked",
@@ -355,7 +350,7 @@ def enrichment_merge(spark, d):
 
 @query
 def enriched_silver(spark, d):
-    merged = matching.merge_enrichment(_candidates(spark, d), inputs.enrichment(spark, d))
+    merged = matching.merge_enrichment(inputs.candidates(spark, d), inputs.enrichment(spark, d))
     documents = silver_plan.silver_from_candidates(merged, AS_OF, model_id="model-1", keep=["seq"])
     return documents.groupBy("normalization_engine", "processing_status", "rejection_reason").agg(
         F.count(F.lit(1)).alias("documents"), F.count("vendor_name").alias("vendors"),
