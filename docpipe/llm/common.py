@@ -98,3 +98,20 @@ def fresh(df: DataFrame, name: str) -> str:
 def small(df: DataFrame, most_rows: int = 20_000) -> DataFrame:
     """A stored table with a broadcast hint if it has at most ``most_rows`` rows; else as it is, for a plain join."""
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
+FILTER_BITS = 1 << 24  # 262,144 words of 64 bits: 4 MB, whatever the data
+
+
+def likely(rows: DataFrame, wanted: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows whose ``columns`` may stand in ``wanted``: all that do, and few others.
+
+    A bitmap of the wanted values' hashes, of fixed size, goes to every task, so that a following join moves little else.
+    It decides nothing: with more values than bits it would only let more rows through.
+    """
+    at = F.pmod(F.xxhash64(*columns), F.lit(FILTER_BITS))
+    word, bit, mask = (fresh(rows, c) for c in ("filter_word", "filter_bit", "filter_mask"))
+    placed = lambda df: df.withColumns({word: F.shiftright(at, 6), bit: at.bitwiseAND(F.lit(63)).cast("int")})
+    words = placed(wanted.select(*columns)).groupBy(word).agg(F.expr(f"bit_or(shiftleft(1L, {bit}))").alias(mask))
+    met = placed(rows).join(F.broadcast(words), word)
+    return met.where(F.expr(f"({mask} & shiftleft(1L, {bit})) != 0")).select(*rows.columns)

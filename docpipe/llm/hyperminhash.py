@@ -23,14 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary, lowered_words, mixed, shingle_hashes, signed, stage
+from .common import binary, likely, lowered_words, mixed, shingle_hashes, signed, stage
 from .graph import components
 
 SHINGLE, BANDS, ROWS, THRESHOLD = 5, 32, 6, 0.85
 MANTISSA = 10  # bits kept after the leading one
 BLOCK = 400  # members of a band compared with each other at once
 SLACK = 5.0  # standard errors
-FILTER_BITS = 1 << 24  # 262,144 words of 64 bits, 4 MB
 HELD = 8_000_000  # shingles of a block's texts that a task keeps at once
 
 
@@ -229,20 +228,6 @@ def _across(members: DataFrame, texts: DataFrame, bands: int, buckets: int, thre
     return _blocks_of(again, kind, bands, buckets, threshold, True, shingle)
 
 
-def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc_id, text) of the documents in ``wanted`` (doc_id).
-
-    A bitmap of the wanted ids' hashes, of ``FILTER_BITS`` at most, goes to every task first, so that few other texts are
-    moved to meet the ids; it decides nothing, and would let more texts through if there were more ids than bits.
-    """
-    at = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    placed = lambda rows: rows.withColumns({"_word": F.shiftright(at, 6), "_bit": at.bitwiseAND(F.lit(63)).cast("int")})
-    words = placed(wanted).groupBy("_word").agg(F.expr("bit_or(shiftleft(1L, _bit))").alias("_mask"))
-    texts = placed(docs.select("doc_id", binary("text").alias("text"))).join(F.broadcast(words), "_word")
-    likely = texts.where(F.expr("(_mask & shiftleft(1L, _bit)) != 0")).select("doc_id", "text")
-    return likely.join(wanted, "doc_id", "left_semi").distinct()
-
-
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per row of ``docs`` (doc_id integer, text): doc_id, n_shingles, component_id, kept.
 
@@ -263,7 +248,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int
     lowest = banded.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low != high")
     stars = stage(banded.join(lowest, "band").where("node != low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct(), "stars")
     involved = stars.select(F.col("a").alias("doc_id")).unionByName(stars.select(F.col("b").alias("doc_id"))).distinct()
-    texts = stage(_texts_of(docs, stage(involved, "involved")), "texts")
+    involved = stage(involved, "involved")
+    texts = likely(docs.select("doc_id", binary("text").alias("text")), involved, ["doc_id"])
+    texts = stage(texts.join(involved, "doc_id", "left_semi").distinct(), "texts")
     nodes = classes.select("node", F.col("node").alias("comp")).distinct()
 
     first = stars.groupBy("a").agg(F.min("b").alias("b"))

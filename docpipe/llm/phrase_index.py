@@ -1,14 +1,15 @@
 """Benchmark decontamination by a positional inverted index, in DataFrame functions alone.
 
 1. Training texts become word arrays, stored once (the forward lists of the index).
-2. The words of benchmark windows are counted over all training texts; each window is ordered from its rarest word.
-3. Postings (row, position) are stored for the rarest words of windows only. A window's candidates are the postings of its
-   rarest word, moved back by that word's offset; each further rare word's moved list is intersected with them.
-4. What is left is compared word by word with the text: an exact phrase match. Starts that agree only within ``slop``
-   words, in any order, are proximity matches.
-
-The benchmark is the query set. Its words and windows are broadcast in blocks of at most ``BLOCK_WINDOWS`` windows of
-``WINDOW`` words (some 2 KB each, 40 MB a block); more windows mean more passes over the index, never a cut list.
+2. Their postings (term, row, position) are stored once, for the terms of the benchmark's windows.
+3. Every window is ordered from its rarest term. The lists of its ``RARE`` rarest terms are moved back by the terms' places
+   in the window and intersected, in cells of ``2 * SLOP`` words.
+4. Only for the cells that are left, the lists of the other terms are looked up and moved as well. A window stands where
+   all its moved postings have one start (exact phrase), or lie in one cell (proximity: every word within about ``SLOP``
+   words of its place, in any order). A window with a term that no text has can stand nowhere.
+
+The benchmark is the query set. Its terms and windows are broadcast in blocks of at most ``BLOCK_WINDOWS`` windows of
+``WINDOW`` words (some 2 KB each, 40 MB a block); more windows mean more passes, never a cut list.
 """
 
 from __future__ import annotations
@@ -16,10 +17,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import likely, small, stage
 
 WINDOW = 13
-RARE = 3  # words of a window whose postings are stored
+RARE = 3  # terms of a window whose lists are intersected before the others are looked up
+SLOP = 5
+WINDOW_TERMS = 1 << 30  # all the terms that a window has
 BLOCK_WINDOWS = 20_000
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -52,99 +55,116 @@ def windows_of(items: DataFrame, window: int = WINDOW) -> DataFrame:
     return stage(grouped.withColumn("win", F.monotonically_increasing_id()), "windows")
 
 
-def _blocks(windows: DataFrame, block: int) -> list[DataFrame]:
-    """The windows in parts of about ``block``, each small enough to broadcast."""
-    parts = -(-windows.count() // block)
-    return [windows.where(F.pmod(F.xxhash64("win"), F.lit(parts)) == k) for k in range(parts)]
+def _blocks(rows: DataFrame, name: str, block: int) -> list[DataFrame]:
+    """The rows in parts of about ``block`` values of ``name``, each small enough to broadcast."""
+    parts = -(-rows.select(name).distinct().count() // block)
+    return [rows.where(F.pmod(F.xxhash64(name), F.lit(parts)) == k) for k in range(parts)]
 
 
-def term_counts(texts: DataFrame, windows: DataFrame, block: int = BLOCK_WINDOWS) -> DataFrame:
-    """(term, n): how often each word of the windows stands in the training texts; words that never do are left out."""
-    tokens = texts.select(F.explode("words").alias("term"))
-    counts = [
-        tokens.join(F.broadcast(part.select(F.explode("words").alias("term")).distinct()), "term").groupBy("term").count()
-        for part in _blocks(windows, block)
-    ]
-    if not counts:
-        return tokens.limit(0).select("term", F.lit(0).cast("long").alias("n"))
-    found = counts[0]
-    for more in counts[1:]:
-        found = found.unionByName(more)
-    return stage(found.groupBy("term").agg(F.max("count").alias("n")), "terms")
+def _united(frames: list[DataFrame], empty: DataFrame) -> DataFrame:
+    out = None
+    for f in frames:
+        out = f if out is None else out.unionByName(f)
+    return empty if out is None else out
 
 
-def anchors(windows: DataFrame, counts: DataFrame, rare: int = RARE) -> DataFrame:
-    """(win, words, parts, term, offset): the ``rare`` rarest positions of each window, ties by offset.
+def vocabulary(windows: DataFrame) -> DataFrame:
+    """(term, term_id): the distinct words of the windows."""
+    terms = windows.select(F.explode("words").alias("term")).distinct()
+    return stage(terms.withColumn("term_id", F.monotonically_increasing_id()), "terms")
 
-    A window with a word that no text has is left out: it occurs nowhere.
-    """
-    spread = windows.select("win", F.posexplode("words").alias("offset", "term"))
-    listed = (
-        spread.join(counts, "term", "left").groupBy("win")
-        .agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "offset", "term"))).alias("terms"))
-        .where(F.col("terms")[0]["n"] > 0)
-        .select("win", F.slice("terms", 1, rare).alias("terms"))
-    )
-    full = windows.join(listed, "win").select("win", "words", F.size("terms").alias("parts"), F.explode("terms").alias("t"))
-    return stage(full.select("win", "words", "parts", F.col("t.term").alias("term"), F.col("t.offset").alias("offset")), "anchors")
+
+def store_postings(texts: DataFrame, terms: DataFrame, block: int = BLOCK_WINDOWS * WINDOW) -> DataFrame:
+    """(term_id, row, pos): the stored places of the terms in the training texts."""
+    tokens = texts.select("row", F.posexplode("words").alias("pos", "term"))
+    found = [tokens.join(F.broadcast(part), "term").select("term_id", "row", "pos") for part in _blocks(terms, "term_id", block)]
+    return stage(_united(found, tokens.limit(0).selectExpr("0L term_id", "row", "pos")), "postings")
 
 
-def postings(texts: DataFrame, anchored: DataFrame, block: int = BLOCK_WINDOWS) -> DataFrame:
-    """(row, win, parts, offset, start, exact): moved postings of the windows' rare words.
+def query_plans(windows: DataFrame, terms: DataFrame, postings: DataFrame) -> DataFrame:
+    """(win, length, terms): each window's (n, offset, term_id) from the rarest on, ties by offset.
 
-    ``start`` is the place in the text where the window would begin; ``exact`` tells if all its words stand there.
+    A window with a term that no text has is left out: it occurs nowhere.
     """
-    tokens = texts.select("row", "words", F.posexplode("words").alias("pos", "term"))
-    out = None
-    for part in _blocks(anchored, block * RARE):
-        part = part.select("win", F.col("words").alias("wanted"), "parts", "term", "offset")
-        start = F.col("pos") - F.col("offset")
-        exact = (start >= 0) & (F.slice("words", F.greatest(start, F.lit(0)) + 1, F.size("wanted")) == F.col("wanted"))
-        found = tokens.join(F.broadcast(part), "term").select("row", "win", "parts", "offset", start.alias("start"), exact.alias("exact"), F.size("wanted").alias("length"))
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return tokens.limit(0).selectExpr("row", "0L win", "0 parts", "0 offset", "0 start", "false exact", "0 length")
-    return out
+    counts = postings.groupBy("term_id").agg(F.count("*").alias("n"))
+    spread = windows.select("win", F.posexplode("words").alias("offset", "term")).join(terms, "term").join(counts, "term_id", "left")
+    each = F.struct(F.coalesce("n", F.lit(0)).alias("n"), "offset", "term_id")
+    listed = spread.groupBy("win").agg(F.sort_array(F.collect_list(each)).alias("terms"))  # at most WINDOW of them
+    return stage(listed.where(F.col("terms")[0]["n"] > 0).select("win", F.size("terms").alias("length"), "terms"), "plans")
+
+
+def _cells(start: Column, slop: int) -> Column:
+    """The two overlapping cells of ``2 * slop`` words that a start lies in."""
+    even = F.floor(start / (2 * slop)) * 2
+    return F.array(even, F.floor((start + slop) / (2 * slop)) * 2 + 1)
+
+
+def rarest_lists(postings: DataFrame, plans: DataFrame, rare: int = RARE, block: int = BLOCK_WINDOWS) -> DataFrame:
+    """(row, win, offset, start, parts): the moved lists of the ``rare`` rarest terms of each window."""
+    each = plans.select("win", F.least(F.lit(rare), "length").alias("parts"), F.explode(F.slice("terms", 1, rare)).alias("t"))
+    each = each.select("win", "parts", "t.term_id", "t.offset")
+    found = [
+        postings.join(F.broadcast(part), "term_id").select("row", "win", "offset", (F.col("pos") - F.col("offset")).alias("start"), "parts")
+        for part in _blocks(each, "win", block)
+    ]
+    return _united(found, postings.limit(0).selectExpr("row", "0L win", "0 offset", "pos start", "0 parts"))
 
 
-def phrase_matches(posted: DataFrame) -> DataFrame:
-    """(row, win, start, length): exact matches. The moved lists of a window's rare words are intersected, then confirmed.
+def moved_lists(postings: DataFrame, plans: DataFrame, rare: int = RARE, slop: int = SLOP, block: int = BLOCK_WINDOWS) -> DataFrame:
+    """(row, win, length, offset, start): all moved postings in cells where a window's rarest terms meet."""
+    lists = stage(rarest_lists(postings, plans, rare, block), "lists")
+    celled = lists.select("row", "win", "parts", "offset", F.explode(_cells(F.col("start"), slop)).alias("cell"))
+    met = celled.distinct().groupBy("row", "win", "cell", "parts").agg(F.count("*").alias("n")).where("n = parts")
+    met = stage(met.select("row", "win", "cell"), "cells")
+    asked = []
+    for part in _blocks(plans, "win", block):
+        others = part.select("win", F.explode(F.slice("terms", rare + 1, WINDOW_TERMS)).alias("t")).select("win", "t.term_id", "t.offset")
+        asked.append(met.join(F.broadcast(others), "win"))
+    asked = _united(asked, met.limit(0).selectExpr("win", "row", "cell", "0L term_id", "0 offset"))
+    start = F.col("pos") - F.col("offset")
+    there = likely(postings, asked, ["row", "term_id"]).join(asked, ["row", "term_id"])
+    others = there.where(F.array_contains(_cells(start, slop), F.col("cell"))).select("row", "win", "offset", start.alias("start")).distinct()
+    own = lists.join(met.select("row", "win").distinct(), ["row", "win"], "left_semi").select("row", "win", "offset", "start")
+    lengths = plans.select("win", "length")
+    return stage(own.unionByName(others).join(small(lengths), "win"), "moved")
 
-    Only the rarest word's posting of each start is needed once all words are known to stand there.
-    """
-    whole = posted.where("exact").groupBy("row", "win", "start").agg(F.count_distinct("offset").alias("met"), F.max("parts").alias("parts"), F.max("length").alias("length"))
-    return whole.where("met = parts").select("row", "win", "start", "length")
 
+def phrase_matches(moved: DataFrame) -> DataFrame:
+    """(row, win, start, length): starts that the moved lists of all terms have in common."""
+    met = moved.where("start >= 0").groupBy("row", "win", "start", "length").agg(F.count("*").alias("n"))
+    return met.where("n = length").select("row", "win", "start", "length")
 
-def proximity_matches(posted: DataFrame, slop: int = 5) -> DataFrame:
-    """(row, win, near_start): all rare words of a window stand within ``slop`` words of their places, in any order.
 
-    Starts are met in overlapping cells of ``2 * slop``, so two starts at most ``slop`` apart share a cell.
-    """
-    cell = F.explode(F.array_distinct(F.array(F.floor(F.col("start") / (2 * slop)) * 2, F.floor((F.col("start") + slop) / (2 * slop)) * 2 + 1)))
-    met = posted.withColumn("cell", cell).groupBy("row", "win", "cell").agg(
-        F.count_distinct("offset").alias("met"), F.max("parts").alias("parts"), F.min("start").alias("near_start")
-    )
-    return met.where("met = parts").groupBy("row", "win").agg(F.min("near_start").alias("near_start"))
+def proximity_matches(moved: DataFrame, slop: int = SLOP) -> DataFrame:
+    """(row, win): windows with a moved posting of every term in one cell. Exact matches are among them."""
+    celled = moved.select("row", "win", "length", "offset", F.explode(_cells(F.col("start"), slop)).alias("cell")).distinct()
+    met = celled.groupBy("row", "win", "cell", "length").agg(F.count("*").alias("n")).where("n = length")
+    return met.select("row", "win").distinct()
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = 20) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated: one row per row of ``docs``.
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near: one row per row of ``docs``.
 
-    A word is hit if it lies in any occurrence of a benchmark window. Null and empty texts have no words, no hit, and the
+    A word is hit if it lies in any occurrence of a benchmark window; ``n_near`` counts the items with a window whose words
+    stand there exactly or in proximity. Null and empty texts have no words, no hit, and the
     SHA-256 of nothing. Repeated ids are separate rows. Items without words match nothing; a null item id is left out.
     An empty benchmark contaminates nothing. Other columns are ignored.
     """
     texts = forward_lists(docs)
     windows = windows_of(benchmark.where("item_id IS NOT NULL"), window)
-    matches = stage(phrase_matches(postings(texts, anchors(windows, term_counts(texts, windows)))), "matches")
+    terms = vocabulary(windows)
+    postings = store_postings(texts, terms)
+    moved = moved_lists(postings, query_plans(windows, terms, postings))
+    matches = stage(phrase_matches(moved), "matches")
+    near = proximity_matches(moved).join(windows.select("win", "items"), "win").select("row", F.explode("items").alias("item")).distinct()
+    near = near.groupBy("row").agg(F.count("*").alias("n_near"))
     covered = matches.select("row", F.explode(F.sequence("start", F.col("start") + F.col("length") - 1)).alias("pos")).distinct().groupBy("row").agg(F.count("*").alias("n_hit"))
     named = matches.select("row", "win").distinct().join(windows.select("win", "items"), "win").select("row", F.explode("items").alias("item")).distinct()
     listed = named.groupBy("row").agg(F.sort_array(F.collect_list("item")).alias("items"))
-    marks = covered.join(listed, "row")
+    marks = near.join(covered.join(listed, "row"), "row", "left")  # an exact match is a near one
     hit, words = F.coalesce("n_hit", F.lit(0)), F.size("words").cast("long")
     return texts.select("row", F.col("id").alias("doc_id"), words.alias("n_words")).join(marks, "row", "left").select(
         "doc_id", "n_words", hit.alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
         F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")).cast("binary"), 256).alias("items_sha256"),
-        ((hit > 0) & (share * hit >= F.col("n_words"))).alias("contaminated"),
+        ((hit > 0) & (share * hit >= F.col("n_words"))).alias("contaminated"), F.coalesce("n_near", F.lit(0)).alias("n_near"),
     )

@@ -171,10 +171,28 @@ ORACLES = {
         ), items AS (
           SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
           FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM found) GROUP BY 1
+        ), uw AS (
+          SELECT win, row_number() OVER () AS num, list(item_id) AS items FROM wins GROUP BY win
+        ), t AS (
+          SELECT doc_id, unnest(w) AS term, unnest(range(0, len(w))) AS pos FROM d
+        ), wt AS (
+          SELECT num, unnest(win) AS term, unnest(range(0, len(win))) AS o, len(win) AS size FROM uw
+        ), kinds AS (
+          SELECT num, term, count(*) OVER (PARTITION BY num) AS kinds FROM (SELECT DISTINCT num, term FROM wt)
+        ), pairs AS (
+          SELECT doc_id, num FROM kinds JOIN (SELECT DISTINCT doc_id, term FROM t) USING (term) GROUP BY doc_id, num, kinds HAVING count(*) = kinds
+        ), moved AS (
+          SELECT p.doc_id, p.num, o, size, pos - o AS s FROM pairs AS p JOIN wt USING (num) JOIN t ON t.doc_id = p.doc_id AND t.term = wt.term
+        ), cells AS (
+          SELECT DISTINCT doc_id, num, o, size, unnest([floor(s / 10) * 2, floor((s + 5) / 10) * 2 + 1]) AS cell FROM moved
+        ), close AS (
+          SELECT DISTINCT doc_id, num FROM (SELECT doc_id, num FROM cells GROUP BY doc_id, num, size, cell HAVING count(*) = size)
+        ), near AS (
+          SELECT doc_id, count(DISTINCT item) AS n_near FROM (SELECT doc_id, unnest(items) AS item FROM close JOIN uw USING (num)) GROUP BY 1
         )
         SELECT doc_id, coalesce(len(w), 0) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-               sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated
-        FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
+               sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated, coalesce(n_near, 0) AS n_near
+        FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN near USING (doc_id)
     """,
     "op13_merkle": f"""
         WITH RECURSIVE h AS (

@@ -265,9 +265,15 @@ def test_phrases_and_proximity(spark):
     assert rows[at + 1].n_hit == 0 and rows[at + 3].n_hit == 0 and rows[at + 4].n_items == 1
     assert rows[0].n_words == 0 and not rows[3].contaminated
     texts_, windows = phrase_index.forward_lists(docs), phrase_index.windows_of(items.where("item_id = 1"))
-    posted = phrase_index.postings(texts_, phrase_index.anchors(windows, phrase_index.term_counts(texts_, windows)))
-    near = {r.id for r in phrase_index.proximity_matches(posted).join(texts_, "row").collect()}
-    assert {at, at + 3} <= near and at - 1 not in near
+    terms = phrase_index.vocabulary(windows)
+    posted = phrase_index.store_postings(texts_, terms)
+    places = {(r.row, r.pos) for r in posted.join(terms, "term_id").where("term = 't3'").collect()}
+    by_row = {r.row: r for r in texts_.collect()}
+    assert places == {(k, i) for k, r in by_row.items() for i, w in enumerate(r.words) if w == "t3"}
+    moved = phrase_index.moved_lists(posted, phrase_index.query_plans(windows, terms, posted))
+    near = {by_row[r.row].id for r in phrase_index.proximity_matches(moved).collect()}
+    assert near == {at, at + 3} and rows[at + 3].n_near == 2 and rows[at + 1].n_near == 0
+    assert {by_row[r.row].id for r in phrase_index.phrase_matches(moved).collect()} == {at}
     assert phrase_index.decontaminate(docs, items.limit(0)).where("contaminated").count() == 0
     assert phrase_index.decontaminate(docs.limit(0), items).count() == 0
 
