@@ -1,8 +1,13 @@
 """The corpus pipeline: quality rules, near-duplicates, decontamination, secrets, packing.
 
 Every stage reads what the stage before it kept, as stored Parquet. All but the last return the columns of documents.
-The verdicts of the stages are estimates and hashes that SQL cannot express, so there is no oracle; tests hold each stage
-against a brute-force version.
+The verdicts of the stages are estimates and hashes that SQL cannot express, so there is no oracle. Tests hold the near-duplicate
+and decontamination stages against brute force, and the rules' statistics, the spans and the packing's places; the outlier
+verdicts and learnt secrets are tested for their effects only.
+
+An empty table stays empty. A null text has no words and fails the quality rules; null ids, languages and sources are values like
+any other; rows that repeat are judged each for itself but by the near-duplicate stage, where one of them stays. Columns of other
+names pass through the first four stages, also where an operator uses the same name.
 """
 
 from __future__ import annotations
@@ -56,12 +61,12 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark; every document stays."""
+    """Secrets are replaced by a mark; every document stays, null texts too."""
     return redact(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents and their places in sequences of 2048 tokens."""
+    """Pieces of the documents and their places in sequences of 2048 tokens; a null text is an empty one."""
     return pack_documents(docs, tokenizer_path())
 
 
