@@ -91,9 +91,10 @@ def forward_backward(unary: np.ndarray, lengths: np.ndarray, link: np.ndarray):
 
 
 def train(documents: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """(weights, link): maximum likelihood with a quadratic penalty by Adam steps over the whole sample.
+    """(weights, link): Adam steps over the whole sample along the likelihood's gradient, with a quadratic penalty.
 
-    Without documents of both labels the weights are zero and every score is one half.
+    The gradient of the weights counts every document once, that of the links every line once, so the two are not of one
+    likelihood. All lines of a document take its label. Without documents of both labels the weights are zero and every score is one half.
     """
     labels = [y for _, y in documents]
     if len(set(labels)) < 2:
