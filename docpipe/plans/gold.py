@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docpipe import schemas
 from docpipe.functions.flags import append_flags, flag
 from docpipe.functions.identity import business_key, fingerprint, payload_fingerprint
-from docpipe.functions.values import date
 from docpipe.operators.duplicates import mark_against_history, mark_duplicates
 from docpipe.operators.once import evaluate_once
 from docpipe.operators.quality import gold_eligible
@@ -39,15 +36,6 @@ def with_identity(documents: DataFrame, raw_text: str | None = None) -> DataFram
     return evaluate_once(documents, kept, named).select(*dict.fromkeys([*documents.columns, *named]))
 
 
-def renormalize_dates(documents: DataFrame, as_of: dt.date) -> DataFrame:
-    """For silver written elsewhere: bring its dates to ISO text.
-
-    A date that cannot be read stays as it is, so that the gold stage flags it.
-    """
-    raw = F.col("document_date")
-    return documents.withColumn("document_date", F.coalesce(date(raw, as_of), raw))
-
-
 def gold_columns(marked: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Check dates again, flag missing critical fields, project to the 25 columns.
 
