@@ -1,13 +1,14 @@
-"""A probabilistic suffix tree over the symbols of words, and text scores from it.
+"""A probabilistic suffix tree over the symbols of texts, and text scores from it.
 
 Symbols are the bytes of lower-cased words, a blank after each word, and one end symbol after the text. A context is up to
-``DEPTH`` symbols, back to the blank before the word. It is kept as a state if it is frequent enough (``LEAST_SHARE`` of
-all symbols, which bounds the number of states whatever the corpus) and if its next-symbol distribution diverges from that
-of its suffix. Distributions are smoothed with the suffix's; scoring uses the longest suffix that is a state.
-
-As contexts do not cross words, a word's probability is the same wherever it stands. So the corpus is reduced to one count
-table of words; the tree is grown from that table and every distinct word is scored once. Texts and word scores meet by
-blocks of neighbouring documents: a block asks for each of its words once.
+``DEPTH`` symbols before a symbol, over word boundaries, back to the blank before the text. It is kept as a state if it is
+frequent enough (``LEAST_SHARE`` of all symbols, which bounds the number of states whatever the corpus) and if its
+next-symbol distribution diverges from that of its suffix. Distributions are smoothed with the suffix's; scoring uses the
+longest suffix that is a state.
+
+Contexts are counted over all training texts. Every text is scored symbol by symbol where it lies; equal contexts of
+neighbouring texts are looked up once. Texts and the counts of their words meet by blocks of neighbouring documents: a block
+asks for each of its words once.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ WEIGHT = 2.0  # of the suffix's distribution, in counts
 END = 0xFF  # never a byte of UTF-8
 BLANK = 0x20
 BLOCK_ROWS = 8000  # neighbouring documents of a block
+LEAD, LAST = bytes(DEPTH) + bytes([BLANK]), bytes([END])
 
 
 def block_words(docs: DataFrame, folds: int, held: int) -> DataFrame:
@@ -62,39 +64,44 @@ def block_words(docs: DataFrame, folds: int, held: int) -> DataFrame:
     return stage(rows.mapInArrow(of_part, "block long, word binary, n long"), "words")
 
 
-def grams(words: DataFrame) -> DataFrame:
-    """(gram, n): ``DEPTH`` context bytes and the next symbol packed in a long, with counts over all training words."""
+def stream(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """``DEPTH`` bytes and the next one at every scored symbol of the texts, in eights, and the number of symbols of each text.
 
-    def packed(batch_words: list[bytes], counts: np.ndarray):
-        text = np.frombuffer(b" " + b" ".join(batch_words) + b" ", np.uint8).astype(np.uint64)
-        text[text == 0] = 1  # zero means no symbol
-        blanks = text == BLANK
-        since = np.arange(len(text)) - np.maximum.accumulate(np.where(blanks, np.arange(len(text)), 0))  # symbols since the blank
-        keys = text.copy()
-        for d in range(1, DEPTH + 1):
-            before = np.concatenate([np.zeros(d, np.uint64), text[:-d]])
-            reach = np.concatenate([[0], since[:-1] + 1])  # context length of a symbol, its blank included
-            keys |= np.where(reach >= d, before << np.uint64(8 * d), np.uint64(0))
-        weights = np.repeat(counts, [len(w) + 1 for w in batch_words])
-        unique, inverse = np.unique(keys[1:], return_inverse=True)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(unique.view(np.int64)), pa.array(np.bincount(inverse, weights).round().astype(np.int64))], ["gram", "n"]
-        )
+    Zeros stand before a text, so a context ends at its first blank; zero means no symbol.
+    """
+    bodies = [b" ".join([*words, b""]) for words in texts]
+    bodies = [x.replace(b"\0", b"\x01") if b"\0" in x else x for x in bodies]
+    data = b"".join(part for body in bodies for part in (LEAD, body, LAST))
+    windows = np.ndarray((len(data) - DEPTH,), "<u8", data, 0, (1,)).astype(np.uint64)
+    sizes = np.fromiter((len(x) + 1 for x in bodies), np.int64, len(bodies))
+    starts = np.cumsum(sizes + len(LEAD)) - sizes  # of the symbols in ``data``
+    at = np.arange(sizes.sum()) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
+    return windows[at - DEPTH], sizes
+
+
+def chunks(texts, symbols: int = 1_000_000):
+    """The words of texts in lists of about as many symbols."""
+    held, size = [], 0
+    for data in texts:
+        held.append(lowered_words(data))
+        size += len(data) + len(LEAD) + 1
+        if size > symbols:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def grams(texts: DataFrame) -> DataFrame:
+    """(gram, n): ``DEPTH`` context bytes and the next symbol packed in a long, with counts over whole texts."""
 
     def of_part(batches):
-        held, counts, size = [], [], 0
-        for batch in batches:
-            own = batch.column(0).to_pylist()
-            held += own
-            counts.append(batch.column(1).to_numpy(False))
-            size += sum(map(len, own))
-            if size > 4_000_000:
-                yield packed(held, np.concatenate(counts))
-                held, counts, size = [], [], 0
-        if held:
-            yield packed(held, np.concatenate(counts))
+        for words in chunks((data for batch in batches for data in batch.column(0).to_pylist()), 4_000_000):
+            keys = np.sort(stream(words)[0].byteswap())  # the symbol is the lowest byte
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            yield pa.RecordBatch.from_arrays([pa.array(keys[first].view(np.int64)), pa.array(np.diff(first, append=len(keys)))], ["gram", "n"])
 
-    return words.where("c > 0").select("word", "c").mapInArrow(of_part, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return texts.select("text").mapInArrow(of_part, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def states(gram_counts: DataFrame, end_count: int, least_share: float = LEAST_SHARE, least_divergence: float = LEAST_DIVERGENCE) -> DataFrame:
@@ -120,18 +127,155 @@ def states(gram_counts: DataFrame, end_count: int, least_share: float = LEAST_SH
     return frequent.join(kept, "context", "left_semi").unionByName(frequent.where("context = 0"))
 
 
+class Model:
+    """The retained contexts as arrays by depth; gives what ``Tree`` gives, for many contexts at once.
+
+    A context lies in a long from its latest symbol in the highest byte down, so that sorted contexts stand by their suffixes.
+    """
+
+    def __init__(self, context: np.ndarray, symbol: np.ndarray, n: np.ndarray):
+        context, symbol, n = context.astype(np.uint64), symbol.astype(np.int64), n.astype(np.float64)
+        turned = (context << np.uint64(8)).byteswap() << np.uint64(8)
+        depth = sum((context >> np.uint64(8 * d) > 0).astype(np.int64) for d in range(DEPTH))
+        root = np.bincount(symbol[depth == 0], n[depth == 0], 256)
+        self.root = (root + 1) / (root.sum() + 256)
+        self.levels = []
+        for d in range(1, DEPTH + 1):
+            own = depth == d
+            known, state = np.unique(turned[own], return_inverse=True)
+            pair = state * 256 + symbol[own]
+            order = np.argsort(pair)
+            self.levels.append((d, known, np.bincount(state, n[own], len(known)), pair[order], n[own][order]))
+
+    def score(self, texts: list[list[bytes]]) -> np.ndarray:
+        """log10 probability of each text."""
+        windows, sizes = stream(texts)
+        keys = windows << np.uint64(8) | windows >> np.uint64(56)  # context as above, the symbol in the lowest byte
+        order = np.argsort(keys)
+        ranked = keys[order]
+        first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+        p = np.repeat(np.log10(self.of(ranked[first])), np.diff(first, append=len(ranked)))
+        placed = np.empty(len(p))
+        placed[order] = p
+        return np.add.reduceat(placed, np.cumsum(sizes) - sizes)
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        """Probabilities of sorted distinct keys, from the shortest suffix to the longest."""
+        symbol = (keys & np.uint64(255)).astype(np.int64)
+        p = self.root[symbol]
+        for d, known, total, pair, n in self.levels:
+            if not len(known):
+                continue
+            cut = keys & np.uint64((1 << 64) - (1 << 64 - 8 * d))
+            low, high = np.searchsorted(cut, known, "left"), np.searchsorted(cut, known, "right")
+            size = high - low
+            at = np.arange(size.sum()) + np.repeat(low - np.cumsum(size) + size, size)
+            state = np.repeat(np.arange(len(known)), size)
+            asked = state * 256 + symbol[at]
+            found = np.minimum(np.searchsorted(pair, asked), len(pair) - 1)
+            p[at] = (np.where(pair[found] == asked, n[found], 0.0) + WEIGHT * p[at]) / (total[state] + WEIGHT)
+        return p
+
+
 class Tree:
-    """Retained contexts with smoothed next-symbol log10 probabilities."""
+    """Retained contexts with smoothed next-symbol log10 probabilities, as plain dictionaries: what ``Model`` is held against."""
 
-    @classmethod
-    def of(cls, parts: tuple) -> "Tree":
-        """From ``parts()``, plain dictionaries that any worker can read."""
-        tree = cls.__new__(cls)
-        tree.next, tree.rest, tree.unseen = parts
-        return tree
+    def __init__(self, rows):
+        by_context: dict[bytes, dict[int, int]] = {}
+        for context, symbol, n in rows:
+            by_context.setdefault(context.to_bytes(DEPTH, "big").lstrip(b"\0"), {})[symbol] = n
+        self.next: dict[bytes, dict[int, float]] = {}
+        self.rest: dict[bytes, tuple[float, bytes | None]] = {}  # log10 weight of the suffix's distribution; that suffix
+        root = by_context.get(b"", {})
+        total = sum(root.values())
+        self.unseen = -math.log10(total + 256)
+        self.next[b""] = {s: math.log10((n + 1) / (total + 256)) for s, n in root.items()}
+        self.rest[b""] = (0.0, None)
+        for context in sorted(by_context, key=len):
+            if not context:
+                continue
+            suffix = context[1:]
+            while suffix not in self.next:
+                suffix = suffix[1:]
+            total = sum(by_context[context].values()) + WEIGHT
+            self.rest[context] = (math.log10(WEIGHT / total), suffix)
+            self.next[context] = {s: math.log10((n + WEIGHT * 10 ** self.symbol(suffix, s)) / total) for s, n in by_context[context].items()}
 
-    def parts(self) -> tuple:
-        return self.next, self.rest, self.unseen
+    def symbol(self, context: bytes, symbol: int) -> float:
+        """log10 probability of ``symbol`` in a state."""
+        less = 0.0
+        while True:
+            found = self.next[context].get(symbol)
+            if found is not None:
+                return less + found
+            weight, suffix = self.rest[context]
+            if suffix is None:
+                return less + self.unseen
+            less, context = less + weight, suffix
+
+    def sequence(self, symbols: bytes) -> float:
+        """log10 probability of the symbols of a text, from the blank before it."""
+        text, total = b" " + symbols, 0.0
+        for at in range(1, len(text)):
+            context = text[max(0, at - DEPTH) : at]
+            while context not in self.next:
+                context = context[1:]
+            total += self.symbol(context, text[at])
+        return total
+
+
+class Model:
+    """The retained contexts as arrays by depth; gives what ``Tree`` gives, for many contexts at once.
+
+    A context lies in a long from its latest symbol in the highest byte down, so that sorted contexts stand by their suffixes.
+    """
+
+    def __init__(self, context: np.ndarray, symbol: np.ndarray, n: np.ndarray):
+        context, symbol, n = context.astype(np.uint64), symbol.astype(np.int64), n.astype(np.float64)
+        turned = (context << np.uint64(8)).byteswap() << np.uint64(8)
+        depth = sum((context >> np.uint64(8 * d) > 0).astype(np.int64) for d in range(DEPTH))
+        root = np.bincount(symbol[depth == 0], n[depth == 0], 256)
+        self.root = (root + 1) / (root.sum() + 256)
+        self.levels = []
+        for d in range(1, DEPTH + 1):
+            own = depth == d
+            known, state = np.unique(turned[own], return_inverse=True)
+            pair = state * 256 + symbol[own]
+            order = np.argsort(pair)
+            self.levels.append((d, known, np.bincount(state, n[own], len(known)), pair[order], n[own][order]))
+
+    def score(self, texts: list[list[bytes]]) -> np.ndarray:
+        """log10 probability of each text."""
+        windows, sizes = stream(texts)
+        keys = windows << np.uint64(8) | windows >> np.uint64(56)  # context as above, the symbol in the lowest byte
+        order = np.argsort(keys)
+        ranked = keys[order]
+        first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+        p = np.repeat(np.log10(self.of(ranked[first])), np.diff(first, append=len(ranked)))
+        placed = np.empty(len(p))
+        placed[order] = p
+        return np.add.reduceat(placed, np.cumsum(sizes) - sizes)
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        """Probabilities of sorted distinct keys, from the shortest suffix to the longest."""
+        symbol = (keys & np.uint64(255)).astype(np.int64)
+        p = self.root[symbol]
+        for d, known, total, pair, n in self.levels:
+            if not len(known):
+                continue
+            cut = keys & np.uint64((1 << 64) - (1 << 64 - 8 * d))
+            low, high = np.searchsorted(cut, known, "left"), np.searchsorted(cut, known, "right")
+            size = high - low
+            at = np.arange(size.sum()) + np.repeat(low - np.cumsum(size) + size, size)
+            state = np.repeat(np.arange(len(known)), size)
+            asked = state * 256 + symbol[at]
+            found = np.minimum(np.searchsorted(pair, asked), len(pair) - 1)
+            p[at] = (np.where(pair[found] == asked, n[found], 0.0) + WEIGHT * p[at]) / (total[state] + WEIGHT)
+        return p
+
+
+class Tree:
+    """Retained contexts with smoothed next-symbol log10 probabilities, as plain dictionaries: what ``Model`` is held against."""
 
     def __init__(self, rows):
         by_context: dict[bytes, dict[int, int]] = {}
@@ -167,7 +311,7 @@ class Tree:
             less, context = less + weight, suffix
 
     def sequence(self, symbols: bytes) -> float:
-        """log10 probability of the symbols of one word, from the blank before it."""
+        """log10 probability of the symbols of a text, from the blank before it."""
         text, total = b" " + symbols, 0.0
         for at in range(1, len(text)):
             context = text[max(0, at - DEPTH) : at]
@@ -199,22 +343,15 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
     ends = docs.where(remainder("doc_id", folds) != held).count()
     n_words, v_words = words.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     n, v = n_words + ends, v_words + (ends > 0)
-    tree = Tree(states(grams(words), ends).select("context", "symbol", "n").toLocalIterator())
-    model = docs.sparkSession.sparkContext.broadcast(tree.parts())  # at most DEPTH / LEAST_SHARE states
-    end_score, end_count, level = tree.end(), ends, n + v + 1
-
-    def of_words(batches):
-        own = Tree.of(model.value)
-        for batch in batches:
-            scores = [own.word(w) for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64())], ["word", "c", "p"])
+    kept = states(grams(rows.where(F.col("fold") != held)), 0).select("context", "symbol", "n").toArrow()  # at most DEPTH / LEAST_SHARE states
+    model = docs.sparkSession.sparkContext.broadcast(Model(*(kept.column(k).to_numpy() for k in range(3))))
+    end_count, level = ends, n + v + 1
 
-    scored = words.select("word", "c").mapInArrow(of_words, "word binary, c long, p double")
-    answered = asked.select("block", "word").join(scored, "word").select("block", "word", "c", "p")
+    answered = asked.select("block", "word").join(words, "word").select("block", "word", "c")
 
     def of_block(texts, known):
         place = {w: i for i, w in enumerate(known.column("word").to_pylist())}
-        count, p = known.column("c").to_numpy(), known.column("p").to_numpy()
+        count = known.column("c").to_numpy()
         base = np.log10((count + 1) / level)
         out = {k: [] for k in ("n_tokens", "n_known", "base_score", "score")}
         for data in texts.column("text").to_pylist():
@@ -222,7 +359,8 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
             out["n_tokens"].append(len(at) + 1)
             out["n_known"].append(int((count[at] > 0).sum()) + (end_count > 0))
             out["base_score"].append(float(base[at].sum()) + math.log10((end_count + 1) / level))
-            out["score"].append(float(p[at].sum()) + end_score)
+        for listed in chunks(texts.column("text").to_pylist()):
+            out["score"] += model.value.score(listed).tolist()
         held_out = pa.array([f == held for f in texts.column("fold").to_pylist()], pa.bool_())
         return pa.table({
             "doc_id": texts.column("doc_id"), "held_out": held_out, "n_tokens": pa.array(out["n_tokens"], pa.int64()), "n_known": pa.array(out["n_known"], pa.int64()),
