@@ -30,6 +30,7 @@ WEIGHT = 2.0  # of the suffix's distribution, in counts
 END = 0xFF  # never a byte of UTF-8
 BLANK = 0x20
 BLOCK_ROWS = 8000  # neighbouring documents of a block
+LEVELS = (3, 5, DEPTH)  # depths up to which contexts are counted in one pass
 LEAD, LAST = bytes(DEPTH) + bytes([BLANK]), bytes([END])
 
 
@@ -92,31 +93,62 @@ def chunks(texts, symbols: int = 1_000_000):
         yield held
 
 
-def grams(texts: DataFrame) -> DataFrame:
-    """(gram, n): ``DEPTH`` context bytes and the next symbol packed in a long, with counts over whole texts."""
+def grams(texts: DataFrame, depth: int = DEPTH, known: np.ndarray | None = None, least: int = 0) -> DataFrame:
+    """(gram, n): up to ``depth`` context bytes and the next symbol packed in a long, with counts over whole texts.
+
+    With ``known``, sorted contexts of ``least - 1`` symbols: only grams of ``least`` context bytes or more that end in one of these.
+    """
+    kept = np.uint64((1 << 8 * (depth + 1)) - 1)
+    shared = None if known is None else texts.sparkSession.sparkContext.broadcast(known)
 
     def of_part(batches):
-        for words in chunks((data for batch in batches for data in batch.column(0).to_pylist()), 4_000_000):
-            keys = np.sort(stream(words)[0].byteswap())  # the symbol is the lowest byte
+        for words in chunks((data for batch in batches for data in batch.column(0).to_pylist()), 2_000_000):
+            keys = stream(words)[0].byteswap()  # the symbol is the lowest byte
+            keys &= kept
+            keys.sort()
             first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-            yield pa.RecordBatch.from_arrays([pa.array(keys[first].view(np.int64)), pa.array(np.diff(first, append=len(keys)))], ["gram", "n"])
+            n, keys = np.diff(first, append=len(keys)), keys[first]
+            if shared is not None:
+                suffix = (keys >> np.uint64(8)) & np.uint64((1 << 8 * (least - 1)) - 1)
+                at = np.minimum(np.searchsorted(shared.value, suffix), len(shared.value) - 1)
+                met = (shared.value[at] == suffix) & (keys >> np.uint64(8 * least) > 0)
+                n, keys = n[met], keys[met]
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["gram", "n"])
 
     return texts.select("text").mapInArrow(of_part, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def states(gram_counts: DataFrame, end_count: int, least_share: float = LEAST_SHARE, least_divergence: float = LEAST_DIVERGENCE) -> DataFrame:
+def frequent_contexts(texts: DataFrame, least_share: float) -> DataFrame:
+    """(context, symbol, n, total) of the contexts that hold ``least_share`` of all symbols.
+
+    Longer contexts are counted only where their suffix is frequent: the others cannot be.
+    """
+    found, known, least, all_symbols = [], None, 0, 0
+    for depth in LEVELS:
+        full = grams(texts, depth, known, least)
+        longer = lambda d: F.shiftrightunsigned("gram", 8 * d).bitwiseAND(255) > 0
+        cut = lambda d: F.col("gram").bitwiseAND((1 << 8 * (d + 1)) - 1 if d < 7 else -1)
+        cuts = F.array_compact(F.array(*[F.when(longer(d), cut(d)) if d else cut(d) for d in range(least, depth + 1)]))
+        counts = full.select(F.explode(cuts).alias("gram"), "n").groupBy("gram").agg(F.sum("n").alias("n"))
+        counts = stage(counts.select(F.shiftrightunsigned("gram", 8).alias("context"), F.col("gram").bitwiseAND(255).cast("int").alias("symbol"), "n"), "contexts")
+        if not found:
+            all_symbols = counts.where("context = 0").agg(F.sum("n")).first()[0] or 0
+        totals = counts.groupBy("context").agg(F.sum("n").alias("total")).where(F.col("total") >= least_share * all_symbols)
+        found.append(stage(counts.join(totals, "context"), "contexts"))
+        # At most 1 / least_share contexts.
+        long = found[-1].where(F.shiftrightunsigned("context", 8 * (depth - 1)) > 0).select("context").distinct().toArrow()
+        known, least = np.sort(long.column(0).to_numpy().astype(np.uint64)), depth + 1
+        if not len(known):
+            break
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def states(texts: DataFrame, least_share: float = LEAST_SHARE, least_divergence: float = LEAST_DIVERGENCE) -> DataFrame:
     """(context, symbol, n, total) of the retained contexts; the empty context (0) is always there."""
-    end = gram_counts.sparkSession.range(1).select(F.lit(BLANK << 8 | END).cast("long").alias("gram"), F.lit(end_count).cast("long").alias("n"))
-    full = gram_counts.unionByName(end.where("n > 0"))
-    cuts = F.array_distinct(F.array(*[F.col("gram").bitwiseAND((1 << 8 * (d + 1)) - 1 if d < 7 else -1) for d in range(DEPTH + 1)]))
-    counts = (
-        full.select(F.explode(cuts).alias("gram"), "n").groupBy("gram").agg(F.sum("n").alias("n"))
-        .select(F.shiftrightunsigned("gram", 8).alias("context"), F.col("gram").bitwiseAND(255).cast("int").alias("symbol"), "n")
-    )
-    counts = stage(counts, "contexts")
-    all_symbols = counts.where("context = 0").agg(F.sum("n")).first()[0] or 0
-    totals = counts.groupBy("context").agg(F.sum("n").alias("total")).where(F.col("total") >= least_share * all_symbols)
-    frequent = stage(counts.join(totals, "context"), "contexts")
+    frequent = frequent_contexts(texts, least_share)
     # The suffix of a context lacks its oldest symbol, the highest byte that is not zero.
     bits = F.greatest(*[F.when(F.shiftright("context", 8 * d) > 0, F.lit(8 * d)).otherwise(F.lit(0)) for d in range(DEPTH)])
     suffix = F.col("context").bitwiseAND(F.expr("shiftleft(1L, high)") - 1)
@@ -343,7 +375,7 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
     ends = docs.where(remainder("doc_id", folds) != held).count()
     n_words, v_words = words.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     n, v = n_words + ends, v_words + (ends > 0)
-    kept = states(grams(rows.where(F.col("fold") != held)), 0).select("context", "symbol", "n").toArrow()  # at most DEPTH / LEAST_SHARE states
+    kept = states(rows.where(F.col("fold") != held)).select("context", "symbol", "n").toArrow()  # at most DEPTH / LEAST_SHARE states
     model = docs.sparkSession.sparkContext.broadcast(Model(*(kept.column(k).to_numpy() for k in range(3))))
     end_count, level = ends, n + v + 1
 

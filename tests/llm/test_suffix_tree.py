@@ -39,7 +39,7 @@ def test_model_gives_the_scores_of_the_tree(spark):
     scored = {r.doc_id: r.score for r in suffix_tree.score(documents(spark, texts)).collect()}
     rows = documents(spark, texts).selectExpr("doc_id", "coalesce(cast(text as binary), X'') as text")
     train = rows.where(suffix_tree.remainder("doc_id", 7) != 2)
-    kept = [(r.context, r.symbol, r.n) for r in suffix_tree.states(suffix_tree.grams(train), 0).select("context", "symbol", "n").collect()]
+    kept = [(r.context, r.symbol, r.n) for r in suffix_tree.states(train).select("context", "symbol", "n").collect()]
     tree = suffix_tree.Tree(kept)
     assert any(b" " in c[1:] for c in tree.next)  # a state that reaches over a word
     for i, text in enumerate(texts):
@@ -47,3 +47,21 @@ def test_model_gives_the_scores_of_the_tree(spark):
     model = suffix_tree.Model(*(np.array(x) for x in zip(*kept)))
     ordered = texts[-1].split()
     assert abs(model.score([[w.encode() for w in ordered]])[0] - model.score([[w.encode() for w in sorted(ordered)]])[0]) > 0.01
+
+
+def test_contexts_are_counted_level_by_level(spark):
+    rng = random.Random(5)
+    texts = [*ODD, "a\0b c", *(prose(rng, 90, 30) for _ in range(30))]
+    rows = documents(spark, texts).selectExpr("coalesce(cast(text as binary), X'') as text")
+    counts: Counter = Counter()
+    for gram, n in brute_grams(texts).items():
+        for d in range(len(gram)):
+            counts[gram[len(gram) - d - 1 :]] += n
+    total: Counter = Counter()
+    for gram, n in counts.items():
+        total[gram[:-1]] += n
+    share = 0.002
+    want = {g: (n, total[g[:-1]]) for g, n in counts.items() if total[g[:-1]] >= share * total[b""]}
+    got = {r.context.to_bytes(7, "big").lstrip(b"\0") + bytes([r.symbol]): (r.n, r.total) for r in suffix_tree.frequent_contexts(rows, share).collect()}
+    assert got == want and 0 < len(got) < len(counts)
+    assert {len(g) - 1 for g in got} == set(range(8))
