@@ -39,6 +39,27 @@ def test_recall_of_near_equal_passages(spark):
     assert all(a // 2 == b // 2 for a, b in found)  # nothing else repeats
 
 
+def test_variants_of_one_passage_are_linked_to_each_other(spark):
+    rng = random.Random(4)
+    prose = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    first = prose(100)
+    variants = [first] + [[*first[:k], "new", *first[k + 1 :]] for k in (20, 50, 80)]
+    kinds = [0, 1, 2, 3, 0, 2, 2]  # the last three are copies of passages in documents 0 and 2
+    texts = [prose(70) + variants[k] + prose(70) for k in kinds]
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    rows = compact_windows.near_duplicate_passages(df).collect()
+    pairs = {(r.first_doc_id, r.doc_id) for r in rows}
+    assert {(a, b) for b in range(4) for a in range(b)} <= pairs and {(0, 4), (2, 5), (2, 6)} <= pairs
+    assert all(r.similarity >= 0.8 and r.end_word - r.start_word >= 50 for r in rows)
+    assert (1, 4) not in pairs and (5, 6) not in pairs  # copies stand with the passage that they repeat
+
+
+def test_centres_that_repeat_within_a_grid_on_both_sides():
+    # Windows of two functions with one true offset; one side's centre was taken from an earlier place, on both sides apart.
+    windows = [(0, 60, 0, 5, 0, 105 - 60, 160), (0, 60, 1, 5, 0, 105 + 60, 220)]
+    assert compact_windows.clusters(windows, 2) == [(0, 60, 0, 220)]
+
+
 def run_stages(spark, docs, folder):
     out = []
     for k, (_, function) in enumerate(corpus_pipeline.STAGES):
