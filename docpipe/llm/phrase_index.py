@@ -99,6 +99,17 @@ def _cells(start: Column, slop: int) -> Column:
     return F.array(even, F.floor((start + slop) / (2 * slop)) * 2 + 1)
 
 
+def _all_there(places: DataFrame, wanted: str, window: int) -> DataFrame:
+    """Groups of the columns but ``offset`` in which ``wanted`` different offsets below ``window`` stand.
+
+    Offsets are bits of longs, joined before rows move: one shuffle, and repeated offsets cost nothing.
+    """
+    keys = [c for c in places.columns if c != "offset"]
+    bits = [F.bit_or(F.expr(f"CASE WHEN offset DIV 64 = {k} THEN shiftleft(1L, offset % 64) ELSE 0L END")).alias(f"bits_{k}") for k in range(-(-window // 64))]
+    n = " + ".join(f"bit_count(bits_{k})" for k in range(len(bits)))
+    return places.groupBy(*keys).agg(*bits).where(f"{n} = {wanted}").select(*keys)
+
+
 def rarest_lists(postings: DataFrame, plans: DataFrame, rare: int = RARE, block: int = BLOCK_WINDOWS) -> DataFrame:
     """(row, win, offset, start, parts): the moved lists of the ``rare`` rarest terms of each window."""
     each = plans.select("win", F.least(F.lit(rare), "length").alias("parts"), F.explode(F.slice("terms", 1, rare)).alias("t"))
@@ -110,12 +121,11 @@ def rarest_lists(postings: DataFrame, plans: DataFrame, rare: int = RARE, block:
     return _united(found, postings.limit(0).selectExpr("row", "0L win", "0 offset", "pos start", "0 parts"))
 
 
-def moved_lists(postings: DataFrame, plans: DataFrame, rare: int = RARE, slop: int = SLOP, block: int = BLOCK_WINDOWS) -> DataFrame:
+def moved_lists(postings: DataFrame, plans: DataFrame, rare: int = RARE, slop: int = SLOP, block: int = BLOCK_WINDOWS, window: int = WINDOW) -> DataFrame:
     """(row, win, length, offset, start): all moved postings in cells where a window's rarest terms meet."""
     lists = stage(rarest_lists(postings, plans, rare, block), "lists")
     celled = lists.select("row", "win", "parts", "offset", F.explode(_cells(F.col("start"), slop)).alias("cell"))
-    met = celled.distinct().groupBy("row", "win", "cell", "parts").agg(F.count("*").alias("n")).where("n = parts")
-    met = stage(met.select("row", "win", "cell"), "cells")
+    met = stage(_all_there(celled, "parts", window).select("row", "win", "cell"), "cells")
     asked = []
     for part in _blocks(plans, "win", block):
         others = part.select("win", F.explode(F.slice("terms", rare + 1, WINDOW_TERMS)).alias("t")).select("win", "t.term_id", "t.offset")
@@ -135,11 +145,10 @@ def phrase_matches(moved: DataFrame) -> DataFrame:
     return met.where("n = length").select("row", "win", "start", "length")
 
 
-def proximity_matches(moved: DataFrame, slop: int = SLOP) -> DataFrame:
+def proximity_matches(moved: DataFrame, slop: int = SLOP, window: int = WINDOW) -> DataFrame:
     """(row, win): windows with a moved posting of every term in one cell. Exact matches are among them."""
-    celled = moved.select("row", "win", "length", "offset", F.explode(_cells(F.col("start"), slop)).alias("cell")).distinct()
-    met = celled.groupBy("row", "win", "cell", "length").agg(F.count("*").alias("n")).where("n = length")
-    return met.select("row", "win").distinct()
+    celled = moved.select("row", "win", "length", "offset", F.explode(_cells(F.col("start"), slop)).alias("cell"))
+    return _all_there(celled, "length", window).select("row", "win").distinct()
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = 20) -> DataFrame:
@@ -154,9 +163,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     windows = windows_of(benchmark.where("item_id IS NOT NULL"), window)
     terms = vocabulary(windows)
     postings = store_postings(texts, terms)
-    moved = moved_lists(postings, query_plans(windows, terms, postings))
+    moved = moved_lists(postings, query_plans(windows, terms, postings), window=window)
     matches = stage(phrase_matches(moved), "matches")
-    near = proximity_matches(moved).join(windows.select("win", "items"), "win").select("row", F.explode("items").alias("item")).distinct()
+    near = proximity_matches(moved, window=window).join(windows.select("win", "items"), "win").select("row", F.explode("items").alias("item")).distinct()
     near = near.groupBy("row").agg(F.count("*").alias("n_near"))
     covered = matches.select("row", F.explode(F.sequence("start", F.col("start") + F.col("length") - 1)).alias("pos")).distinct().groupBy("row").agg(F.count("*").alias("n_hit"))
     named = matches.select("row", "win").distinct().join(windows.select("win", "items"), "win").select("row", F.explode("items").alias("item")).distinct()

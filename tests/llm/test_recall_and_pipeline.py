@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 
 import corpus_pipeline
-from docpipe.llm import compact_windows
+from docpipe.llm import compact_windows, phrase_index
 from pyspark.sql import functions as F
 from tests.conftest import SF
 
@@ -60,6 +60,13 @@ def test_centres_that_repeat_within_a_grid_on_both_sides():
     assert compact_windows.clusters(windows, 2) == [(0, 60, 0, 220)]
 
 
+def test_offsets_of_a_cell_are_counted_in_one_shuffle(spark):
+    rows = [(1, 3, k) for k in (0, 63, 64, 64)] + [(2, 3, k) for k in (0, 5, 5)] + [(3, 1, 129)]
+    met = phrase_index._all_there(spark.createDataFrame(rows, "win long, parts int, offset int"), "parts", 130)
+    assert sorted(r.win for r in met.collect()) == [1, 3]
+    assert met._jdf.queryExecution().sparkPlan().toString().count("HashAggregate") == 2  # combined before one shuffle, and after it
+
+
 def run_stages(spark, docs, folder):
     out = []
     for k, (_, function) in enumerate(corpus_pipeline.STAGES):
