@@ -6,7 +6,7 @@ frequent enough (``LEAST_SHARE`` of all symbols, which bounds the number of stat
 next-symbol distribution diverges from that of its suffix. Distributions are smoothed with the suffix's; scoring uses the
 longest suffix that is a state.
 
-Contexts are counted over all training texts. Every text is scored symbol by symbol where it lies; equal contexts of
+Contexts are counted over all training texts; tasks add up what they count before it moves. Every text is scored symbol by symbol where it lies; equal contexts of
 neighbouring texts are looked up once. Texts and the counts of their words meet by blocks of neighbouring documents: a block
 asks for each of its words once.
 """
@@ -14,7 +14,8 @@ asks for each of its words once.
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections import defaultdict
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,113 +32,181 @@ END = 0xFF  # never a byte of UTF-8
 BLANK = 0x20
 BLOCK_ROWS = 8000  # neighbouring documents of a block
 LEVELS = (3, 5, DEPTH)  # depths up to which contexts are counted in one pass
-LEAD, LAST = bytes(DEPTH) + bytes([BLANK]), bytes([END])
+HELD = 3_000_000  # grams of a depth that a task adds up
+LEAD, LAST = bytes(DEPTH) + bytes([BLANK]), bytes([BLANK, END])
+TEXT = bytes.maketrans(b"\0\t\n\v\f\rABCDEFGHIJKLMNOPQRSTUVWXYZ", b"\1     abcdefghijklmnopqrstuvwxyz")  # of a text, to symbols
+
+
+def numbered(texts: list[bytes], place: dict) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
+    """The words of texts, their numbers in ``place`` one after the other, and the number of words of each text."""
+    words = [lowered_words(x) for x in texts]
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    return words, np.fromiter(map(place.__getitem__, chain.from_iterable(words)), np.int64, sizes.sum()), sizes
 
 
 def block_words(docs: DataFrame, folds: int, held: int) -> DataFrame:
     """(block, word, n): the distinct words of each block and their count in training documents."""
 
     def of_part(batches):
-        counts: Counter = Counter()
-        seen: set = set()
-        at = None
+        place: defaultdict = defaultdict()
+        place.default_factory = place.__len__  # words are numbered as they come
+        counts, at = np.zeros(0, np.int64), None
 
         def made():
-            words = list(seen)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(words), at, np.int64)), pa.array(words, pa.binary()), pa.array([counts[w] for w in words], pa.int64())], ["block", "word", "n"]
-            )
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(place), at, np.int64)), pa.array(list(place), pa.binary()), pa.array(counts)], ["block", "word", "n"])
 
         for batch in batches:
-            for block, train, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                if block != at:
-                    if seen:
+            blocks = batch.column(0).to_numpy()
+            starts = np.flatnonzero(np.concatenate([[True], blocks[1:] != blocks[:-1]])) if len(blocks) else []
+            for low, size in zip(starts, np.diff(starts, append=len(blocks))):
+                if blocks[low] != at:
+                    if place:
                         yield made()
-                    counts, seen, at = Counter(), set(), block
-                words = lowered_words(data)
-                seen.update(words)
-                if train:
-                    counts.update(words)
-        if seen:
+                    place.clear()
+                    counts, at = np.zeros(0, np.int64), blocks[low]
+                train = batch.column(1).slice(low, size).to_numpy(False)
+                for listed in chunks(batch.column(2).slice(low, size).to_pylist()):
+                    _, numbers, sizes = numbered(listed, place)
+                    taught, train = numbers[np.repeat(train[: len(listed)], sizes)], train[len(listed) :]
+                    counts = np.pad(counts, (0, len(place) - len(counts))) + np.bincount(taught, minlength=len(place))
+        if place:
             yield made()
 
     rows = docs.select("block", (F.col("fold") != held).alias("train"), "text")
     return stage(rows.mapInArrow(of_part, "block long, word binary, n long"), "words")
 
 
-def stream(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """``DEPTH`` bytes and the next one at every scored symbol of the texts, in eights, and the number of symbols of each text.
+def stream(texts: list[bytes], codes: bytes | None = None, bits: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """``DEPTH`` codes and the next one, highest, at every scored symbol of the texts, and the number of symbols of each text.
 
-    Zeros stand before a text, so a context ends at its first blank; zero means no symbol.
+    Zeros stand before a text, so a context ends at its first blank. A code has
+    ``bits`` bits: the byte, or what ``codes`` has for it.
     """
-    bodies = [b" ".join([*words, b""]) for words in texts]
-    bodies = [x.replace(b"\0", b"\x01") if b"\0" in x else x for x in bodies]
-    data = b"".join(part for body in bodies for part in (LEAD, body, LAST))
-    windows = np.ndarray((len(data) - DEPTH,), "<u8", data, 0, (1,)).astype(np.uint64)
-    sizes = np.fromiter((len(x) + 1 for x in bodies), np.int64, len(bodies))
-    starts = np.cumsum(sizes + len(LEAD)) - sizes  # of the symbols in ``data``
-    at = np.arange(sizes.sum()) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
-    return windows[at - DEPTH], sizes
-
-
-def chunks(texts, symbols: int = 1_000_000):
-    """The words of texts in lists of about as many symbols."""
+    data = np.frombuffer(b"".join(part for text in texts for part in (LEAD, text.translate(TEXT), LAST)), np.uint8)
+    blank = data == BLANK
+    blank[1:] &= blank[:-1]
+    blank[0] = False
+    data = data[~blank]  # of blanks in a row, the first
+    starts = np.flatnonzero(data == 0)[::DEPTH]
+    sizes = np.diff(starts, append=len(data)) - len(LEAD)
+    own = np.ones(len(data), bool)
+    own[(starts[:, None] + np.arange(len(LEAD))).ravel()] = False
+    keys = (data if codes is None else np.frombuffer(codes, np.uint8)[data]).astype(np.uint64)
+    for size in (1, 2, 4):  # windows of twice as many symbols
+        keys[size:] = keys[size:] << np.uint64(bits * size) | keys[:-size]
+    return keys[own], sizes
+
+
+def chunks(texts, symbols: int = 1_000_000, most: int = 1 << 30):
+    """Texts in lists of about as many symbols, of at most ``most`` texts."""
     held, size = [], 0
     for data in texts:
-        held.append(lowered_words(data))
+        held.append(data)
         size += len(data) + len(LEAD) + 1
-        if size > symbols:
+        if size > symbols or len(held) == most:
             yield held
             held, size = [], 0
     if held:
         yield held
 
 
-def grams(texts: DataFrame, depth: int = DEPTH, known: np.ndarray | None = None, least: int = 0) -> DataFrame:
-    """(gram, n): up to ``depth`` context bytes and the next symbol packed in a long, with counts over whole texts.
+def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys without repeats, and the sums of their numbers."""
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def _slots(windows: np.ndarray) -> np.ndarray:
+    return (windows * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)
+
 
-    With ``known``, sorted contexts of ``least - 1`` symbols: only grams of ``least`` context bytes or more that end in one of these.
+def grams(texts: DataFrame, depths: range | None = None, known: np.ndarray | None = None, least: float = 0) -> DataFrame:
+    """(gram, n, total): context bytes and the next symbol packed in a long, with counts over whole texts and the context's count.
+
+    Without ``depths``, contexts are as long as there are symbols, up to ``DEPTH``; else every context is counted at each of
+    these depths. With ``known``, contexts of ``depths.start - 1`` symbols: only contexts are counted whose parts of that
+    length are among them (or fall in the slot of one). Contexts of fewer than ``least`` symbols are left out.
+
+    Tasks add up their own grams; arrays of grams and counts meet by hash of the context, the number of groups being that of
+    the shuffle partitions.
     """
-    kept = np.uint64((1 << 8 * (depth + 1)) - 1)
+    groups = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shared = None if known is None else texts.sparkSession.sparkContext.broadcast(known)
+    byte = lambda d: np.uint64(8 * d)
+    top = lambda d: np.uint64((1 << 64) - (1 << 64 - 8 * d))
+
+    def cut(keys, n, d, met):
+        """Grams of ``d`` context bytes from sorted ones; the symbol is the highest byte."""
+        whole = (keys >> byte(7 - d)) & np.uint64(255) > 0
+        for at in range(d - depths.start + 2 if met is not None else 0):
+            size = depths.start - 1
+            whole &= met[_slots((keys << byte(1 + at)) & top(size))]
+        return summed(keys[whole] & top(d + 1), n[whole])
+
+    def dealt(held):
+        """Summed grams of a task, one row a group."""
+        keys, n = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(keys)
+        keys, n = summed(keys[order], n[order])
+        keys = keys.byteswap()  # the symbol is the lowest byte
+        group = (((keys >> np.uint64(8)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(groups)
+        order = np.argsort(group.astype(np.uint16 if groups <= 1 << 16 else np.uint64), kind="stable")
+        ends = np.cumsum(np.bincount(group.astype(np.int64), minlength=groups))
+        rows = [(g, keys[x].tobytes(), n[x].tobytes()) for g, x in enumerate(np.split(order, ends[:-1])) if len(x)]
+        types = (pa.int32(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows), types)], ["part", "grams", "counts"])
 
     def of_part(batches):
-        for words in chunks((data for batch in batches for data in batch.column(0).to_pylist()), 2_000_000):
-            keys = stream(words)[0].byteswap()  # the symbol is the lowest byte
-            keys &= kept
+        met = None
+        if shared is not None:
+            met = np.zeros(1 << 22, bool)
+            met[_slots(shared.value)] = True
+        held: dict = {}
+        for listed in chunks((data for batch in batches for data in batch.column(0).to_pylist()), 2_000_000):
+            keys = stream(listed)[0]
             keys.sort()
-            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-            n, keys = np.diff(first, append=len(keys)), keys[first]
-            if shared is not None:
-                suffix = (keys >> np.uint64(8)) & np.uint64((1 << 8 * (least - 1)) - 1)
-                at = np.minimum(np.searchsorted(shared.value, suffix), len(shared.value) - 1)
-                met = (shared.value[at] == suffix) & (keys >> np.uint64(8 * least) > 0)
-                n, keys = n[met], keys[met]
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["gram", "n"])
+            keys, n = summed(keys, np.ones(len(keys), np.int64))
+            for d in (None,) if depths is None else depths:
+                found = (keys, n) if d is None else cut(keys, n, d, met)
+                held.setdefault(d, []).append(found)
+                if sum(len(x) for x, _ in held[d]) > HELD:
+                    keys_held, n_held = (np.concatenate(x) for x in zip(*held[d]))
+                    order = np.argsort(keys_held)
+                    held[d] = [summed(keys_held[order], n_held[order])]
+                    if len(held[d][0][0]) > HELD // 2:
+                        yield dealt(held.pop(d))
+        for own in held.values():
+            if sum(len(x) for x, _ in own):
+                yield dealt(own)
+
+    def of_group(frame):
+        keys = np.frombuffer(b"".join(frame.column("grams").to_pylist()), np.uint64)
+        order = np.argsort(keys)
+        keys, n = summed(keys[order], np.frombuffer(b"".join(frame.column("counts").to_pylist()), np.int64)[order])
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] >> np.uint64(8) != keys[:-1] >> np.uint64(8)]))
+        total = np.repeat(np.add.reduceat(n, first), np.diff(first, append=len(keys)))
+        return pa.table({"gram": keys.view(np.int64), "n": n, "total": total}).filter(pa.array(total >= least))
 
-    return texts.select("text").mapInArrow(of_part, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    arrays = texts.select("text").mapInArrow(of_part, "part int, grams binary, counts binary")
+    return arrays.groupBy("part").applyInArrow(of_group, "gram long, n long, total long")
 
 
 def frequent_contexts(texts: DataFrame, least_share: float) -> DataFrame:
     """(context, symbol, n, total) of the contexts that hold ``least_share`` of all symbols.
 
-    Longer contexts are counted only where their suffix is frequent: the others cannot be.
+    Longer contexts are counted only where all their parts are frequent: the others cannot be.
     """
-    found, known, least, all_symbols = [], None, 0, 0
+    found, known, start, least = [], None, 0, 0.0
     for depth in LEVELS:
-        full = grams(texts, depth, known, least)
-        longer = lambda d: F.shiftrightunsigned("gram", 8 * d).bitwiseAND(255) > 0
-        cut = lambda d: F.col("gram").bitwiseAND((1 << 8 * (d + 1)) - 1 if d < 7 else -1)
-        cuts = F.array_compact(F.array(*[F.when(longer(d), cut(d)) if d else cut(d) for d in range(least, depth + 1)]))
-        counts = full.select(F.explode(cuts).alias("gram"), "n").groupBy("gram").agg(F.sum("n").alias("n"))
-        counts = stage(counts.select(F.shiftrightunsigned("gram", 8).alias("context"), F.col("gram").bitwiseAND(255).cast("int").alias("symbol"), "n"), "contexts")
+        full = grams(texts, range(start, depth + 1), known, least)
+        counts = stage(full.select(F.shiftrightunsigned("gram", 8).alias("context"), F.col("gram").bitwiseAND(255).cast("int").alias("symbol"), "n", "total"), "contexts")
         if not found:
-            all_symbols = counts.where("context = 0").agg(F.sum("n")).first()[0] or 0
-        totals = counts.groupBy("context").agg(F.sum("n").alias("total")).where(F.col("total") >= least_share * all_symbols)
-        found.append(stage(counts.join(totals, "context"), "contexts"))
+            least = least_share * (counts.where("context = 0").agg(F.max("total")).first()[0] or 0)
+            counts = counts.where(F.col("total") >= least)
+        found.append(counts)
         # At most 1 / least_share contexts.
-        long = found[-1].where(F.shiftrightunsigned("context", 8 * (depth - 1)) > 0).select("context").distinct().toArrow()
-        known, least = np.sort(long.column(0).to_numpy().astype(np.uint64)), depth + 1
+        long = counts.where(F.shiftrightunsigned("context", 8 * (depth - 1)) > 0).select("context").distinct().toArrow()
+        known, start = long.column(0).to_numpy().astype(np.uint64).byteswap(), depth + 1
         if not len(known):
             break
     out = found[0]
@@ -160,150 +229,87 @@ def states(texts: DataFrame, least_share: float = LEAST_SHARE, least_divergence:
 
 
 class Model:
-    """The retained contexts as arrays by depth; gives what ``Tree`` gives, for many contexts at once.
+    """The retained contexts as arrays; gives what ``Tree`` gives, for many contexts at once.
 
-    A context lies in a long from its latest symbol in the highest byte down, so that sorted contexts stand by their suffixes.
+    Bytes are told apart by codes of as few bits as the training texts need; all other bytes are 0. A key holds the codes of a
+    context from the latest down, then the symbol's, so the keys of a state stand together, among those of its suffix.
     """
 
     def __init__(self, context: np.ndarray, symbol: np.ndarray, n: np.ndarray):
-        context, symbol, n = context.astype(np.uint64), symbol.astype(np.int64), n.astype(np.float64)
-        turned = (context << np.uint64(8)).byteswap() << np.uint64(8)
-        depth = sum((context >> np.uint64(8 * d) > 0).astype(np.int64) for d in range(DEPTH))
-        root = np.bincount(symbol[depth == 0], n[depth == 0], 256)
-        self.root = (root + 1) / (root.sum() + 256)
-        self.levels = []
+        context, n = context.astype(np.uint64), n.astype(np.float64)
+        bytes_of = [((context >> np.uint64(8 * d)) & np.uint64(255)).astype(np.int64) for d in range(DEPTH)]
+        depth = sum((x > 0).astype(np.int64) for x in bytes_of)
+        seen = np.bincount(np.concatenate([symbol.astype(np.int64), *bytes_of]), minlength=256) > 0
+        seen[0] = False
+        codes = np.where(seen, np.cumsum(seen), 0)
+        self.codes, self.bits = codes.astype(np.uint8).tobytes(), max(1, int(codes.max()).bit_length())
+        symbol = codes[symbol.astype(np.int64)]
+        key = sum(codes[x].astype(np.uint64) << np.uint64(self.bits * (DEPTH - d)) for d, x in enumerate(bytes_of))
+        key, at, state = np.unique(np.concatenate([np.zeros(1, np.uint64), key]), return_index=True, return_inverse=True)
+        depths, state = np.concatenate([[0], depth])[at], state[1:]
+        high = key | np.array([(1 << self.bits * (DEPTH + 1 - d)) - 1 for d in range(DEPTH + 1)], np.uint64)[depths]
+
+        def longest(places, last):
+            """The state of the longest context at each of the places; up to ``last``, the place of its own is left out."""
+            out = np.zeros(len(places), np.int64)
+            for d in range(1, DEPTH + 1):
+                own = np.flatnonzero(depths == d)
+                low = np.searchsorted(places, key[own], "right" if last else "left")
+                size = np.searchsorted(places, high[own], "right") - low
+                out[np.arange(size.sum()) + np.repeat(low - np.cumsum(size) + size, size)] = np.repeat(own, size)
+            return out
+
+        self.parent = longest(key, True)
+        self.places = np.unique(np.concatenate([key, high + np.uint64(1)]))  # the last one of all is 0
+        self.at_places = longest(self.places, False)
+        total = np.bincount(state, n, len(key))
+        self.rest = WEIGHT / (total + WEIGHT)
+        root = np.bincount(symbol[depth == 0], n[depth == 0], 1 << self.bits)
+        deep = np.flatnonzero(depth > 0)
+        pair = state[deep] << self.bits | symbol[deep]
+        deep, pair = (x[np.argsort(pair)] for x in (deep, pair))
+        self.pair = np.concatenate([np.arange(1 << self.bits), pair])
+        self.p = np.concatenate([(root + 1) / (root.sum() + 256), np.zeros(len(pair))])
         for d in range(1, DEPTH + 1):
-            own = depth == d
-            known, state = np.unique(turned[own], return_inverse=True)
-            pair = state * 256 + symbol[own]
-            order = np.argsort(pair)
-            self.levels.append((d, known, np.bincount(state, n[own], len(known)), pair[order], n[own][order]))
-
-    def score(self, texts: list[list[bytes]]) -> np.ndarray:
-        """log10 probability of each text."""
-        windows, sizes = stream(texts)
-        keys = windows << np.uint64(8) | windows >> np.uint64(56)  # context as above, the symbol in the lowest byte
-        order = np.argsort(keys)
-        ranked = keys[order]
-        first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-        p = np.repeat(np.log10(self.of(ranked[first])), np.diff(first, append=len(ranked)))
-        placed = np.empty(len(p))
-        placed[order] = p
-        return np.add.reduceat(placed, np.cumsum(sizes) - sizes)
-
-    def of(self, keys: np.ndarray) -> np.ndarray:
-        """Probabilities of sorted distinct keys, from the shortest suffix to the longest."""
-        symbol = (keys & np.uint64(255)).astype(np.int64)
-        p = self.root[symbol]
-        for d, known, total, pair, n in self.levels:
-            if not len(known):
-                continue
-            cut = keys & np.uint64((1 << 64) - (1 << 64 - 8 * d))
-            low, high = np.searchsorted(cut, known, "left"), np.searchsorted(cut, known, "right")
-            size = high - low
-            at = np.arange(size.sum()) + np.repeat(low - np.cumsum(size) + size, size)
-            state = np.repeat(np.arange(len(known)), size)
-            asked = state * 256 + symbol[at]
-            found = np.minimum(np.searchsorted(pair, asked), len(pair) - 1)
-            p[at] = (np.where(pair[found] == asked, n[found], 0.0) + WEIGHT * p[at]) / (total[state] + WEIGHT)
+            own = np.flatnonzero(depth[deep] == d)
+            below, code = state[deep[own]], symbol[deep[own]]
+            self.p[len(root) + own] = (n[deep[own]] + WEIGHT * self.of(self.parent[below], code)) / (total[below] + WEIGHT)
+
+    def of(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """Probabilities of symbols in states."""
+        p, weight, left = np.empty(len(state)), 1.0, np.arange(len(state))
+        while len(left):
+            asked = state << self.bits | symbol
+            found = np.minimum(np.searchsorted(self.pair, asked), len(self.pair) - 1)
+            met = self.pair[found] == asked
+            p[left] = weight * self.p[found]
+            weight = (weight * self.rest[state])[~met]
+            left, state, symbol = left[~met], self.parent[state[~met]], symbol[~met]
         return p
 
-
-class Tree:
-    """Retained contexts with smoothed next-symbol log10 probabilities, as plain dictionaries: what ``Model`` is held against."""
-
-    def __init__(self, rows):
-        by_context: dict[bytes, dict[int, int]] = {}
-        for context, symbol, n in rows:
-            by_context.setdefault(context.to_bytes(DEPTH, "big").lstrip(b"\0"), {})[symbol] = n
-        self.next: dict[bytes, dict[int, float]] = {}
-        self.rest: dict[bytes, tuple[float, bytes | None]] = {}  # log10 weight of the suffix's distribution; that suffix
-        root = by_context.get(b"", {})
-        total = sum(root.values())
-        self.unseen = -math.log10(total + 256)
-        self.next[b""] = {s: math.log10((n + 1) / (total + 256)) for s, n in root.items()}
-        self.rest[b""] = (0.0, None)
-        for context in sorted(by_context, key=len):
-            if not context:
-                continue
-            suffix = context[1:]
-            while suffix not in self.next:
-                suffix = suffix[1:]
-            total = sum(by_context[context].values()) + WEIGHT
-            self.rest[context] = (math.log10(WEIGHT / total), suffix)
-            self.next[context] = {s: math.log10((n + WEIGHT * 10 ** self.symbol(suffix, s)) / total) for s, n in by_context[context].items()}
-
-    def symbol(self, context: bytes, symbol: int) -> float:
-        """log10 probability of ``symbol`` in a state."""
-        less = 0.0
-        while True:
-            found = self.next[context].get(symbol)
-            if found is not None:
-                return less + found
-            weight, suffix = self.rest[context]
-            if suffix is None:
-                return less + self.unseen
-            less, context = less + weight, suffix
-
-    def sequence(self, symbols: bytes) -> float:
-        """log10 probability of the symbols of a text, from the blank before it."""
-        text, total = b" " + symbols, 0.0
-        for at in range(1, len(text)):
-            context = text[max(0, at - DEPTH) : at]
-            while context not in self.next:
-                context = context[1:]
-            total += self.symbol(context, text[at])
-        return total
-
-
-class Model:
-    """The retained contexts as arrays by depth; gives what ``Tree`` gives, for many contexts at once.
-
-    A context lies in a long from its latest symbol in the highest byte down, so that sorted contexts stand by their suffixes.
-    """
-
-    def __init__(self, context: np.ndarray, symbol: np.ndarray, n: np.ndarray):
-        context, symbol, n = context.astype(np.uint64), symbol.astype(np.int64), n.astype(np.float64)
-        turned = (context << np.uint64(8)).byteswap() << np.uint64(8)
-        depth = sum((context >> np.uint64(8 * d) > 0).astype(np.int64) for d in range(DEPTH))
-        root = np.bincount(symbol[depth == 0], n[depth == 0], 256)
-        self.root = (root + 1) / (root.sum() + 256)
-        self.levels = []
-        for d in range(1, DEPTH + 1):
-            own = depth == d
-            known, state = np.unique(turned[own], return_inverse=True)
-            pair = state * 256 + symbol[own]
-            order = np.argsort(pair)
-            self.levels.append((d, known, np.bincount(state, n[own], len(known)), pair[order], n[own][order]))
-
     def score(self, texts: list[list[bytes]]) -> np.ndarray:
         """log10 probability of each text."""
-        windows, sizes = stream(texts)
-        keys = windows << np.uint64(8) | windows >> np.uint64(56)  # context as above, the symbol in the lowest byte
-        order = np.argsort(keys)
-        ranked = keys[order]
-        first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-        p = np.repeat(np.log10(self.of(ranked[first])), np.diff(first, append=len(ranked)))
-        placed = np.empty(len(p))
-        placed[order] = p
-        return np.add.reduceat(placed, np.cumsum(sizes) - sizes)
-
-    def of(self, keys: np.ndarray) -> np.ndarray:
-        """Probabilities of sorted distinct keys, from the shortest suffix to the longest."""
-        symbol = (keys & np.uint64(255)).astype(np.int64)
-        p = self.root[symbol]
-        for d, known, total, pair, n in self.levels:
-            if not len(known):
-                continue
-            cut = keys & np.uint64((1 << 64) - (1 << 64 - 8 * d))
-            low, high = np.searchsorted(cut, known, "left"), np.searchsorted(cut, known, "right")
-            size = high - low
-            at = np.arange(size.sum()) + np.repeat(low - np.cumsum(size) + size, size)
-            state = np.repeat(np.arange(len(known)), size)
-            asked = state * 256 + symbol[at]
-            found = np.minimum(np.searchsorted(pair, asked), len(pair) - 1)
-            p[at] = (np.where(pair[found] == asked, n[found], 0.0) + WEIGHT * p[at]) / (total[state] + WEIGHT)
-        return p
+        bits, room = np.uint64(self.bits), 64 - (DEPTH + 1) * self.bits
+        out = [np.zeros(0)]
+        for listed in chunks([b" ".join(words) for words in texts], most=1 << min(room or 16, 16)):
+            keys, sizes = stream(listed, self.codes, self.bits)
+            of_symbol = np.uint64(DEPTH) * bits
+            keys = (keys & ((np.uint64(1) << of_symbol) - np.uint64(1))) << bits | keys >> of_symbol
+            text = np.repeat(np.arange(len(listed)), sizes)
+            if room:  # the text's number fits in
+                keys = keys << np.uint64(room) | text.astype(np.uint64)
+                keys.sort()
+                text = (keys & np.uint64((1 << room) - 1)).astype(np.int64)
+                keys >>= np.uint64(room)
+            else:
+                order = np.argsort(keys)
+                keys, text = keys[order], text[order]
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            asked = keys[first]
+            state = np.repeat(self.at_places, np.diff(np.searchsorted(asked, self.places), append=len(asked)))
+            p = np.log10(self.of(state, (asked & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)))
+            out.append(np.bincount(text, np.repeat(p, np.diff(first, append=len(keys))), len(listed)))
+        return np.concatenate(out)
 
 
 class Tree:
@@ -386,13 +392,14 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
         count = known.column("c").to_numpy()
         base = np.log10((count + 1) / level)
         out = {k: [] for k in ("n_tokens", "n_known", "base_score", "score")}
-        for data in texts.column("text").to_pylist():
-            at = np.fromiter((place[w] for w in lowered_words(data)), np.int64)
-            out["n_tokens"].append(len(at) + 1)
-            out["n_known"].append(int((count[at] > 0).sum()) + (end_count > 0))
-            out["base_score"].append(float(base[at].sum()) + math.log10((end_count + 1) / level))
         for listed in chunks(texts.column("text").to_pylist()):
-            out["score"] += model.value.score(listed).tolist()
+            words, at, sizes = numbered(listed, place)
+            of = np.repeat(np.arange(len(listed)), sizes)
+            out["n_tokens"].append(sizes + 1)
+            out["n_known"].append(np.bincount(of[count[at] > 0], minlength=len(listed)) + (end_count > 0))
+            out["base_score"].append(np.bincount(of, base[at], len(listed)) + math.log10((end_count + 1) / level))
+            out["score"].append(model.value.score(words))
+        out = {k: np.concatenate(v) for k, v in out.items()}
         held_out = pa.array([f == held for f in texts.column("fold").to_pylist()], pa.bool_())
         return pa.table({
             "doc_id": texts.column("doc_id"), "held_out": held_out, "n_tokens": pa.array(out["n_tokens"], pa.int64()), "n_known": pa.array(out["n_known"], pa.int64()),

@@ -65,3 +65,26 @@ def test_contexts_are_counted_level_by_level(spark):
     got = {r.context.to_bytes(7, "big").lstrip(b"\0") + bytes([r.symbol]): (r.n, r.total) for r in suffix_tree.frequent_contexts(rows, share).collect()}
     assert got == want and 0 < len(got) < len(counts)
     assert {len(g) - 1 for g in got} == set(range(8))
+
+
+def test_contexts_with_a_rare_part_are_not_moved(spark):
+    texts = ["abcd " * 50 + "xbcd yabc"]
+    rows = documents(spark, texts).selectExpr("cast(text as binary) as text")
+    key = lambda b: int.from_bytes(b, "big")
+    known = np.array([key(c) for c in (b"abc", b"bcd")], np.uint64).byteswap()
+    got = {(r.gram % 2**64).to_bytes(8, "big").lstrip(b"\0"): (r.n, r.total) for r in suffix_tree.grams(rows, range(4, 5), known).collect()}
+    # of the contexts that end in a known part, b"xbcd" and b"yabc" lie over a rare one
+    assert got == {b"abcd ": (50, 50)}
+
+
+def test_model_of_many_bytes_gives_the_scores_of_the_tree(spark):
+    rng = random.Random(6)
+    letters = [chr(c) for c in (*range(0x21, 0x41), *range(0x5B, 0x7F), *range(0xC0, 0x250), *range(0x391, 0x450), *range(0x4E00, 0x9000, 97), *range(0x1F300, 0x1F400))]
+    texts = ["".join(rng.choice([*letters, " ", " "]) for _ in range(400)) for _ in range(30)]
+    rows = documents(spark, texts).selectExpr("cast(text as binary) as text")
+    kept = [(r.context, r.symbol, r.n) for r in suffix_tree.states(rows, 0.0005).select("context", "symbol", "n").collect()]
+    model, tree = suffix_tree.Model(*(np.array(x) for x in zip(*kept))), suffix_tree.Tree(kept)
+    assert model.bits == 8
+    asked = [*texts[:3], "plain words", "", "\x7f unseen"]
+    for text, score in zip(asked, model.score([suffix_tree.lowered_words(t.encode()) for t in asked])):
+        assert math.isclose(score, tree.sequence(symbols(text)[1:]), rel_tol=1e-9, abs_tol=1e-9)
