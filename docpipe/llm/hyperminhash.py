@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary, likely, lowered_words, mixed, shingle_hashes, signed, stage
+from .common import binary, likely, lowered_words, mixed, shingle_hashes, signed, slices, stage
 from .graph import components
 
 SHINGLE, BANDS, ROWS, THRESHOLD = 5, 32, 6, 0.85
@@ -78,7 +78,7 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows
     multipliers = _multipliers(bands * rows)
 
     def of_batch(batches):
-        for batch in batches:
+        for batch in slices(batches):
             n, k1, k2, regs, keys = [], [], [], [], []
             for data in batch.column(1).to_pylist():
                 unique = np.unique(shingle_hashes(lowered_words(data), shingle))
@@ -124,9 +124,9 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, threshold: floa
     """Pairs whose full shingle sets reach ``threshold``, as edges (u, v)."""
 
     def of_batch(batches):
-        for batch in batches:
+        sets: dict = {}  # a smallest member recurs in a batch
+        for batch in slices(batches):
             a, b, text_a, text_b = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("a", "b", "text_a", "text_b"))
-            sets: dict = {}  # a smallest member recurs in a batch
             keep = []
             for x, y, s, t in zip(a, b, text_a, text_b):
                 if (y, t) not in sets:
