@@ -100,3 +100,14 @@ def test_pipeline_with_nulls_and_clashing_columns(spark, tmp_path):
     pieces = stages[-1]
     assert pieces.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0
     assert pieces.where("piece = 0").count() == counts[4]
+
+
+def test_workers_take_few_rows_of_a_batch_at_a_time():
+    import pyarrow as pa
+
+    from docpipe.llm.common import slices
+
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(n))], ["x"]) for n in (1203, 0, 500)]
+    parts = list(slices(batches))
+    assert [p.num_rows for p in parts] == [500, 500, 203, 500]
+    assert [x for p in parts for x in p.column(0).to_pylist()] == [*range(1203), *range(500)]
