@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import corpus_pipeline
+import numpy as np
 from docpipe.llm import compact_windows, phrase_index
 from pyspark.sql import functions as F
 from tests.conftest import SF
@@ -54,6 +55,75 @@ def test_variants_of_one_passage_are_linked_to_each_other(spark):
     assert (1, 4) not in pairs and (5, 6) not in pairs  # copies stand with the passage that they repeat
 
 
+def test_classes_join_variants_by_few_rows(spark):
+    rng = random.Random(5)
+    prose = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    first, other = prose(120), prose(60)
+    changed = lambda k: [*first[:k], f"new{k}", *first[k + 1 :]]
+    texts = [prose(70) + changed(3 * k) + prose(70) for k in range(40)] + [prose(60) + other + prose(60) for _ in range(2)]
+    # Centres of a third passage stand in an earlier text that has 30 words of it; two later ones repeat each other.
+    third = prose(60)
+    texts += [prose(80) + third[15:45] + prose(80), *(prose(80) + third + prose(70) for _ in range(2)), texts[7]]
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    rows = compact_windows.near_duplicate_passages(df, classes=True).collect()
+    assert len(rows) < 4 * 40  # not a row for every two variants: 780
+    of = {}
+    for r in rows:
+        assert r.similarity >= 0.8 and min(r.end_word - r.start_word, r.first_end - r.first_start) >= 50 and r.first_doc_id < r.doc_id
+        for doc in (r.doc_id, r.first_doc_id):
+            of.setdefault(doc, set()).add((r.class_doc, r.class_start, r.class_end))
+    copy = of.pop(45)
+    assert copy == {(7, 0, len(texts[7]))} and copy < of[7]
+    of[7] -= copy
+    assert set(of) == {*range(42), 43, 44} and all(len(c) == 1 for c in of.values())
+    assert [len({next(iter(of[d])) for d in docs}) for docs in (range(40), (40, 41), (43, 44))] == [1, 1, 1] and len(set().union(*of.values())) == 3
+    assert {c[0] for c in set().union(*of.values())} == {0, 40, 43}
+    empty = compact_windows.near_duplicate_passages(df.limit(0), classes=True)
+    assert empty.count() == 0 and empty.columns[-3:] == ["class_doc", "class_start", "class_end"]
+
+
+def test_all_links_lie_in_one_class(spark):
+    rng = random.Random(6)
+    prose = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    passages = [prose(90) for _ in range(5)]
+    line = prose(12)
+
+    def varied(words):
+        words = list(words)
+        for _ in range(rng.randrange(4)):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+        return words
+
+    texts = [sum((prose(rng.randrange(40)) + line + varied(p) for p in rng.sample(passages, 2)), []) + prose(30) for _ in range(40)]
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    sides = {}
+    for r in compact_windows.near_duplicate_passages(df, classes=True).collect():
+        for doc, start, end in ((r.doc_id, r.start_word, r.end_word), (r.first_doc_id, r.first_start, r.first_end)):
+            sides.setdefault(doc, []).append((start, end, (r.class_doc, r.class_start)))
+    of = lambda doc, start, end: {c for s, e, c in sides.get(doc, ()) if min(e, end) - max(s, start) >= 50}
+    links = compact_windows.near_duplicate_passages(df).collect()
+    assert len(links) > 100 and all(of(r.doc_id, r.start_word, r.end_word) & of(r.first_doc_id, r.first_start, r.first_end) for r in links)
+
+
+def test_dense_is_never_false_for_passages_alike():
+    rng = np.random.default_rng(7)
+    met = 0
+    for _ in range(3000):
+        a = rng.permutation(10**4)[:100].astype(np.uint32)
+        b = np.concatenate([rng.integers(10**6, 2 * 10**6, rng.integers(0, 20)), a[rng.integers(0, 30) :]]).astype(np.uint32)
+        new = rng.random(len(b)) < rng.choice([0, 0.1, 0.15, 0.2, 0.25])
+        b[new] = 3 * 10**6 + np.flatnonzero(new)
+        b = b[np.sort(np.unique(b, return_index=True)[1])]
+        x, y = ({h: k for k, h in enumerate(z.tolist())} for z in (a, b))
+        shared = sorted((x[h], y[h]) for h in x.keys() & y.keys())
+        found = compact_windows.alike(a, b, 50, 5, 0.8)
+        assert found == compact_windows.alike(a, b, 50, 5, 0.8, shared)
+        fits = compact_windows.dense([i for i, _ in shared], 46, 1.6 / 1.8) or compact_windows.dense(sorted(j for _, j in shared), 46, 1.6 / 1.8)
+        assert fits or not found
+        met += bool(found)
+    assert 300 < met < 2900
+
+
 def test_centres_that_repeat_within_a_grid_on_both_sides():
     # Windows of two functions with one true offset; one side's centre was taken from an earlier place, on both sides apart.
     windows = [(0, 60, 0, 5, 0, 105 - 60, 160), (0, 60, 1, 5, 0, 105 + 60, 220)]
