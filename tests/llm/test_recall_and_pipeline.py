@@ -124,6 +124,41 @@ def test_dense_is_never_false_for_passages_alike():
     assert 300 < met < 2900
 
 
+def test_many_places_meet_just_where_they_may_be_alike():
+    rng = np.random.default_rng(8)
+    line = rng.integers(0, 10**6, 24)  # all places have it, and most have nothing else in common
+    places = []
+    for k in range(90):
+        before, after = rng.integers(0, 10**6, (2, 45))
+        if k % 9 == 1:  # a variant of the one before
+            new = rng.random(114) < rng.choice([0.02, 0.1, 0.2])
+            places.append(np.where(new, rng.integers(0, 10**6, 114), places[-1]))
+        elif k % 9 == 4:  # repeats in one place, also in one that is longer than the matrix
+            places.append(np.concatenate([np.tile(rng.integers(0, 10**6, 12), 4 if k % 2 else 60), line, after]))
+            places.append(np.concatenate([places[-1][6:], before]))
+        else:
+            places.append(np.concatenate([before, line, after]))
+    places = [x.astype(np.uint32) for x in places]
+    label = np.arange(len(places)) // 30
+    met = {(k, n) for k, others in compact_windows.meeting(places, [label], 46, 0.8) for n in others}
+    pairs = [(k, n) for k in range(len(places)) for n in range(k) if label[k] != label[n]]
+    assert met <= set(pairs)
+    met = {(k, n) for k, others in compact_windows.meeting(places, [], 46, 0.8) for n in others}
+    alike = {(k, n) for k in range(len(places)) for n in range(k) if compact_windows.alike(places[k], places[n], 50, 5, 0.8)}
+    assert len(alike) > 10 and alike <= met
+    short = lambda rows: sum(len(places[k]) <= compact_windows.LONG and len(places[n]) <= compact_windows.LONG for k, n in rows)
+    assert short(met) < 3 * short(alike)
+
+
+def test_windows_of_several_texts_at_once():
+    rng = np.random.default_rng(9)
+    texts = [compact_windows.mixed(rng.integers(1, rng.choice([4, 10**6]), n).astype(np.uint64)) for n in (46, 300, 45, 47, 1, 120)]
+    begins = np.cumsum([0, *[len(x) + 1 for x in texts]])
+    joined = np.concatenate([x for text in texts for x in (text, np.zeros(1, np.uint64))])
+    alone = [compact_windows.compact_windows(x, 46) + b for x, b in zip(texts, begins)]
+    assert (compact_windows.compact_windows(joined, 46, begins[1:] - 1) == np.concatenate(alone)).all()
+
+
 def test_centres_that_repeat_within_a_grid_on_both_sides():
     # Windows of two functions with one true offset; one side's centre was taken from an earlier place, on both sides apart.
     windows = [(0, 60, 0, 5, 0, 105 - 60, 160), (0, 60, 1, 5, 0, 105 + 60, 220)]
