@@ -42,6 +42,30 @@ def test_compaction_keeps_the_current_view(spark, tmp_path):
     assert current(spark, path, keys=asked) == sorted(r for r in want.values() if r[0] == "a")
 
 
+def test_compaction_in_rounds_of_buckets(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(versions, "ROUND_BYTES", 1)  # as many rounds as a large table has
+    moved = []
+    merged = versions._merged
+    monkeypatch.setattr(versions, "_merged", lambda base, tail, *more: moved.append(merged(base, tail, *more)) or moved[-1])
+    path, rng, want = str(tmp_path / "t"), random.Random(3), {}
+    for epoch in (1, 2, 5, 4, 6):  # 4 comes late, so base rows win over it
+        rows = [(rng.choice([None, *"abcdefghijklmnop"]), rng.randrange(3), rng.randrange(100)) for _ in range(30)]
+        rows = list({(k, p): (k, p, v) for k, p, v in rows}.values())
+        rows += rows[:2]  # rows that repeat in a delivery both stay
+        put(spark, path, epoch, rows)
+        for k, p, v in set(rows):
+            if want.get((k or "", p), (0,))[0] < epoch:
+                want[k or "", p] = (epoch, [v] * rows.count((k, p, v)))
+        before = len(moved)
+        versions.compact(spark, path, ["k", "part"], by=["k"], buckets=8)
+        assert 2 <= len(moved) - before <= versions.ROUNDS
+        assert current(spark, path) == sorted((k, p, v, e) for (k, p), (e, vs) in want.items() for v in vs)
+        if epoch == 1:  # one delivery only: nothing to be told apart, so nothing moves but to its bucket
+            assert all("Exchange" not in m._jdf.queryExecution().sparkPlan().toString() and "Join" not in m._jdf.queryExecution().sparkPlan().toString() for m in moved)
+    files = [f.name for f in (tmp_path / "t").rglob("*.parquet")]
+    assert files and all("zstd" in f for f in files)
+
+
 def test_a_replayed_delivery_is_never_lost(spark, tmp_path):
     path = str(tmp_path / "t")
     put(spark, path, 1, [("a", 1, 10), ("b", 1, 10)])
